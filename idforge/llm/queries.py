@@ -7,7 +7,7 @@ import importlib
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
 
-for _name in ("near_dup", "splits"):
+for _name in ("near_dup", "splits", "format_dup", "chunking", "cross_split", "leakage", "mixing", "mojibake"):
     _m = importlib.import_module(f"idforge.llm.q_{_name}")
     QUERIES |= _m.QUERIES
     SQL |= _m.SQL
