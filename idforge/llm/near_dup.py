@@ -122,7 +122,10 @@ class Forest:
 
 
 def _postings(classes: DataFrame, counts: np.ndarray, t: float, hot: int) -> DataFrame:
-    """Prefix tokens of each class. A token seen more than ``hot`` times becomes a node itself (``tok`` null, ``other`` set)."""
+    """Prefix tokens of each class. A token seen more than ``hot`` times becomes a node itself (``tok`` null, ``other`` set).
+
+    ``at`` packs the size of the class (upper half) and the token's place.
+    """
     known = classes.sparkSession.sparkContext.broadcast(counts)
 
     def work(batches):
@@ -133,30 +136,32 @@ def _postings(classes: DataFrame, counts: np.ndarray, t: float, hot: int) -> Dat
                 tokens, rows = flat(batch.column(2).slice(a, step))
                 tokens, rows, place, seen = rare_first(tokens, rows, known.value)
                 kept = place < prefix_size(n[a : a + step], t)[rows]
-                tokens, rows, many = tokens[kept], rows[kept] + a, seen[kept] > hot
+                tokens, rows, many, place = tokens[kept], rows[kept] + a, seen[kept] > hot, place[kept]
                 node = pa.array((tokens | np.uint64(1 << 63)).view(np.int64), mask=~many)
-                yield pa.RecordBatch.from_arrays([pa.array(tokens.view(np.int64), mask=many), pa.array(ids[rows]), pa.array(n[rows].astype(np.int32)), node], ["tok", "row", "n", "other"])
+                yield pa.RecordBatch.from_arrays([pa.array(tokens.view(np.int64), mask=many), pa.array(ids[rows]), pa.array(n[rows] << 32 | place), node], ["tok", "row", "at", "other"])
 
-    return classes.select("row_no", "n", "h").mapInArrow(work, "tok bigint, row bigint, n int, other bigint")
+    return classes.select("row_no", "n", "h").mapInArrow(work, "tok bigint, row bigint, at bigint, other bigint")
 
 
-def _pair_batch(a, b, na, nb, star: bool) -> pa.RecordBatch:
+def _pair_batch(a, b, x, y, star: bool) -> pa.RecordBatch:
+    """Pairs with the packed size and place of either side; ``a`` is the smaller row."""
     flip = a > b
-    cols = [np.where(flip, b, a), np.where(flip, a, b), np.where(flip, nb, na).astype(np.int32), np.where(flip, na, nb).astype(np.int32), np.full(len(a), star)]
-    return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["a", "b", "na", "nb", "star"])
+    cols = [np.where(flip, b, a), np.where(flip, a, b), np.where(flip, y, x), np.where(flip, x, y), np.full(len(a), star)]
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["a", "b", "x", "y", "star"])
 
 
-def _within_lists(tok, row, n, t: float):
-    """All pairs of rows within each list that their sizes allow; lists ascend by n."""
+def _within_lists(tok, row, at_, t: float):
+    """All pairs of rows within each list that their sizes allow; lists ascend by size."""
     first = np.flatnonzero(np.concatenate([[True], tok[1:] != tok[:-1]])) if len(tok) else np.zeros(0, np.int64)
     size = np.diff(np.concatenate([first, [len(tok)]]))
+    n = at_ >> 32
     end, at, k = np.repeat(first + size, size), np.arange(len(tok)), 0
     while len(at):
         k += 1
         at = at[at + k < end[at]]
         at = at[n[at + k] * t <= n[at] + 1e-9]  # what fails now fails further on
         if len(at):
-            yield _pair_batch(row[at], row[at + k], n[at], n[at + k], False)
+            yield _pair_batch(row[at], row[at + k], at_[at], at_[at + k], False)
 
 
 def _pairs(batches, t: float):
@@ -258,15 +263,20 @@ def near_duplicate_groups(df: DataFrame, row: str | Column, text: Column, width:
     counts = token_counts(texts, "h", bits)
     hot = max(100_000, 64 * int(counts.sum(dtype=np.uint64) >> np.uint64(bits)))
     posts = cut(_postings(reps, counts, t, hot), "postings") if int(counts.max(initial=0)) > hot else _postings(reps, counts, t, hot)
-    sorted_ = posts.where("tok is not null").select("tok", "row", "n").repartition("tok").sortWithinPartitions("tok", "n", "row")
-    pairs = sorted_.mapInArrow(lambda x: _pairs(x, t), "a bigint, b bigint, na int, nb int, star boolean").groupBy("a", "b", "na", "nb").agg(F.count("*").alias("c"), F.max("star").alias("star"))
-
-    def rest(n: str) -> Column:
-        return F.ceil(F.lit(t) * F.col(n) - 1e-9) - 1
-
-    # Tokens shared beyond the shorter prefix are at most what lies behind it.
-    needed = F.ceil(F.lit(t / (1 + t)) * (F.col("na") + F.col("nb")) - 1e-9)
-    edges = pairs.where(F.col("star") | (F.col("c") + F.greatest(rest("na"), rest("nb")) >= needed)).select(F.col("a").alias("u"), F.col("b").alias("v"))
+    sorted_ = posts.where("tok is not null").select("tok", "row", "at").repartition("tok").sortWithinPartitions("tok", "at", "row")
+    # Sizes are the same in all postings of a row, so the largest packed value has the last shared place.
+    pairs = sorted_.mapInArrow(lambda x: _pairs(x, t), "a bigint, b bigint, x bigint, y bigint, star boolean").groupBy("a", "b").agg(F.count("*").alias("c"), F.max("x").alias("x"), F.max("y").alias("y"), F.max("star").alias("star"))
+    na, nb = (F.shiftright(F.col(k), 32) for k in "xy")
+    pa_, pb = (F.col(k).bitwiseAND(0xFFFFFFFF) for k in "xy")
+
+    def rest(n: Column) -> Column:
+        return F.ceil(F.lit(t) * n - 1e-9) - 1
+
+    # What is shared beyond the last shared prefix token lies behind it in both
+    # sets, and behind the whole prefix of the one whose prefix ends first.
+    needed = F.ceil(F.lit(t / (1 + t)) * (na + nb) - 1e-9)
+    beyond = F.least(na - pa_ - 1, nb - pb - 1, F.greatest(rest(na), rest(nb)))
+    edges = pairs.where(F.col("star") | (F.col("c") + beyond >= needed)).select(F.col("a").alias("u"), F.col("b").alias("v"))
     if int(counts.max(initial=0)) > hot:
         edges = edges.union(posts.where("other is not null").select(F.col("row").alias("u"), F.col("other").alias("v")))
     shards = cut(connected_components(edges).where("node >= 0"), "shards")
