@@ -15,6 +15,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from idforge.llm.fold import fold_table, mix, split_words, sum_by_row
 from idforge.llm.words import title_key_col, words
@@ -63,7 +64,7 @@ def _at_start(x: list[int], i: int, y: list[int], j: int) -> bool:
     return not any(x[:i]) and not any(y[:j])
 
 
-@F.pandas_udf("boolean")
+@F.pandas_udf(T.BooleanType())
 def _same(a: pd.Series, b: pd.Series) -> pd.Series:
     known: dict[tuple[str, str], bool] = {}
     out = []

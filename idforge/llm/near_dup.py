@@ -10,8 +10,8 @@ the triangle inequality prunes nothing), so the shards are cut first, in a way
 that provably loses no pair:
 
 1. exact copies (equal run sets) are folded into one class;
-2. classes that share a rare run in their prefixes are counted, pair by pair,
-   and pairs whose shared count can't reach the radius are dropped;
+2. classes that share rare runs early in their prefixes are counted, pair by
+   pair, and pairs whose shared count can't reach the radius are dropped;
 3. the components of what remains are the shards. Every linked pair lies in
    one shard.
 
@@ -34,6 +34,7 @@ from idforge.llm.fold import distinct_in_row, in_parts, mix, runs_of, split_word
 from idforge.llm.rarity import flat, rare_first, token_counts
 from idforge.operators.lineage import cut
 
+SHARED = 4  # tokens that a pair must share within its prefixes, which are longer by SHARED - 1 for it
 RUN = 1024  # postings of one run that are paired; a longer list is linked as a star
 TEXTS = "row_no bigint, n int, s1 bigint, s2 bigint, h array<bigint>"
 
@@ -58,8 +59,8 @@ def shingled(df: DataFrame, row: Column, text: Column, width: int, min_words: in
 
 
 def prefix_size(n: np.ndarray, t: float) -> np.ndarray:
-    """Tokens of a set of n that hold one of any t-similar partner's."""
-    return n - np.ceil(t * n - 1e-9).astype(np.int64) + 1
+    """Rarest tokens of a set of n among which any t-similar partner shares SHARED (or all that it must)."""
+    return np.minimum(n, n - np.ceil(t * n - 1e-9).astype(np.int64) + SHARED)
 
 
 class BKTree:
@@ -150,6 +151,19 @@ def _pair_batch(a, b, x, y, star: bool) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["a", "b", "x", "y", "star"])
 
 
+def _early(a, b, x, y, t: float):
+    """Pairs whose token is early enough in both sets.
+
+    Two sets that share o tokens share the first SHARED of these within their
+    first n - o + SHARED tokens, so a token further on needn't be counted.
+    """
+    na, nb = x >> 32, y >> 32
+    o = np.ceil(t / (1 + t) * (na + nb) - 1e-9).astype(np.int64)
+    more = np.minimum(SHARED, o) - 1
+    kept = ((x & 0xFFFFFFFF) <= na - o + more) & ((y & 0xFFFFFFFF) <= nb - o + more)
+    return a[kept], b[kept], x[kept], y[kept]
+
+
 def _within_lists(tok, row, at_, t: float):
     """All pairs of rows within each list that their sizes allow; lists ascend by size."""
     first = np.flatnonzero(np.concatenate([[True], tok[1:] != tok[:-1]])) if len(tok) else np.zeros(0, np.int64)
@@ -161,7 +175,7 @@ def _within_lists(tok, row, at_, t: float):
         at = at[at + k < end[at]]
         at = at[n[at + k] * t <= n[at] + 1e-9]  # what fails now fails further on
         if len(at):
-            yield _pair_batch(row[at], row[at + k], at_[at], at_[at + k], False)
+            yield _pair_batch(*_early(row[at], row[at + k], at_[at], at_[at + k], t), False)
 
 
 def _pairs(batches, t: float):
@@ -244,6 +258,19 @@ def _search(batches, t: float):
     yield out()
 
 
+def _members(texts: DataFrame, nodes: DataFrame, bits: int = 22) -> DataFrame:
+    """Texts that may be among the nodes: a filter of fixed size, so that the join needn't shuffle all texts."""
+    there = np.packbits(token_counts(nodes.select(F.array(F.xxhash64("node")).alias("h")), "h", bits) > 0, bitorder="little")
+    known = texts.sparkSession.sparkContext.broadcast(there)
+
+    def work(batches):
+        for batch in batches:
+            at = batch.column(2).to_numpy().view(np.uint64) & np.uint64((1 << bits) - 1)
+            yield batch.select([0, 1]).filter(pa.array(known.value[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8) & 1 == 1))
+
+    return texts.withColumn("x", F.xxhash64("row_no")).mapInArrow(work, "row_no bigint, h array<bigint>")
+
+
 def near_duplicate_groups(df: DataFrame, row: str | Column, text: Column, width: int = 5, threshold: float = 0.8, min_words: int = 5, shard_rows: int = 20_000, bits: int = 22) -> DataFrame:
     """Group of every record that has a near-duplicate: ``row_no``, ``first_row_no`` (the group's smallest).
 
@@ -269,14 +296,10 @@ def near_duplicate_groups(df: DataFrame, row: str | Column, text: Column, width:
     na, nb = (F.shiftright(F.col(k), 32) for k in "xy")
     pa_, pb = (F.col(k).bitwiseAND(0xFFFFFFFF) for k in "xy")
 
-    def rest(n: Column) -> Column:
-        return F.ceil(F.lit(t) * n - 1e-9) - 1
-
-    # What is shared beyond the last shared prefix token lies behind it in both
-    # sets, and behind the whole prefix of the one whose prefix ends first.
+    # Enough is shared early, and what lies behind the last shared token could make up the rest.
     needed = F.ceil(F.lit(t / (1 + t)) * (na + nb) - 1e-9)
-    beyond = F.least(na - pa_ - 1, nb - pb - 1, F.greatest(rest(na), rest(nb)))
-    edges = pairs.where(F.col("star") | (F.col("c") + beyond >= needed)).select(F.col("a").alias("u"), F.col("b").alias("v"))
+    enough = (F.col("c") >= F.least(F.lit(SHARED), needed)) & (F.col("c") + F.least(na - pa_ - 1, nb - pb - 1) >= needed)
+    edges = pairs.where(F.col("star") | enough).select(F.col("a").alias("u"), F.col("b").alias("v"))
     if int(counts.max(initial=0)) > hot:
         edges = edges.union(posts.where("other is not null").select(F.col("row").alias("u"), F.col("other").alias("v")))
     shards = cut(connected_components(edges).where("node >= 0"), "shards")
@@ -284,7 +307,7 @@ def near_duplicate_groups(df: DataFrame, row: str | Column, text: Column, width:
     spread = shards.join(sizes, "component").withColumn("block", F.pmod(F.xxhash64("node"), F.col("g")).cast("int"))
     spread = spread.withColumn("x", F.explode(F.sequence(F.lit(0), F.col("g") - 1)))
     tasks = spread.select(F.col("node").alias("row_no"), "component", F.least("block", "x").alias("low"), F.greatest("block", "x").alias("high"), "g", "block")
-    loaded = tasks.join(texts.select("row_no", "h"), "row_no").select("component", "low", "high", "g", "row_no", "block", "h")
+    loaded = tasks.join(_members(texts.select("row_no", "h"), shards), "row_no").select("component", "low", "high", "g", "row_no", "block", "h")
     loaded = loaded.repartition("component", "low", "high").sortWithinPartitions("component", "low", "high", "row_no")
     links = cut(loaded.mapInArrow(lambda x: _search(x, t), "u bigint, v bigint, whole boolean"), "links")
     roots = links.where("whole").select(F.col("u").alias("node"), F.col("v").alias("root"))
