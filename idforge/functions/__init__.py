@@ -1 +1 @@
-
+"""Column builders: everything here stays in the JVM."""
