@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Path segments that say nothing about a page.
-GENERIC_SEGMENTS = ("index", "default", "home", "page", "pages", "main", "node", "article", "articles", "content", "html", "htm", "php", "asp", "aspx", "www")
+GENERIC_SEGMENTS = ("index", "page", "item", "view", "default", "home")
 VOCABULARY = 32128
 
 
@@ -49,13 +49,13 @@ def url_title_docid(url: Column, title: Column) -> tuple[Column, Column]:
     tail = F.array_join(F.reverse(F.slice(seg, 2, F.greatest(F.size(seg), F.lit(1)))), " ")
     named = F.lower(F.trim(F.coalesce(title, F.lit(""))))
     branch = (
-        F.when((F.size(seg) > 1) & rich_segments(F.slice(seg, 2, F.greatest(F.size(seg), F.lit(1)))), "url")
+        F.when((F.size(seg) > 0) & rich_segments(seg), "url")
         .when((named != "") & domain.isNotNull(), "title_domain")
         .when(named != "", "title")
         .when(domain.isNotNull(), "domain")
         .otherwise("skipped")
     )
-    text = F.when(branch == "url", F.concat_ws(" ", tail, domain)).when(branch == "title_domain", F.concat_ws(" ", named, domain)).when(branch == "title", named).when(branch == "domain", domain)
+    text = F.when(branch == "url", F.trim(F.concat_ws(" ", tail, domain))).when(branch == "title_domain", F.concat_ws(" ", named, domain)).when(branch == "title", named).when(branch == "domain", domain)
     return text, branch
 
 
