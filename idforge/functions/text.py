@@ -53,7 +53,8 @@ def blank_if_missing(x: Column) -> Column:
 
 def rough_wordpiece(title: Column) -> Column:
     """Lower case with punctuation set apart, as a lower-casing word-piece round trip leaves it."""
-    return F.trim(F.regexp_replace(F.regexp_replace(F.lower(title), "([^\\p{L}\\p{N}\\s])", " $1 "), "\\s+", " "))
+    plain = F.regexp_replace(F.lower(title), "[\\s\\p{Z}]+", " ")
+    return F.trim(F.regexp_replace(F.regexp_replace(plain, "([^\\p{L}\\p{N} ])", " $1 "), " +", " "))
 
 
 def padded(ids: Column, n: int, pad: int = 0) -> Column:

@@ -141,7 +141,7 @@ QUERIES = {
 
 _TOK = r"regexp_extract_all(lower(coalesce({0}, '')), '[\p{{L}}\p{{N}}]+')"
 _STRIP = r"trim(regexp_replace(regexp_replace(regexp_replace({0}, '<[^<]+?>', '', 'g'), '[\n\r]', '', 'g'), ' {{2,}}', ' ', 'g'))"
-_WP = r"trim(regexp_replace(regexp_replace(lower({0}), '([^\p{{L}}\p{{N}}\s])', ' \1 ', 'g'), '\s+', ' ', 'g'))"
+_WP = r"trim(regexp_replace(regexp_replace(regexp_replace(lower({0}), '[\s\p{{Z}}]+', ' ', 'g'), '([^\p{{L}}\p{{N}} ])', ' \1 ', 'g'), ' +', ' ', 'g'))"
 _WORDS = r"list_filter(regexp_split_to_array({0}, '\s+'), lambda w: w <> '')"
 _CODE = BASE + ", pc AS (SELECT docid, 'x' AS codes FROM pages)"
 _SURV = "WITH t AS (SELECT row_no, id, split, " + _WP.format("title") + " AS title, CASE WHEN split = 'train' THEN 0 ELSE 1 END AS o FROM process_nq_dataset WHERE title IS NOT NULL), s AS (SELECT title, row_no, id FROM (SELECT *, row_number() OVER (PARTITION BY title ORDER BY o, row_no) AS k FROM t) WHERE k = 1), m AS (SELECT t.row_no, t.split, s.id FROM t JOIN s USING (title))"
