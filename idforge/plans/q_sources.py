@@ -98,7 +98,7 @@ def triples_file(s, d):
 def csv_file(s, d):
     p = folder(s, "csv")
     writers.csv(pages(s, d), p)
-    return readers.csv(s, p, "docid string, url string, title string", header=True, escape='"', multiLine=True)
+    return readers.csv(s, p, "docid string, url string, title string", header=True, escape='"', multiLine=True, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
 
 
 def pseudo(s, d):
@@ -147,7 +147,7 @@ SQL = {
     "source_vectors": "SELECT '[' || vec_id || ']' AS docid, len(embedding) AS dim, round(list_sum(list_transform(embedding, lambda x: x::DOUBLE)), 5) AS total FROM embeddings",
     "source_nested_json": "SELECT example_id, len(document_tokens) AS tokens, len(annotations) AS annotations FROM nq_raw_dev",
     "source_corpus_json": r"SELECT row_no::VARCHAR AS docid, coalesce(title, '') AS title, trim(translate(doc_tac, E'\n\t', '  '), ' ') AS text FROM process_nq_dataset WHERE doc_tac IS NOT NULL",
-    "source_triples": RELEVANCE_SQL["triples_enriched"],
+    "source_triples": "SELECT qid, query, coalesce(pos_url, '') AS pos_url, pos_docid, coalesce(neg_url, '') AS neg_url, neg_docid FROM (" + RELEVANCE_SQL["triples_enriched"] + ")",
     "source_csv": BASE + "SELECT docid, url, title FROM pages",
     "source_pseudo_queries": r"SELECT '[' || lower(regexp_replace(trim(docid), '^[\[\] ]+|[\[\] ]+$', '', 'g')) || ']' AS docid, query FROM pseudo_queries WHERE query IS NOT NULL",
     "source_codebook": "SELECT l AS level, 0 AS subspace, c AS code, 64 AS dim FROM range(3) a(l), range(16) b(c)",

@@ -53,7 +53,7 @@ def triples(df: DataFrame, path: str) -> None:
 
 
 def csv(df: DataFrame, path: str) -> None:
-    df.write.option("header", True).option("escape", '"').csv(path)
+    df.write.options(header=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(path)
 
 
 def parquet(df: DataFrame, path: str, by: tuple[str, ...] = ()) -> None:
