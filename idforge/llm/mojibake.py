@@ -83,7 +83,7 @@ def _plausible(got: str, was: str, before: str, after: str, codec: str) -> bool:
 
 
 def _spans(text: str, codec: str) -> tuple[str, int]:
-    """Text with its well-formed spans under ``codec`` decoded, and their number."""
+    """Text with its well-formed spans under ``codec`` decoded, and how many characters they had."""
     raw = _as_bytes(text, codec)
     out, at, n = [], 0, 0
     for m in _FORMED.finditer(raw):
@@ -91,7 +91,7 @@ def _spans(text: str, codec: str) -> tuple[str, int]:
         got, was = m[0].decode("utf-8"), text[a:b]
         if _plausible(got, was, text[a - 1 : a], text[b : b + 1], codec):
             out += [text[at:a], got]
-            at, n = b, n + 1
+            at, n = b, n + b - a
     return "".join([*out, text[at:]]), n
 
 
@@ -123,7 +123,7 @@ def _lowered(text: str) -> tuple[str, int]:
             return was
         if not all(_PLAIN.match(c) for c in got):
             return was
-        n += 1
+        n += len(was)
         return got
 
     return _LOWER.sub(fix, text), n
@@ -146,7 +146,7 @@ def _from_gbk(text: str) -> tuple[str, int]:
         kept = got.rstrip("�") if lost else got
         if not all(_PLAIN.match(c) or c < "\x80" for c in kept) or (not kept and not lost):
             return m[0]
-        n += 1
+        n += 2 * len(body)
         return kept + ("�" if lost else "") + tail
 
     return _CJK.sub(fix, text), n
@@ -206,18 +206,13 @@ def restore(text: str | None) -> tuple[str | None, bool, bool]:
     if text is None or text.isascii():
         return text, False, False
     found, now = False, text
-    for _ in range(4):  # wrong readings can be on top of each other
-        n = 0
-        for codec in MULTIBYTE:
-            now, k = _spans(now, codec)
-            n += k
-        now, k = _from_gbk(now)
-        n += k
-        now, k = _lowered(now)
-        n += k
-        found = found or n > 0
+    for _ in range(8):  # wrong readings can be on top of each other
+        # The reading that explains the most characters goes first.
+        tried = [_spans(now, codec) for codec in MULTIBYTE] + [_from_gbk(now), _lowered(now)]
+        best, n = max(tried, key=lambda x: x[1])
         if not n:
             break
+        now, found = best, True
     if not found:
         now, found = _single(now)
     if found:

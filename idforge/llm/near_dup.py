@@ -313,7 +313,7 @@ def near_duplicate_groups(df: DataFrame, row: str | Column, text: Column, width:
     roots = links.where("whole").select(F.col("u").alias("node"), F.col("v").alias("root"))
     open_ = links.where("not whole").select("u", "v")
     if not open_.isEmpty():
-        roots = roots.union(connected_components(open_).where("node <> component"))
+        roots = cut(roots.union(connected_components(open_).where("node <> component")), "roots")
     roots = roots.union(roots.select(F.col("root").alias("node"), "root")).distinct()
-    members = copies.union(roots.select("node", "node")).distinct()
+    members = copies.union(roots.select(F.col("node").alias("row_no"), F.col("node").alias("own"))).distinct()
     return members.join(roots, "node", "left").select("row_no", F.coalesce("root", "node").alias("first_row_no"))
