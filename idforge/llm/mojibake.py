@@ -37,10 +37,12 @@ _ODD = re.compile(
     f"|[a-z{_LATIN}][─-▟¢£¥§©®±´µ¶¸°¿¡‡†ˆ-˝¯‰√∫≈∆◊∏∑π∂Ω∞≤≥≠⌐⌠⌡₧∙ⁿ²ƒ¬«»ºª‡ﬁﬂ€„‚](?=[a-z{_LATIN}])"  # a symbol within a word
     f"|(?<![\\w])[─│-┋┍-┓┕-┛┝-╿¯˘˙˚˝˛ˇ°¸√∫≈∆◊∂∏∑¢£¥§µ¶±≤≥≠ΣΘΦΩα└┴┬╤╨╥][A-Za-z][a-z]|(?<![\\w])[øìîíôÚ][A-Z][a-z]"  # a symbol that opens a word
 )
+#: A word as it stands in right text.
+_RIGHT = re.compile(f"[“„«‘(¿¡]*[{_LETTERS}]+(?:[’'-][{_LETTERS}]+)*[”“»’).,;:!?…]*")
 _CASE = re.compile("[а-яё][А-ЯЁ]")
 #: Letters that make up most of Russian text.
 _COMMON = set("оеаинтсрвлкмдпу")
-_OPEN_CASE = re.compile("[\x80-\x9f]")
+_CONTROL = re.compile("[\x80-\x9f]")
 
 
 @functools.cache
@@ -59,7 +61,7 @@ def _to_bytes(codec: str) -> dict[int, str]:
 
 def _as_bytes(text: str, codec: str) -> bytes:
     """One byte for each character, a question mark for what ``codec`` doesn't have."""
-    if codec == "cp1252" and _OPEN_CASE.search(text):
+    if codec == "cp1252" and _CONTROL.search(text):
         return b"".join(bytes([ord(c)]) if "\x80" <= c <= "\x9f" else c.encode(codec, "replace") for c in text)
     return text.encode(codec, "replace")
 
@@ -166,26 +168,34 @@ def _single(text: str) -> tuple[str, bool]:
                 except UnicodeError:
                     score -= 1
                     continue
-                if _OPEN_CASE.search(got):
+                if _CONTROL.search(got):
                     score -= 1
                     continue
                 score += 2 * ((w in bad) - bool(_ODD.search(got)))
                 # Right words lose letters under a wrong reading.
                 score -= w not in bad and sum(map(str.isalpha, got)) < sum(map(str.isalpha, w))
                 mended[w] = got
+            if score <= 0:  # only a part was misread: mend just the words that can't be right
+                mended = {w: g for w, g in mended.items() if w in bad and _RIGHT.fullmatch(g) and not _ODD.search(g)}
+                score = len(mended) / (1 + len(odd))
             if score > gain:
                 best, gain = re.sub(r"\S+", lambda m, t=mended: t.get(m[0], m[0]), text), score
+    parts = re.split(r"(?<=[.!?\n])", best)
+    mended = [_other_cyrillic(p) for p in parts]
+    return "".join(mended), gain > 0 or mended != parts
+
+
+def _other_cyrillic(text: str) -> str:
+    """The reading of a sentence in which it has Russian's letters and small letters, if it has neither as it stands."""
     words = re.findall("[Ѐ-ӿ]+|[À-ÿ]+|[─-╿▀-▟]+", text)
-    inverted = sum(map(len, words)) >= 10 and (_CASE.search(text) or not re.search("[а-яё]", text))
-    if inverted:
-        held = common(text)
-        for read, written in CYRILLIC:
-            if sum(len(w) >= 4 for w in words) < 3:
-                break
-            got = re.sub(r"[^\x00-\x7f]+", lambda m, r=read, w=written: _reread(m[0], r, w), text)
-            if got != text and common(got) > held + 0.15 and len(re.findall("[а-яё]", got)) > 2 * len(re.findall("[А-ЯЁ]", got)):
-                best, gain, held = got, max(gain, 1), common(got)
-    return best, gain > 0
+    if sum(map(len, words)) < 10 or sum(len(w) >= 4 for w in words) < 2 or not (_CASE.search(text) or not re.search("[а-яё]", text)):
+        return text
+    best, held = text, common(text)
+    for read, written in CYRILLIC:
+        got = re.sub(r"[^\x00-\x7f]+", lambda m, r=read, w=written: _reread(m[0], r, w), text)
+        if got != text and common(got) > held + 0.15 and len(re.findall("[а-яё]", got)) > 2 * len(re.findall("[А-ЯЁ]", got)):
+            best, held = got, common(got)
+    return best
 
 
 def common(text: str) -> float:
@@ -217,7 +227,7 @@ def restore(text: str | None) -> tuple[str | None, bool, bool]:
         now, found = _single(now)
     if found:
         now = re.sub("Ã[  ](?=\\S)", "à ", now)
-    lost = "�" in now or bool(_OPEN_CASE.search(now))
+    lost = "�" in now or bool(_CONTROL.search(now))
     return now, found or lost, lost
 
 
