@@ -30,16 +30,18 @@ def passage_rows(docs: DataFrame, key: str, title: Column, sentences: Column, ma
     is folded over the sentences inside one row, so nothing is shuffled.
     """
     room = max_len - 1
-    d = docs.select(key, tokens(title).alias("head"), F.transform(sentences, lambda s: tokens(s)).alias("sents"))
-    start = F.struct(F.col("head").alias("now"), F.lit(0).alias("k"), F.array().cast("array<array<string>>").alias("out"))
+    # Title tokens and the sentences left ride in the state: a column used inside
+    # the fold would be computed anew for every sentence.
+    parts = F.transform(sentences, lambda s: tokens(s))
+    start = F.struct(tokens(title).alias("head"), tokens(title).alias("now"), F.size(sentences).alias("left"), F.array().cast("array<array<string>>").alias("out"))
 
     def step(acc: Column, sent: Column) -> Column:
         now = F.concat(acc["now"], sent)
-        full = (F.size(now) >= room) | (acc["k"] == F.size("sents") - 1)
+        full = (F.size(now) >= room) | (acc["left"] == 1)
         out = F.when(full & (F.size(acc["out"]) < most), F.concat(acc["out"], F.array(F.slice(now, 1, room)))).otherwise(acc["out"])
-        return F.struct(F.when(full, F.col("head")).otherwise(now).alias("now"), (acc["k"] + 1).alias("k"), out.alias("out"))
+        return F.struct(acc["head"].alias("head"), F.when(full, acc["head"]).otherwise(now).alias("now"), (acc["left"] - 1).alias("left"), out.alias("out"))
 
-    packed = d.select(key, F.aggregate("sents", start, step, lambda a: a["out"]).alias("out"))
+    packed = docs.select(key, F.aggregate(parts, start, step, lambda a: a["out"]).alias("out"))
     return packed.select(key, F.posexplode("out").alias("part", "t")).select(key, "part", F.concat("t", F.array(F.lit(END))).alias("tokens"))
 
 

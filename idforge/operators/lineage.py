@@ -60,3 +60,12 @@ def release(df: DataFrame) -> None:
     path = getattr(df, "_idforge_path", None)
     if path:
         _drop(df.sparkSession, path)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over all cores where its input is one or a few splits, as with a small file of one row group.
+
+    An input with enough splits, which any large one has, stays as it is and isn't shuffled.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() * 2 <= cores else df

@@ -9,6 +9,7 @@ from idforge.functions.docids import content_uuid, end_tokens, first_words, unbr
 from idforge.functions.hooks import hashed_embedding, initial_embedding, leading_queries, overlap_score, perturb_text, preference_loss
 from idforge.operators import instances as t
 from idforge.operators import pages as p
+from idforge.operators.lineage import spread
 from idforge.operators.ordering import dense_index, with_unique_suffix
 from idforge.plans.q_relevance import BASE, qrels, queries, table
 from idforge.plans.q_relevance import pages as page_table
@@ -33,11 +34,11 @@ def url_docids(s, d):
 
 def passages(s, d):
     r = rows(s, d).where("doc_tac is not null").select("row_no", F.coalesce("title", F.lit("")).alias("title"), "doc_tac")
-    return joined(t.passage_rows(r, "row_no", F.col("title"), x.dotted_sentences(F.col("doc_tac")), 32, 10), "tokens")
+    return joined(t.passage_rows(spread(r), "row_no", F.col("title"), x.dotted_sentences(F.col("doc_tac")), 32, 10), "tokens")
 
 
 def terms(s, d):
-    return joined(t.salient_terms(docs(s, d), "doc_id", F.col("text"), 24), "tokens")
+    return joined(t.salient_terms(spread(docs(s, d)), "doc_id", F.col("text"), 24), "tokens")
 
 
 def term_ids(s, d):
