@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from idforge.operators.lineage import spread
+
 KINDS = ("sentence", "word", "char")
 PENALTY = (0.0, 1e3, 1e6)
 _SENTENCE_GAP = re.compile(r"(?<=[.!?])[ \t\r\n]+")
@@ -111,4 +113,4 @@ def cut_long_texts(df: DataFrame, row: str, fields: list[str], limit: int = 2000
             kinds = (pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.string())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["row_no", "field_name", "piece", "start", "end", "text", "cut"])
 
-    return long.mapInArrow(work, "row_no bigint, field_name string, piece int, start int, end int, text string, cut string")
+    return spread(long).mapInArrow(work, "row_no bigint, field_name string, piece int, start int, end int, text string, cut string")

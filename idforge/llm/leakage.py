@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from idforge.llm.fold import in_parts, split_words
+from idforge.operators.lineage import spread
 
 ITEM_WINDOWS = 500_000
 FOUND = "doc_id bigint, item_id bigint, similarity double, whole boolean"
@@ -142,7 +143,7 @@ def leaked_items(docs: DataFrame, items: DataFrame, doc: str = "doc_id", text: s
     windows = given.agg(F.sum(F.greatest(F.lit(1), F.length("p") / 2))).first()[0] or 0
     passes = max(1, math.ceil(windows / ITEM_WINDOWS))
     texts = docs.select(F.col(doc).cast("bigint").alias("doc_id"), F.col(text).alias("text")).where("doc_id is not null and text is not null")
-    out = None
+    texts, out = spread(texts), None
     for k in range(passes):
         rows = [(r["i"], r["p"]) for r in given.where(F.pmod(F.xxhash64("i"), F.lit(passes)) == k).orderBy("i").collect()]
         sent = docs.sparkSession.sparkContext.broadcast(ItemIndex(rows, run, radius, shingle))

@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from idforge.operators.lineage import spread
+
 #: Encodings that UTF-8 bytes are often read with.
 MULTIBYTE = ("cp1252", "mac_roman", "cp437", "cp850", "cp1251", "koi8_r")
 #: (read with, written with) of single-byte text.
@@ -249,4 +251,4 @@ def garbled(df: DataFrame, row: str = "doc_id", text: str = "text") -> DataFrame
 
     # Plain ASCII can't be garbled and never leaves the JVM.
     rows = df.select(F.col(row).cast("bigint").alias("doc_id"), F.col(text).alias("text")).where(F.octet_length("text") > F.length("text"))
-    return rows.mapInArrow(work, "doc_id bigint, text string, restored string, lost boolean")
+    return spread(rows).mapInArrow(work, "doc_id bigint, text string, restored string, lost boolean")

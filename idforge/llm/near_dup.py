@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from idforge.llm.components import connected_components
 from idforge.llm.fold import distinct_in_row, in_parts, mix, runs_of, split_words, sum_by_row
 from idforge.llm.rarity import flat, rare_first, token_counts
-from idforge.operators.lineage import cut
+from idforge.operators.lineage import cut, spread
 
 SHARED = 4  # tokens that a pair must share within its prefixes, which are longer by SHARED - 1 for it
 RUN = 1024  # postings of one run that are paired; a longer list is linked as a star
@@ -55,7 +55,7 @@ def shingled(df: DataFrame, row: Column, text: Column, width: int, min_words: in
                 ends = np.concatenate([[0], np.cumsum(n[kept])]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([pa.array(ids[a:b][kept].astype(np.int64)), pa.array(n[kept].astype(np.int32)), pa.array(s1[kept]), pa.array(s2[kept]), pa.ListArray.from_arrays(pa.array(ends), pa.array(runs.view(np.int64)))], ["row_no", "n", "s1", "s2", "h"])
 
-    return df.select(row.alias("row_no"), text.alias("text")).where("row_no is not null and text is not null").mapInArrow(work, TEXTS)
+    return spread(df.select(row.alias("row_no"), text.alias("text")).where("row_no is not null and text is not null")).mapInArrow(work, TEXTS)
 
 
 def prefix_size(n: np.ndarray, t: float) -> np.ndarray:
