@@ -48,9 +48,14 @@ def term_ids(s, d):
     return ids.select("item_id", F.array_join("input_ids", ",").alias("input_ids"), F.array_join("attention_mask", ",").alias("attention_mask"))
 
 
+def hashed(k, column, modulo):
+    """A number below ``modulo`` that DuckDB computes alike."""
+    return F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(k)), column)), 1, 8), 16, 10).cast("bigint") % modulo
+
+
 def page_codes(s, d):
-    """A short code for each page from its title's words' hashes."""
-    return page_table(s, d).select("docid", F.array(*(F.pmod(F.crc32(F.concat(F.lit(f"{k}|"), "docid")), F.lit(16)).cast("int") for k in range(3))).alias("codes"))
+    """A short code for each page, by hash."""
+    return page_table(s, d).select("docid", F.array(*(hashed(k, "docid", 16).cast("int") for k in range(3))).alias("codes"))
 
 
 def query_rows(s, d):
@@ -91,13 +96,13 @@ def subset(s, d):
 
 def init_vectors(s, d):
     tok = page_table(s, d).where("title is not null").select("docid", F.explode(x.tokens(F.col("title"))).alias("token"))
-    v = tok.select("token").distinct().select("token", F.array(*(F.pmod(F.crc32(F.concat(F.lit(f"{k}|"), "token")), F.lit(1000)) / 1000.0 for k in range(4))).alias("vector"))
+    v = tok.select("token").distinct().select("token", F.array(*(hashed(k, "token", 1000) / 1000.0 for k in range(4))).alias("vector"))
     return initial_embedding(tok, v).select("docid", "i", F.round("x", 6).alias("x"))
 
 
 def losses(s, d):
     l = table(s, d, "bm25_run")
-    f = lambda k: -(F.pmod(F.crc32(F.concat(F.lit(k), "docid")), F.lit(1000)) / 100.0)
+    f = lambda k: -(hashed(k, "docid", 1000) / 100.0)
     return l.groupBy("qid").agg(F.round(F.avg(preference_loss(f("a"), f("b"), f("c"), f("d"))), 6).alias("loss"))
 
 
@@ -189,3 +194,33 @@ SELECT doc_id, array_to_string(t[1:23] || ['</s>'], ' ') AS tokens FROM o WHERE
     "cross_encoder_hook": "SELECT row_no, round(CASE WHEN len(q) = 0 THEN 0 ELSE len(list_intersect(q, p)) / len(q) END, 6) AS score FROM (SELECT row_no, list_distinct(" + _TOK.format("query") + ") AS q, list_distinct(" + _TOK.format("abstract") + ") AS p FROM process_nq_dataset WHERE query IS NOT NULL AND abstract IS NOT NULL)",
     "query_generation_hook": "SELECT doc_id, n, array_to_string(w[n * 8 + 1:n * 8 + 8], ' ') AS query FROM (SELECT doc_id, " + _TOK.format("text") + " AS w FROM documents), range(3) t(n) WHERE n * 8 < len(w)",
 }
+
+_SPAN = "CASE WHEN {0} >= 0 AND {1} > {0} THEN array_to_string(w[{0} + 1:{1}], ' ') ELSE '' END"
+_CLEAN = r"trim(regexp_replace(regexp_replace({0}, '<[^<]+?>', '', 'g'), '\n', '', 'g'))"
+_LAST = "CASE WHEN contains({0}, '</Ul>') THEN array_to_string(string_split({0}, '</Ul>')[1:len(string_split({0}, '</Ul>')) - 1], '</Ul>') ELSE {0} END"
+SQL |= {
+    "nq_flat_examples": f"""WITH w AS (SELECT *, list_transform(document_tokens, lambda t: t.token) AS w FROM nq_raw_dev),
+d AS (SELECT *, array_to_string(w, ' ') AS doc, list_filter(list_transform(annotations, lambda a: a.long_answer), lambda a: a.start_token >= 0)[1] AS la FROM w),
+t AS (SELECT *, CASE WHEN contains(doc, '<P>') THEN substring(doc, strpos(doc, '<P>')) ELSE '' END AS tail, CASE WHEN contains(doc, '</P>') THEN substring(doc, strpos(doc, '</P>') + 4) ELSE doc END AS rest FROM d),
+u AS (SELECT *, CASE WHEN contains(doc, '<P>') THEN substring(string_split(tail, '</P>')[1], 4) ELSE '' END AS abs, {_LAST.format('rest')} AS r1 FROM t),
+v AS (SELECT *, {_STRIP.format('(' + _LAST.format('r1') + ')')} AS con FROM u)
+SELECT coalesce(question_text, '') AS query, example_id::VARCHAR AS id,
+  CASE WHEN annotations[1].long_answer.start_token >= 0 THEN {_CLEAN.format('(' + _SPAN.format('la.start_token', 'la.end_token') + ')')} ELSE '' END AS long_answer,
+  CASE WHEN len(annotations[1].short_answers) > 0 THEN {_CLEAN.format("array_to_string(list_transform(annotations[1].short_answers, lambda x: " + _SPAN.format('x.start_token', 'x.end_token') + "), '|')")} ELSE '' END AS short_answer,
+  coalesce(document_title, '') AS title, abs AS abstract, con AS content, coalesce(document_url, '') AS document_url, coalesce(document_title, '') || abs || con AS doc_tac, 'en' AS language
+FROM v""",
+    "dsi_assembly": r"""WITH p AS (SELECT row_no, split, abstract, query, lower(regexp_replace(trim(id), '^[\[\] ]+|[\[\] ]+$', '', 'g')) AS docid FROM process_nq_dataset WHERE id IS NOT NULL),
+f AS (SELECT * FROM (SELECT *, CASE WHEN split = 'train' THEN 0 ELSE 1 END AS o, row_number() OVER (PARTITION BY docid, split = 'train' ORDER BY row_no) AS k FROM p) WHERE k = 1)
+SELECT docid AS text_id, 'passage' AS kind, 'Passage: ' || coalesce(abstract, '') AS text FROM f WHERE o = 0 OR docid NOT IN (SELECT docid FROM p WHERE split = 'train')
+UNION ALL SELECT DISTINCT docid, 'question', 'Question: ' || query FROM p WHERE split = 'train' AND query IS NOT NULL""",
+}
+
+_HASH = "(('0x' || substring(md5('{0}|' || {1}), 1, 8))::BIGINT % {2})"
+_PC = BASE + ", pc AS (SELECT docid, " + " || ',' || ".join(_HASH.format(k, "docid", 16) for k in range(3)) + " AS codes FROM pages)"
+_LP = {k: "(-" + _HASH.format(k, "docid", 1000) + " / 100.0)" for k in "abcd"}
+SQL |= {
+    "query_instances": _PC + " SELECT qid, docid, array_to_string(" + _TOK.format("query") + ", ' ') AS tokens, codes FROM (SELECT DISTINCT qid, docid FROM qr) JOIN (SELECT DISTINCT qid, query FROM qs WHERE query IS NOT NULL) USING (qid) JOIN pc USING (docid)",
+    "pseudo_query_instances": _PC + " SELECT docid, array_to_string(" + _TOK.format("query") + r""", ' ') AS tokens, codes FROM (SELECT DISTINCT lower(regexp_replace(trim(docid), '^[\[\] ]+|[\[\] ]+$', '', 'g')) AS docid, query FROM pseudo_queries WHERE query IS NOT NULL) JOIN pc USING (docid)""",
+    "docid_embedding_init": BASE + ", t AS (SELECT DISTINCT docid, unnest(" + _TOK.format("title") + ") AS token FROM pages WHERE title IS NOT NULL) SELECT docid, i, round(sum(v / 1000.0) / (count(*) + 1), 6) AS x FROM (SELECT docid, unnest(range(4)) AS i, unnest([" + ", ".join(_HASH.format(k, "token", 1000) for k in range(4)) + "]) AS v FROM t) GROUP BY 1, 2",
+    "dpo_loss": f"SELECT qid, round(avg(greatest(0, -m) + ln(1 + exp(-abs(m)))), 6) AS loss FROM (SELECT qid, 0.4 * (({_LP['a']} - {_LP['c']}) - ({_LP['b']} - {_LP['d']})) AS m FROM bm25_run) GROUP BY 1",
+}

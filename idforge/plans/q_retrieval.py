@@ -60,7 +60,7 @@ def bounds(s, d):
     b, c, q = beams(s, d), short_codes(s, d), truth(s, d)
     out = None
     for o in ("worst", "random", "best"):
-        m = mean_metrics(evaluate(t.expand(b, c, q, o))).select(F.lit(o).alias("order"), F.round("mrr_10", 6).alias("mrr_10"), F.round("ndcg_10", 6).alias("ndcg_10"), "queries")
+        m = mean_metrics(evaluate(t.expand(b, c, q, o))).select(F.lit(o).alias("ordering"), F.round("mrr_10", 6).alias("mrr_10"), F.round("ndcg_10", 6).alias("ndcg_10"), "queries")
         out = m if out is None else out.unionByName(m)
     return out
 
@@ -149,3 +149,11 @@ SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC
     "reranked_queries": "SELECT docid, array_to_string(list(query ORDER BY len(" + _TOK.format("query") + ") DESC, query), '|') AS ranked FROM (SELECT DISTINCT docid, query FROM pseudo_queries WHERE query IS NOT NULL) GROUP BY 1",
     "restricted_vocabulary": "SELECT * FROM (SELECT term, 1 + row_number() OVER (ORDER BY term) AS id FROM (SELECT DISTINCT unnest(" + _TOK.format("text") + ") AS term FROM documents)) WHERE regexp_matches(term, '^[0-9-]+$')",
 }
+
+_ORDERS = {"worst": "good", "random": "md5('42|' || qid || '|' || doc)", "best": "-good"}
+SQL["metric_bounds"] = (
+    _BEAM
+    + ", h AS (SELECT bm.qid, rank, vec_id::VARCHAR AS doc, (vec_id = bm.qid::INT * 7 + 3)::INT AS good FROM bm JOIN codes ON codes.codes = bm.codes), "
+    + ", ".join(f"{o} AS (SELECT qid, min(r) AS r FROM (SELECT qid, good, row_number() OVER (PARTITION BY qid ORDER BY rank, {by}, doc) AS r FROM h) WHERE good = 1 AND r <= 10 GROUP BY 1)" for o, by in _ORDERS.items())
+    + " UNION ALL ".join(f" SELECT '{o}' AS ordering, round(avg(coalesce(1.0 / r, 0)), 6) AS mrr_10, round(avg(coalesce(1 / log2(r + 1), 0)), 6) AS ndcg_10, count(*) AS queries FROM range(20) t(q) LEFT JOIN {o} ON qid = q::VARCHAR" for o in _ORDERS)
+)
