@@ -93,3 +93,4 @@ SQL = {
     "results_upsert": R + "SELECT method, l, c, CASE WHEN l <= 2 AND c > 0 THEN 0.5 ELSE mrr END AS mrr, entropy, CASE WHEN l <= 2 THEN 'again' END AS note FROM r",
     "cross_dataset": R + "SELECT a.l, a.c, a.mrr AS mrr_a, b.mrr AS mrr_r, least(a.mrr, b.mrr) AS low, greatest(a.mrr, b.mrr) AS high, round((a.mrr + b.mrr) / 2, 6) AS middle FROM r a JOIN r b ON a.l = b.l AND a.c = b.c AND a.method = 'A' AND b.method = 'R'",
 }
+SQL["parameter_grid"] = "SELECT (row_number() OVER (ORDER BY levels, size)) - 1 AS number, encoding, levels, size FROM (VALUES ('pq', 1), ('rq', 4)) a(encoding, levels), (VALUES (128), (256), (512)) b(size)"
