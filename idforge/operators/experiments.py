@@ -13,6 +13,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from idforge.operators.ordering import dense_index
+
 
 def t_quantile(freedom: Column, z: float = 1.959963984540054) -> Column:
     """Student's t quantile for the normal quantile ``z``, by the Cornish-Fisher series (three terms)."""
@@ -98,9 +100,10 @@ def length_statistics(df: DataFrame, column: str) -> DataFrame:
 
 
 def token_sort(df: DataFrame, column: str) -> DataFrame:
-    """Numeric tokens by value first, then the others by text: ``place``."""
+    """Numeric tokens by value first, then the others by text: ``place`` from 1."""
     number = F.col(column).try_cast("int")
-    return df.withColumn("place", F.row_number().over(Window.orderBy(number.isNull(), number, column)))
+    keyed = df.withColumn("_text", number.isNull()).withColumn("_number", number)
+    return dense_index(keyed, ["_text", "_number", column], "place", 1).drop("_text", "_number")
 
 
 def upsert(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
