@@ -302,7 +302,8 @@ def near_duplicate_groups(df: DataFrame, row: str | Column, text: Column, width:
     edges = pairs.where(F.col("star") | enough).select(F.col("a").alias("u"), F.col("b").alias("v"))
     if int(counts.max(initial=0)) > hot:
         edges = edges.union(posts.where("other is not null").select(F.col("row").alias("u"), F.col("other").alias("v")))
-    shards = cut(connected_components(edges).where("node >= 0"), "shards")
+    # Hot tokens are nodes too; they drop out where the texts are joined.
+    shards = cut(connected_components(edges), "shards")
     sizes = shards.groupBy("component").agg(F.ceil(F.count("*") / shard_rows).cast("int").alias("g")).where(F.col("g") > 0)
     spread = shards.join(sizes, "component").withColumn("block", F.pmod(F.xxhash64("node"), F.col("g")).cast("int"))
     spread = spread.withColumn("x", F.explode(F.sequence(F.lit(0), F.col("g") - 1)))

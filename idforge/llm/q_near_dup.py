@@ -18,7 +18,13 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return groups(spark, d).where("row_no <> first_row_no").select("first_row_no", "row_no")
 
 
-QUERIES = {"p1_found": p1_found}
+def p1_groups(spark: SparkSession, d: str) -> DataFrame:
+    """Groups by size: how many there are, and the records in them."""
+    size = groups(spark, d).groupBy("first_row_no").agg(F.count("*").alias("size"))
+    return size.groupBy("size").agg(F.count("*").alias("groups"), F.sum("size").alias("records"))
+
+
+QUERIES = {"p1_found": p1_found, "p1_groups": p1_groups}
 
 SQL = {
     "p1_found": r"""
@@ -32,3 +38,5 @@ l AS (SELECT a, b FROM c JOIN n x ON x.row_no = a JOIN n y ON y.row_no = b WHERE
 r(node, seen) AS (SELECT DISTINCT a, a FROM l UNION SELECT l.b, r.seen FROM r JOIN l ON l.a = r.node)
 SELECT min(seen) AS first_row_no, node AS row_no FROM r GROUP BY node HAVING min(seen) <> node"""
 }
+_FOUND = SQL["p1_found"]
+SQL["p1_groups"] = _FOUND.replace("\nSELECT min(seen)", ", g AS (\nSELECT min(seen)", 1) + ") SELECT size, count(*) AS groups, sum(size) AS records FROM (SELECT first_row_no, count(*) + 1 AS size FROM g GROUP BY 1) GROUP BY 1"

@@ -26,8 +26,8 @@ def p2_splits(spark: SparkSession, d: str) -> DataFrame:
 def p2_shares(spark: SparkSession, d: str) -> DataFrame:
     """Records and share of each split."""
     by = cut(related_splits(_rows(spark, d), SHARES).groupBy("split").agg(F.count("*").alias("records"), F.countDistinct("component").alias("entities")), "shares")
-    total = by.agg(F.sum("records").alias("total"))
-    return by.crossJoin(F.broadcast(total)).select("split", "records", "entities", (F.col("records") / F.col("total")).alias("share"))
+    total = by.agg(F.sum("records")).first()[0] or 1
+    return by.select("split", "records", "entities", (F.col("records") / F.lit(total)).alias("share"))
 
 
 QUERIES = {"p2_found": p2_found, "p2_splits": p2_splits, "p2_shares": p2_shares}

@@ -61,19 +61,30 @@ def test_near_duplicates_match_brute_force(spark, block):
                 w[rng.randrange(len(w))] = rng.choice(WORDS)
             rows.append(" ".join(w if rng.random() < 0.8 else w[20:] + w[:20]))
     rows += [rows[0]] * 5 + [rows[0].upper() + "!"] + ["short text", "", None, "  ", base[1] + " " + base[2]]
-    df = spark.createDataFrame([(i * 3 + 7, t, "x") for i, t in enumerate(rows)], "row_no bigint, t string, h string")
+    df = spark.createDataFrame([(i * 3 - 47, t, "x") for i, t in enumerate(rows)], "row_no bigint, t string, h string")
     got = {(r.row_no, r.first_row_no) for r in near_dup.near_duplicate_groups(df, "row_no", F.col("t"), 3, 0.5, 20, shard_rows=block).collect()}
     sets = {}
     for i, t in enumerate(rows):
         w = words(t)
         if len(w) >= 20:
-            sets[i * 3 + 7] = set(zip(w, w[1:], w[2:]))
+            sets[i * 3 - 47] = set(zip(w, w[1:], w[2:]))
     links = [(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) >= 0.5 * len(sets[a] | sets[b])]
     root = union(links, sets)
     size = Counter(root.values())
     assert got == {(x, r) for x, r in root.items() if size[r] > 1}
 
 
+def test_hot_tokens_become_nodes(spark):
+    """Tokens above the limit link their rows through a node of their own."""
+    import numpy as np
+
+    df = spark.createDataFrame([(k, 4, [10, 11, 12, 13 + k]) for k in range(-2, 6)], "row_no bigint, n int, h array<bigint>")
+    posts = near_dup._postings(df, np.full(1 << 10, 50, np.uint32), 0.5, 20).collect()
+    assert posts and all(p.tok is None and p.other < 0 for p in posts)
+    edges = spark.createDataFrame([(p.row, p.other) for p in posts], "u bigint, v bigint")
+    assert len({r.component for r in connected_components(edges).collect()}) == 1
+
+
 def test_near_duplicates_of_nothing(spark):
     df = spark.createDataFrame([], "row_no bigint, t string")
     assert near_dup.near_duplicate_groups(df, "row_no", F.col("t")).count() == 0
