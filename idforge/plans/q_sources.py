@@ -98,7 +98,7 @@ def triples_file(s, d):
 def csv_file(s, d):
     p = folder(s, "csv")
     writers.csv(pages(s, d), p)
-    return readers.csv(s, p, "docid string, url string, title string", header=True, escape='"', multiLine=True, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+    return readers.csv(s, p, "docid string, url string, title string", header=True, escape='"', nullValue="\\N", emptyValue="", multiLine=True, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
 
 
 def pseudo(s, d):

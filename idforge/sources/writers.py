@@ -52,8 +52,9 @@ def triples(df: DataFrame, path: str) -> None:
     tsv_gz(df, path, ["qid", "query", "pos_url", "pos_docid", "neg_url", "neg_docid"])
 
 
-def csv(df: DataFrame, path: str) -> None:
-    df.write.options(header=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(path)
+def csv(df: DataFrame, path: str, null: str = "\\N") -> None:
+    """CSV with a header; nulls are written as ``null``, so that empty texts stay apart from them."""
+    df.write.options(nullValue=null, header=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(path)
 
 
 def parquet(df: DataFrame, path: str, by: tuple[str, ...] = ()) -> None:
