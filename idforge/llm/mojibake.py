@@ -45,6 +45,8 @@ _CASE = re.compile("[а-яё][А-ЯЁ]")
 #: Letters that make up most of Russian text.
 _COMMON = set("оеаинтсрвлкмдпу")
 _CONTROL = re.compile("[\x80-\x9f]")
+_CYRILLIC = re.compile("[Ѐ-ӿ]")
+_WESTERN = re.compile(f"[{_LETTERS}]")
 
 
 @functools.cache
@@ -63,7 +65,7 @@ def _to_bytes(codec: str) -> dict[int, str]:
 
 def _as_bytes(text: str, codec: str) -> bytes:
     """One byte for each character, a question mark for what ``codec`` doesn't have."""
-    if codec == "cp1252" and _CONTROL.search(text):
+    if codec in ("cp1252", "cp1251") and _CONTROL.search(text):
         return b"".join(bytes([ord(c)]) if "\x80" <= c <= "\x9f" else c.encode(codec, "replace") for c in text)
     return text.encode(codec, "replace")
 
@@ -74,8 +76,6 @@ def _plausible(got: str, was: str, before: str, after: str, codec: str) -> bool:
         return False
     if re.search("[Ѐ-ӿ]", got) and len(got) < 2:
         return False
-    if codec in ("cp1251", "koi8_r") and len(got) < 2:
-        return False
     # An accented letter and closing punctuation may just be the end of a quoted word.
     if len(was) == 2 and was[1] in _CLOSING and was[0].isalpha() and codec in ("cp1252", "mac_roman"):
         if codec == "mac_roman" or was[0] not in "ÃÂ":
@@ -86,14 +86,44 @@ def _plausible(got: str, was: str, before: str, after: str, codec: str) -> bool:
     return True
 
 
+def _single_stands(was: str, before: str, after: str, foreign: bool, others: bool) -> bool:
+    """Whether a span of one character that isn't Cyrillic counts under a Cyrillic encoding.
+
+    Right Russian has such spans too ("её", "В»", "в…”"), among letters of its own.
+    ``foreign``: the text has Cyrillic outside the spans; ``others``: other spans count.
+    """
+    if _CYRILLIC.match(before) or _CYRILLIC.match(after):
+        return False
+    if _WESTERN.match(before) or _WESTERN.match(after) or others:
+        return True
+    closed = all(c in _CLOSING for c in was[1:])
+    if foreign:
+        return len(was) > 2 and not closed
+    return not closed or not before.strip()
+
+
 def _spans(text: str, codec: str) -> tuple[str, int]:
     """Text with its well-formed spans under ``codec`` decoded, and how many characters they had."""
     raw = _as_bytes(text, codec)
+    spans = [(*m.span(), m[0].decode("utf-8")) for m in _FORMED.finditer(raw)]
+    if not spans:
+        return text, 0
+    good = [_plausible(got, text[a:b], text[max(0, a - 1) : a], text[b : b + 1], codec) for a, b, got in spans]
+    if codec in ("cp1251", "koi8_r"):
+        alone = [k for k, (_, _, got) in enumerate(spans) if good[k] and len(got) == 1]
+        for k in alone:
+            good[k] = False
+        if alone:
+            foreign = len(_CYRILLIC.findall(text)) > sum(len(_CYRILLIC.findall(text[a:b])) for a, b, _ in spans)
+            for others in (False, True):
+                if others and not any(g and not _CYRILLIC.search(got) for g, (_, _, got) in zip(good, spans, strict=True)):
+                    break
+                for k in alone:
+                    a, b, _ = spans[k]
+                    good[k] = good[k] or _single_stands(text[a:b], text[max(0, a - 1) : a], text[b : b + 1], foreign, others)
     out, at, n = [], 0, 0
-    for m in _FORMED.finditer(raw):
-        a, b = m.span()
-        got, was = m[0].decode("utf-8"), text[a:b]
-        if _plausible(got, was, text[a - 1 : a], text[b : b + 1], codec):
+    for (a, b, got), g in zip(spans, good, strict=True):
+        if g:
             out += [text[at:a], got]
             at, n = b, n + b - a
     return "".join([*out, text[at:]]), n

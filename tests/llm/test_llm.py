@@ -15,7 +15,7 @@ from idforge.llm.fold import split_words
 from idforge.llm.format_dup import collapse_formats, format_copies, same_words
 from idforge.llm.leakage import leaked_items
 from idforge.llm.mixing import mix_sources, pivot
-from idforge.llm.mojibake import garbled, restore
+from idforge.llm.mojibake import MULTIBYTE, garbled, restore
 from idforge.llm.splits import entity_components, related_splits
 from idforge.llm.words import title_key_col, words
 
@@ -289,6 +289,25 @@ def test_wrong_texts_come_back():
     assert restore("Seg�n Ga�ado")[1:] == (True, True)
 
 
+LANGUAGES = [
+    "The café of Gerivø — a “naïve” résumé.", "Le garçon a déjà mangé à l’été, près d’une île.", "Später gründete man die Brücke „Sapoka“ für 3 €.", "La montaña «Guguba» está aquí, señor.", "São Paulo é uma nação; não há pão.",
+    "Почему холм не открыл свой берег? Здесь новый мост.",
+]
+
+
+@pytest.mark.parametrize("read", MULTIBYTE)
+def test_every_language_comes_back_from_every_reading(read):
+    for t in LANGUAGES:
+        wrong = "".join(bytes([b]).decode(read, "ignore") or chr(b) for b in t.encode())
+        assert restore(wrong)[:2] == (t, True), (t, read)
+
+
+def test_single_letters_under_cyrillic_readings():
+    assert restore("cafц╘") == ("café", True, False) and restore("le rГ©sumГ© franГ§ais") == ("le résumé français", True, False)
+    for t in ("Её ребёнок идёт, её мать ещё здесь.", "Витамин «В» и группа «Г», раздел В» и Г…", "Он сказал: «Я был в…”", "В\xa0городе Г\xa0и Д", "the letter «Г» of it"):
+        assert restore(t) == (t, False, False), t
+
+
 def test_garbled_rows(spark):
     df = spark.createDataFrame([(1, "cafÃ©", "a"), (2, "café", "b"), (3, None, "c"), (4, "", "d"), (1, "cafÃ©", "e")], "doc_id bigint, text string, restored string")
     assert sorted((r.doc_id, r.restored, r.lost) for r in garbled(df).collect()) == [(1, "café", False)] * 2
