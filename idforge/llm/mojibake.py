@@ -46,6 +46,10 @@ _CASE = re.compile("[а-яё][А-ЯЁ]")
 _COMMON = set("оеаинтсрвлкмдпу")
 _CONTROL = re.compile("[\x80-\x9f]")
 _CYRILLIC = re.compile("[Ѐ-ӿ]")
+#: One-letter Russian words under a Cyrillic reading that are no word of any Cyrillic text.
+_NO_WORD = re.compile("[РС][ЃѓєѕЏ]|[пя][╦╡╨╬┐▐]")
+#: Lead characters of Cyrillic whose second byte is gone.
+_HALF = re.compile("[ÐÑ](?=[а-яё])|(?<=[а-яё])[ÐÑ]")
 _WESTERN = re.compile(f"[{_LETTERS}]")
 
 
@@ -74,8 +78,9 @@ def _plausible(got: str, was: str, before: str, after: str, codec: str) -> bool:
     control = codec == "cp1252" and len(got) > 1  # what was misread twice shows controls after the first pass
     if not all(_PLAIN.match(c) or ord(c) > 0xFFFF or control and "\x80" <= c <= "\x9f" for c in got):
         return False
-    if re.search("[Ѐ-ӿ]", got) and len(got) < 2:
-        return False
+    if len(got) == 1 and _CYRILLIC.match(got):
+        # A word of its own, or beside Cyrillic and what is left of it.
+        return not any(c.isalpha() and not _CYRILLIC.match(c) and (codec != "cp1252" or c not in "ÐÑ") for c in (before, after))
     # An accented letter and closing punctuation may just be the end of a quoted word.
     if len(was) == 2 and was[1] in _CLOSING and was[0].isalpha() and codec in ("cp1252", "mac_roman"):
         if codec == "mac_roman" or was[0] not in "ÃÂ":
@@ -109,18 +114,20 @@ def _spans(text: str, codec: str) -> tuple[str, int]:
     if not spans:
         return text, 0
     good = [_plausible(got, text[a:b], text[max(0, a - 1) : a], text[b : b + 1], codec) for a, b, got in spans]
-    if codec in ("cp1251", "koi8_r"):
-        alone = [k for k, (_, _, got) in enumerate(spans) if good[k] and len(got) == 1]
-        for k in alone:
-            good[k] = False
-        if alone:
-            foreign = len(_CYRILLIC.findall(text)) > sum(len(_CYRILLIC.findall(text[a:b])) for a, b, _ in spans)
-            for others in (False, True):
-                if others and not any(g and not _CYRILLIC.search(got) for g, (_, _, got) in zip(good, spans, strict=True)):
-                    break
-                for k in alone:
-                    a, b, _ = spans[k]
-                    good[k] = good[k] or _single_stands(text[a:b], text[max(0, a - 1) : a], text[b : b + 1], foreign, others)
+    own = codec in ("cp1251", "koi8_r")  # the misread characters are Cyrillic themselves
+    alone = [k for k, (_, _, got) in enumerate(spans) if good[k] and len(got) == 1 and (own or _CYRILLIC.match(got))]
+    for k in alone:
+        good[k] = False
+    if alone:
+        foreign = len(_CYRILLIC.findall(text)) > sum(len(_CYRILLIC.findall(text[a:b])) for a, b, _ in spans)
+        russian = not own and foreign or any(g and _CYRILLIC.search(got) for g, (_, _, got) in zip(good, spans, strict=True))
+        for others in (False, True):
+            if others and not any(g and not _CYRILLIC.search(got) for g, (_, _, got) in zip(good, spans, strict=True)):
+                break
+            for k in alone:
+                a, b, got = spans[k]
+                # The words и, в, с, к, у, о, я are one letter; they need Russian around them.
+                good[k] = good[k] or (russian or foreign and bool(_NO_WORD.fullmatch(text[a:b])) if _CYRILLIC.match(got) else _single_stands(text[a:b], text[max(0, a - 1) : a], text[b : b + 1], foreign, others))
     out, at, n = [], 0, 0
     for (a, b, got), g in zip(spans, good, strict=True):
         if g:
@@ -136,18 +143,23 @@ _LOWER = re.compile("â[€‚ƒ„…†‡ˆ‰š‹œž\x80-\x9f][\x80-\xbfŒ
 def _lowered(text: str) -> tuple[str, int]:
     """Spans whose lead characters were lower-cased after the wrong reading."""
     n = 0
+    if not _LOWER.search(text):
+        return text, 0
+    russian = bool(_CYRILLIC.search(text)) or any(m[0][0] in "ðñ" and len(m[0]) >= 4 for m in _LOWER.finditer(text))
 
     def fix(m: re.Match) -> str:
         nonlocal n
         was = m[0]
         if was[0] in "ãâ" and len(was) == 2 and was[1] in _CLOSING:
             return was
-        if was[0] in "ðñ" and len(was) < 4:
+        if was[0] in "ðñ" and len(was) < 4 and not (russian and not re.match("[A-Za-z]", text[max(0, m.start() - 1) : m.start()]) and not re.match("[A-Za-z]", text[m.end() : m.end() + 1])):
             return was
         raw = []
         for k, c in enumerate(was):
             lead = c in "ãâðñ" and (k == 0 or was[0] in "ðñ" and k % 2 == 0)
             up = {"ã": 0xC3, "â": 0xE2 if len(was) == 3 else 0xC2, "ð": 0xD0, "ñ": 0xD1}.get(c) if lead else None
+            if up is None and k and was[k - 1] == "ñ" and c in "šœž":
+                up = {"š": 0x8A, "œ": 0x8C, "ž": 0x8E}[c]  # ъ, ь, ю
             if up is None:
                 up = 0x9F if c == "ÿ" else ord(_to_bytes("cp1252").get(ord(c), "\0"))
             raw.append(up)
@@ -259,7 +271,7 @@ def restore(text: str | None) -> tuple[str | None, bool, bool]:
         now, found = _single(now)
     if found:
         now = re.sub("Ã[  ](?=\\S)", "à ", now)
-    lost = "�" in now or bool(_CONTROL.search(now))
+    lost = "�" in now or bool(_CONTROL.search(now)) or found and bool(_HALF.search(now))
     return now, found or lost, lost
 
 

@@ -308,6 +308,21 @@ def test_single_letters_under_cyrillic_readings():
         assert restore(t) == (t, False, False), t
 
 
+@pytest.mark.parametrize("read", ["latin-1", *MULTIBYTE])
+def test_one_letter_words_come_back(read):
+    t = "Вот мост и канал, а я и он в городе у реки с холмом; О нём."
+    wrong = "".join(bytes([b]).decode(read, "ignore") or chr(b) for b in t.encode())
+    assert restore(wrong) == (t, True, False)
+
+
+def test_one_letter_words_alone():
+    assert restore("Это мост Ð¸ канал.") == ("Это мост и канал.", True, False)
+    assert restore("Ð¼Ð¾ÑÑ Ð¸ ÐºÐ°Ð½Ð°Ð»") == ("моÑÑ и канал", True, True)
+    assert restore("Ð´Ð°Ð»ÑŒÐ½Ð¸Ð¹ Ð¸ ÑŽÐ³".lower())[:2] == ("дальний и юг", True)
+    for t in ("Витамин Р» и С», Рё Симидзу", "Åland — Å и мост –Åland"):
+        assert restore(t) == (t, False, False), t
+
+
 def test_garbled_rows(spark):
     df = spark.createDataFrame([(1, "cafÃ©", "a"), (2, "café", "b"), (3, None, "c"), (4, "", "d"), (1, "cafÃ©", "e")], "doc_id bigint, text string, restored string")
     assert sorted((r.doc_id, r.restored, r.lost) for r in garbled(df).collect()) == [(1, "café", False)] * 2
