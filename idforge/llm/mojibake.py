@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import functools
 import re
+import unicodedata
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -28,6 +29,8 @@ CYRILLIC = (("cp1251", "koi8_r"), ("koi8_r", "cp1251"), ("cp1252", "cp1251"), ("
 _FORMED = re.compile(rb"(?:[\xC2-\xDF][\x80-\xBF]|\xE0[\xA0-\xBF][\x80-\xBF]|[\xE1-\xEC\xEE\xEF][\x80-\xBF]{2}|\xED[\x80-\x9F][\x80-\xBF]|\xF0[\x90-\xBF][\x80-\xBF]{2}|[\xF1-\xF3][\x80-\xBF]{3}|\xF4[\x80-\x8F][\x80-\xBF]{2})+")
 #: Punctuation that closes or joins words in right text, so that it may follow an accented letter.
 _CLOSING = set("”’»…–—“‘›„‚«‹")
+#: What may also follow a letter in right text: spaces, signs of Spanish, ё and the letters of Ukrainian.
+_SOFT = _CLOSING | set("\xa0¡¿°²³¹ªº·÷ёЁіІїЇєЄґҐ№")
 _LATIN = "À-ÖØ-öø-ÿĀ-ſȘșȚțẞẠ-ỹ"
 _PLAIN = re.compile(f"[{_LATIN}\\xa0-\\xbf×÷‐-‧‰-⁞₠-₿ℂ-ⅎ←-⇿∀-⋿─-╿А-яЁёІіЇїЄєҐґ]")
 _CJK = re.compile("[㐀-鿿︰-﹯]+(?:[�\x00-\x7f])?")
@@ -74,10 +77,60 @@ def _as_bytes(text: str, codec: str) -> bytes:
     return text.encode(codec, "replace")
 
 
-def _plausible(got: str, was: str, before: str, after: str, codec: str) -> bool:
+@functools.cache
+def _rare(c: str) -> bool:
+    """Whether ``c`` is an assigned character that needs more evidence than those of ``_PLAIN``."""
+    return unicodedata.category(c) not in ("Cn", "Co", "Cs", "Cc")
+
+
+def _pieces(a: int, got: str, codec: str) -> list[tuple[int, int, str]]:
+    """A well-formed span from ``a``, cut at characters that no text has: (start, end, decoded)."""
     control = codec == "cp1252" and len(got) > 1  # what was misread twice shows controls after the first pass
-    if not all(_PLAIN.match(c) or ord(c) > 0xFFFF or control and "\x80" <= c <= "\x9f" for c in got):
+    out, start, held = [], a, ""
+    for c in got:
+        n = 2 if c < "\u0800" else 3 if c <= "\uffff" else 4
+        if _PLAIN.match(c) or _rare(c) or control and "\x80" <= c <= "\x9f":
+            held += c
+        else:
+            if held:
+                out.append((start, a, held))
+            start, held = a + n, ""
+        a += n
+    return [*out, (start, a, held)] if held else out
+
+
+def _rare_stands(got: str, was: str, before: str, after: str, codec: str) -> bool:
+    """Whether a span with characters outside ``_PLAIN`` counts."""
+    if "\ufeff" in got or "\ufffd" in got:
+        return True
+    cased = was.isalpha() and (was.islower() or was.isupper() or was.istitle())
+    if cased and (codec in ("mac_roman", "cp850") or codec == "cp437" and len(was) == 2):
+        return False  # accented letters only, as in single-byte text
+    if len(got) > 1:
+        # Letters of other scripts come in words. Frames drawn with lines may be well-formed, too.
+        framed = codec in ("cp437", "koi8_r", "cp850") and all("─" <= c <= "▟" for c in was)
+        return not framed or sum(map(str.isalpha, got)) > 2
+    if before.isupper():
         return False
+    if len(was) > 2:
+        if "\u2000" <= got <= "\u206f" or codec == "cp1252" and was[0] == "â" and not before.isalpha():
+            return True
+        return was[1] != "\xa0" and not all(c in _SOFT or c in "©®™€" for c in was[1:])
+    if all(c in _SOFT for c in was[1:]) or was.isalpha() or all("─" <= c <= "▟" for c in was):
+        return False
+    if codec == "mac_roman" and was[0] in _SOFT:
+        return False
+    if unicodedata.combining(got):
+        return got < "Ͱ" and before.isalpha()
+    # Latin's rare letters are Ç to É before a symbol; under the others right text has such pairs ("«Ç", "ã¼").
+    return "ɐ" <= got <= "Ͽ" or "ƀ" <= got and got < "ɐ" and codec not in ("mac_roman", "cp437", "cp850")
+
+
+def _plausible(got: str, was: str, before: str, after: str, codec: str) -> bool:
+    if any(not _PLAIN.match(c) and _rare(c) for c in got):
+        return _rare_stands(got, was, before, after, codec)
+    if codec in ("cp437", "cp850") and len(got) == 1 and all("─" <= c <= "▟" for c in (*was, before or after or " ")) and not _CYRILLIC.match(got):
+        return False  # a corner of a frame
     if len(got) == 1 and _CYRILLIC.match(got):
         # A word of its own, or beside Cyrillic and what is left of it.
         return not any(c.isalpha() and not _CYRILLIC.match(c) and (codec != "cp1252" or c not in "ÐÑ") for c in (before, after))
@@ -101,7 +154,7 @@ def _single_stands(was: str, before: str, after: str, foreign: bool, others: boo
         return False
     if _WESTERN.match(before) or _WESTERN.match(after) or others:
         return True
-    closed = all(c in _CLOSING for c in was[1:])
+    closed = all(c in _SOFT for c in was[1:])
     if foreign:
         return len(was) > 2 and not closed
     return not closed or not before.strip()
@@ -110,12 +163,12 @@ def _single_stands(was: str, before: str, after: str, foreign: bool, others: boo
 def _spans(text: str, codec: str) -> tuple[str, int]:
     """Text with its well-formed spans under ``codec`` decoded, and how many characters they had."""
     raw = _as_bytes(text, codec)
-    spans = [(*m.span(), m[0].decode("utf-8")) for m in _FORMED.finditer(raw)]
+    spans = [x for m in _FORMED.finditer(raw) for x in _pieces(m.start(), m[0].decode("utf-8"), codec)]
     if not spans:
         return text, 0
     good = [_plausible(got, text[a:b], text[max(0, a - 1) : a], text[b : b + 1], codec) for a, b, got in spans]
     own = codec in ("cp1251", "koi8_r")  # the misread characters are Cyrillic themselves
-    alone = [k for k, (_, _, got) in enumerate(spans) if good[k] and len(got) == 1 and (own or _CYRILLIC.match(got))]
+    alone = [k for k, (_, _, got) in enumerate(spans) if good[k] and (len(got) == 1 and (own or _CYRILLIC.match(got)) or own and not all(map(_PLAIN.match, got)))]
     for k in alone:
         good[k] = False
     if alone:

@@ -323,6 +323,23 @@ def test_one_letter_words_alone():
         assert restore(t) == (t, False, False), t
 
 
+@pytest.mark.parametrize("read", ["latin-1", *MULTIBYTE])
+def test_other_scripts_come_back(read):
+    for t in ("שלום עולם", "مرحبا بك", "Ελληνικά λόγια", "日本語 text", "한국어", "\ufeffText", "Oui\u202f! Ça", "le café\u202f!", "x\u200by", "a\u2009b"):
+        wrong = "".join(bytes([b]).decode(read, "ignore") or chr(b) for b in t.encode())
+        assert restore(wrong) == (t, True, False), (t, read)
+
+
+def test_other_characters_come_back():
+    assert restore("25 Î© and É™, aÌ\x81 â˜…")[:2] == ("25 Ω and ə, a\u0301 ★", True)
+    assert restore("aï¿½b") == ("a\ufffdb", True, True)
+    right = [
+        "forêt\xa0: été\xa0» à\xa0«x»", "CAFÉ™ Ø±0.5 mm ×° 3×²", "„Spaß“ ß»", "╔═══╗ ║ x ║ ╚═══╝", "┌──┐ │ ├──┤ └──┘", "Компанії Наталії дії її мії лінії", "«Он пошёл и…», Её\xa0мать",
+        "payé\xa0€", "Ελληνικά שלום 日本語 ●■ ★ 25 Ω", "«Çimalü» «Ñasami»", "charter,\xa0Ñabedo", "aqué¿¡ É» Ê…",
+    ]
+    assert [t for t in right if restore(t) != (t, False, False)] == []
+
+
 def test_garbled_rows(spark):
     df = spark.createDataFrame([(1, "cafÃ©", "a"), (2, "café", "b"), (3, None, "c"), (4, "", "d"), (1, "cafÃ©", "e")], "doc_id bigint, text string, restored string")
     assert sorted((r.doc_id, r.restored, r.lost) for r in garbled(df).collect()) == [(1, "café", False)] * 2
