@@ -7,6 +7,11 @@ fingerprints within ``radius`` agree in a block, so no pair within the radius
 is missed. What agrees is verified on the words themselves: exact equality of
 the run, or the similarity of weighted shingles.
 
+An edited copy may differ in every such window. So windows as long as the whole
+item are compared, too, by shingles narrow enough for one replaced word in each
+run to keep the wanted similarity. Their candidates share the item's rarest shingles: what
+the rest weighs alone can't reach the threshold, so no pair is missed.
+
 Only the items are broadcast, in blocks of at most ``ITEM_WINDOWS`` windows; more
 items mean more passes, not a larger broadcast.
 """
@@ -102,7 +107,93 @@ class ItemIndex:
         return pair // len(own), pair % len(own)
 
 
-def _search(batches, index: ItemIndex, threshold: float):
+MIX = np.uint64(0x9E3779B97F4A7C15)
+#: Share of an item's weight that is looked up, its rarest shingles first.
+LOOKED_UP = 0.6
+
+
+def shingle_hashes(words: np.ndarray, k: int) -> np.ndarray:
+    """A hash of the ``k`` words from each position."""
+    out = np.zeros(max(0, len(words) - k + 1), np.uint64)
+    for j in range(k):
+        out = (out ^ words[j : j + len(out)]) * MIX
+        out ^= out >> np.uint64(29)
+    return out
+
+
+class WholeItems:
+    """Items as sets of weighted shingles, for windows as long as the item."""
+
+    def __init__(self, items: list[tuple[int, str]], run: int, shingle: int, threshold: float):
+        self.threshold, self.widths = threshold, {}
+        w = split_words([t for _, t in items])
+        hashes, per_row = w.hashes(), w.per_row()
+        starts = np.cumsum(per_row) - per_row
+        by: dict[int, list[tuple[int, int, np.ndarray]]] = {}
+        for (item, _), s, n in zip(items, starts, per_row, strict=True):
+            if n:
+                # One word replaced in each run changes k of run shingles on both sides.
+                k = max(1, min(shingle, int(run * (1 - threshold) / (1 + threshold))))
+                by.setdefault(k, []).append((item, int(n), np.unique(shingle_hashes(hashes[s : s + n], k))))
+        for k, rows in by.items():
+            known, counts = np.unique(np.concatenate([r[2] for r in rows]), return_counts=True)
+            weight = np.log(1 + counts.sum() / counts)
+            own = [weight[np.searchsorted(known, g)] for _, _, g in rows]
+            keys, at, least = [], [], np.zeros(len(rows))
+            for i, ((_, _, g), x) in enumerate(zip(rows, own, strict=True)):
+                order = np.argsort(-x, kind="stable")
+                cut = int(np.searchsorted(np.cumsum(x[order]), LOOKED_UP * x.sum())) + 1
+                keys.append(g[order[:cut]])
+                at.append(np.full(len(keys[-1]), i))
+                least[i] = threshold * x.sum() - x[order[cut:]].sum() - 1e-9
+            keys, at = np.concatenate(keys), np.concatenate(at)
+            order = np.argsort(keys, kind="stable")
+            total = np.array([x.sum() for x in own])
+            self.widths[k] = ([r[0] for r in rows], np.array([r[1] for r in rows]), [r[2] for r in rows], own, total, known, weight, float(np.log(1 + counts.sum())), keys[order], at[order], least)
+
+    def found(self, words: np.ndarray, row: np.ndarray):
+        """(row, item, similarity) of the best window of each row and item at the threshold."""
+        if not len(words):
+            return
+        ends = np.searchsorted(row, np.arange(row[-1] + 2))
+        for k, (ids, sizes, grams, own, total, known, weight, unseen, keys, at, least) in self.widths.items():
+            h = shingle_hashes(words, k)
+            pos = np.flatnonzero(row[: len(h)] == row[k - 1 :])
+            left = np.searchsorted(keys, h[pos], "left")
+            n = np.searchsorted(keys, h[pos], "right") - left
+            hit = np.repeat(pos, n)
+            if not len(hit):
+                continue
+            key = np.repeat(left, n) + np.arange(len(hit)) - np.repeat(np.cumsum(n) - n, n)
+            # Each shingle of an item once a row.
+            once = np.unique(row[hit].astype(np.int64) * len(keys) + key)
+            r, key = once // len(keys), once % len(keys)
+            pair, group = np.unique(r * len(ids) + at[key], return_inverse=True)
+            held = np.bincount(group, weight[np.searchsorted(known, keys[key])])
+            for q in pair[held >= least[pair % len(ids)]].tolist():
+                d, i = divmod(q, len(ids))
+                mine = h[ends[d] : max(ends[d], ends[d + 1] - k + 1)]
+                s = self.best(mine, int(sizes[i]) - k + 1, grams[i], own[i], total[i], known, weight, unseen)
+                if s >= self.threshold:
+                    yield d, ids[i], s
+
+    def best(self, mine, size, grams, own, total, known, weight, unseen) -> float:
+        """The highest similarity of a window of ``size`` shingles (all of them, where there are fewer)."""
+        size = min(size, len(mine))
+        at = np.minimum(np.searchsorted(grams, mine), len(grams) - 1)
+        shared = np.where(grams[at] == mine, own[at], 0.0)
+        sums = np.concatenate([[0.0], np.cumsum(shared)])
+        top = 0.0
+        for p in np.flatnonzero(sums[size:] - sums[:-size] >= self.threshold * total - 1e-9).tolist():
+            x = np.unique(mine[p : p + size])
+            to = np.minimum(np.searchsorted(known, x), len(known) - 1)
+            each = np.where(known[to] == x, weight[to], unseen)
+            both = each[np.isin(x, grams)].sum()
+            top = max(top, float(both / (each.sum() + total - both)))
+        return min(top, 1.0)
+
+
+def _search(batches, index: ItemIndex, threshold: float, whole_items: WholeItems | None = None):
     for batch in batches:
         ids, texts = batch.column(0).to_numpy(), batch.column(1).to_pylist()
         best: dict[tuple[int, int], tuple[float, bool]] = {}
@@ -123,19 +214,23 @@ def _search(batches, index: ItemIndex, threshold: float):
                     whole = bool((x == y).all())
                     s = 1.0 if whole else index.similarity(x, y)
                     if s >= threshold:
-                        best[key] = max(best.get(key, (0.0, False)), (s, whole))
+                        best[key] = max(best.get(key, (0.0, False)), (s, whole), key=lambda x: (x[1], x[0]))
+            for d, r, s in whole_items.found(words, w.row) if whole_items else ():
+                key = (int(ids[lo + d]), r)
+                best[key] = max(best.get(key, (0.0, False)), (s, False), key=lambda x: (x[1], x[0]))
         cols = zip(*((d, i, s, x) for (d, i), (s, x) in best.items()), strict=True) if best else ((), (), (), ())
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int64(), pa.float64(), pa.bool_()), strict=True)], ["doc_id", "item_id", "similarity", "whole"])
 
 
-def leaked_items(docs: DataFrame, items: DataFrame, doc: str = "doc_id", text: str = "text", item: str = "item_id", passage: str = "passage", run: int = 13, radius: int = 3, shingle: int = 5, threshold: float = 0.8) -> DataFrame:
+def leaked_items(docs: DataFrame, items: DataFrame, doc: str = "doc_id", text: str = "text", item: str = "item_id", passage: str = "passage", run: int = 13, radius: int = 3, shingle: int = 5, threshold: float = 0.8, near: bool = True) -> DataFrame:
     """Documents that hold a passage of an item: ``doc_id``, ``item_id``, ``similarity``, ``whole``.
 
     ``whole``: a run of ``run`` consecutive words is the same in both (for an
     item with fewer words, all its words are one run of the document); these
-    are found without exception. Otherwise a window of the document is within
-    ``radius`` bits of a window of the item and their weighted shingles are
-    ``threshold`` similar. Null and wordless texts and items match nothing.
+    are found without exception. Otherwise a window of the document as long as
+    the item is ``threshold`` similar to it by weighted shingles, narrow
+    enough for one replaced word in each run (found without exception, unless ``near`` is false), or a
+    window of a run is within ``radius`` bits of one of the item and as similar. Null and wordless texts and items match nothing.
     Documents with a repeated id are one document; empty tables give an empty
     result.
     """
@@ -146,7 +241,7 @@ def leaked_items(docs: DataFrame, items: DataFrame, doc: str = "doc_id", text: s
     texts, out = spread(texts), None
     for k in range(passes):
         rows = [(r["i"], r["p"]) for r in given.where(F.pmod(F.xxhash64("i"), F.lit(passes)) == k).orderBy("i").collect()]
-        sent = docs.sparkSession.sparkContext.broadcast(ItemIndex(rows, run, radius, shingle))
-        found = texts.mapInArrow(lambda x, sent=sent: _search(x, sent.value, threshold), FOUND)
+        sent = docs.sparkSession.sparkContext.broadcast((ItemIndex(rows, run, radius, shingle), WholeItems(rows, run, shingle, threshold) if near else None))
+        found = texts.mapInArrow(lambda x, sent=sent: _search(x, sent.value[0], threshold, sent.value[1]), FOUND)
         out = found if out is None else out.union(found)
     return out.groupBy("doc_id", "item_id").agg(F.max("similarity").alias("similarity"), F.max("whole").alias("whole"))

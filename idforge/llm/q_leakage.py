@@ -6,15 +6,15 @@ from pyspark.sql import functions as F
 from idforge.llm.leakage import leaked_items
 
 
-def _leaks(spark: SparkSession, d: str) -> DataFrame:
+def _leaks(spark: SparkSession, d: str, near: bool = True) -> DataFrame:
     docs = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text")
     items = spark.read.parquet(f"{d}/eval_passages.parquet").select("item_id", "passage")
-    return leaked_items(docs, items)
+    return leaked_items(docs, items, near=near)
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     """Documents with the items of which they hold a run of words."""
-    return _leaks(spark, d).where("whole").select("doc_id", "item_id")
+    return _leaks(spark, d, near=False).where("whole").select("doc_id", "item_id")
 
 
 def p6_report(spark: SparkSession, d: str) -> DataFrame:

@@ -1,5 +1,6 @@
 """The training-data operators against brute force, on small tables with odd rows among them."""
 
+import math
 import random
 import re
 from collections import Counter, defaultdict
@@ -239,6 +240,32 @@ def test_leaks_match_brute_force(spark):
     assert leaked_items(d.limit(0), t).count() == 0 and leaked_items(d, t.limit(0)).count() == 0
 
 
+def test_edited_items_are_near(spark):
+    rng = random.Random(8)
+    items = [(k, sentence(rng, n)) for k, n in enumerate([12, 13, 14, 20, 30, 49, 80])]
+    docs = [(100, sentence(rng, 60))]
+    for k, p in items:
+        w = p.split()
+        w[len(w) // 2] = "replaced"
+        docs += [(k, f"{sentence(rng, 25)} {' '.join(w)} {sentence(rng, 25)}"), (200 + k, " ".join(w))]
+    # A word in every run of 13 is another one.
+    w = [x if i % 12 != 6 else "other" + str(i) for i, x in enumerate(items[6][1].split())]
+    docs.append((300, " ".join(w)))
+    d, t = spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, passage string")
+    got = {(r.doc_id, r.item_id): r.similarity for r in leaked_items(d, t).collect()}
+    assert {(k, k) for k, _ in items} | {(200 + k, k) for k, _ in items} | {(300, 6)} <= set(got)
+    assert not any(a == 100 for a, _ in got)
+    # Brute force over all windows, by single words with the same weights.
+    seen = Counter(x for _, p in items for x in set(words(p)))
+    weigh = lambda s: sum(math.log(1 + sum(seen.values()) / seen[x]) if x in seen else math.log(1 + sum(seen.values())) for x in s)
+    for k, p in items:
+        for i, x in docs:
+            x, a = words(x), set(words(p))
+            n = min(len(words(p)), len(x))
+            s = max(weigh(a & b) / weigh(a | b) for b in (set(x[j : j + n]) for j in range(len(x) - n + 1)))
+            assert (s >= 0.8) == ((i, k) in got) and (s < 0.8 or got[i, k] >= s - 1e-9)
+
+
 def test_pivot_keeps_mass():
     rng = random.Random(2)
     for _ in range(300):
