@@ -145,7 +145,10 @@ def robustness_ranking(before: DataFrame, after: DataFrame, name: str, seed: int
 
 
 def prefix_profile(docs: DataFrame, longest: int, per_group: int = 16, seed: int = 42, key: str = "vec_id") -> DataFrame:
-    """Similarity within prefix groups by length, weighted by group size: mean, deviation and 95 % interval."""
+    """Similarity within prefix groups by length, over the pairs of at most ``per_group`` members each: mean, deviation and 95 % interval.
+
+    Groups at the cap all weigh the same; ``prefix_means`` has the mean over all documents.
+    """
     h = F.md5(F.concat_ws("|", F.lit(seed), F.col(key)))
     g = prefix_groups(docs, longest).withColumn("r", F.row_number().over(Window.partitionBy("k", "prefix").orderBy(h, key))).where(F.col("r") <= per_group)
     a, b = g.alias("a"), g.alias("b")
@@ -156,6 +159,25 @@ def prefix_profile(docs: DataFrame, longest: int, per_group: int = 16, seed: int
     return out.select("*", (F.col("mean") - half).alias("low"), (F.col("mean") + half).alias("high"))
 
 
+def prefix_means(docs: DataFrame, longest: int) -> DataFrame:
+    """Mean embedding cosine within prefix groups, over all their pairs: ``k``, ``similarity``, ``pairs``, ``groups``, ``docs``.
+
+    A group's mean is had from the sum of its unit vectors, (|sum|^2 - n) / (n (n - 1)),
+    so no pair is formed and no document left out; ``similarity`` weights
+    groups by size. Groups of one and null or zero vectors count nowhere.
+    """
+    v = F.transform("embedding", lambda x: x.cast("double"))
+    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda t, x: t + x * x))
+    units = docs.select("codes", v.alias("v")).withColumn("norm", norm).where("norm > 0").select("codes", F.transform("v", lambda x: x / F.col("norm")).alias("u"))
+    parts = prefix_groups(units, longest).select("k", "prefix", F.posexplode("u").alias("i", "x"))
+    sums = parts.groupBy("k", "prefix", "i").agg(F.sum("x").alias("x"), F.count("*").alias("n"))
+    groups = sums.groupBy("k", "prefix").agg(F.sum(F.col("x") * F.col("x")).alias("q"), F.max("n").alias("n")).where("n > 1")
+    n = F.col("n")
+    return groups.groupBy("k").agg(
+        (F.sum((F.col("q") - n) / (n - 1)) / F.sum(n)).alias("similarity"), F.sum((n * (n - 1) / 2).cast("bigint")).alias("pairs"), F.count("*").alias("groups"), F.sum(n).alias("docs")
+    )
+
+
 def duplicate_census(docs: DataFrame, columns: dict[str, Column]) -> DataFrame:
     """Rows and distinct values of each named expression."""
     return docs.agg(F.count("*").alias("rows"), *(F.count_distinct(c).alias(n) for n, c in columns.items()))

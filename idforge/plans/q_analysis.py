@@ -79,6 +79,7 @@ QUERIES = {
     "positive_agreement": positives,
     "shared_prefix_similarity": lambda s, d: rounded(a.shared_prefix_similarity(docs(s, d, RQ), 3), "similarity"),
     "prefix_profile": lambda s, d: rounded(a.prefix_profile(docs(s, d, RQ), 3), "mean", "std", "low", "high"),
+    "prefix_means": lambda s, d: rounded(a.prefix_means(docs(s, d, RQ), 3), "similarity"),
     "masked_matches": lambda s, d: a.masked_matches(codes(s, d, PQ), [0, 2]).select(codes_text(F.col("tokens"), ",").alias("tokens"), "n", "first"),
     "first_token_samples": lambda s, d: a.first_token_samples(codes(s, d, RQ), 5),
     "robustness": lambda s, d: rounded(a.robustness(codes(s, d, PQRQ), shaken(s, d), "full"), "similarity"),
@@ -141,6 +142,9 @@ SELECT round(avg(CASE WHEN p > n THEN 1 WHEN p = n THEN 0.5 ELSE 0 END), 6) AS a
     "prefix_profile": R + _GRP + f""", s AS (SELECT a.k, a.p, {_COS.format('a', 'b')} AS s FROM g a JOIN g b ON a.k = b.k AND a.p = b.p AND a.r < b.r AND b.r <= 16),
 m AS (SELECT k, avg(s) AS mean, stddev_samp(s) AS std, count(*) AS pairs, count(DISTINCT p) AS groups FROM s GROUP BY 1)
 SELECT k, round(mean, 6) AS mean, round(std, 6) AS std, pairs, groups, round(mean - 1.959964 * std / sqrt(pairs), 6) AS low, round(mean + 1.959964 * std / sqrt(pairs), 6) AS high FROM m""",
+    "prefix_means": R + _GRP + f""", s AS (SELECT a.k, a.p, avg({_COS.format('a', 'b')}) AS s, count(*) AS pairs FROM g a JOIN g b ON a.k = b.k AND a.p = b.p AND a.r < b.r GROUP BY ALL),
+n AS (SELECT k, p, count(*) AS n FROM g GROUP BY ALL)
+SELECT k, round(sum(s * n) / sum(n), 6) AS similarity, sum(pairs)::BIGINT AS pairs, count(*) AS groups, sum(n)::BIGINT AS docs FROM s JOIN n USING (k, p) GROUP BY 1""",
     "masked_matches": P + " SELECT codes[1] || ',' || codes[3] AS tokens, count(*) AS n, min(vec_id) AS first FROM codes GROUP BY 1 HAVING count(*) > 1",
     "first_token_samples": R + " SELECT * FROM (SELECT codes[1] AS token, row_number() OVER (PARTITION BY codes[1] ORDER BY md5('42|' || vec_id), vec_id) AS rank, vec_id FROM codes) WHERE rank <= 5",
     "robustness": Q + _shaken() + f" SELECT round(avg({_FULL.format('a', 'b')}), 6) AS similarity, count(*) FILTER (a.codes = b.codes) AS exact, count(*) AS docs FROM codes a JOIN after b USING (vec_id)",

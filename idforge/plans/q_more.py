@@ -24,7 +24,7 @@ def near(s, d):
 
 
 def shared_mean(s, d):
-    """Shared-prefix similarity with every document weighing the same."""
+    """Shared-prefix similarity with each of at most 32 documents a group weighing the same (``prefix_means`` has all)."""
     from idforge.operators.analysis import prefix_groups
 
     h = F.md5(F.concat_ws("|", F.lit(42), "vec_id"))

@@ -145,3 +145,24 @@ def test_page_outputs(spark, tmp_path):
     assert back.first().query == "query 1"
     writers.json_array(df.select("id"), str(tmp_path / "array"))
     assert spark.read.text(str(tmp_path / "array")).first().value == '[{"id":"id\\t1"}]'
+
+
+def test_prefix_means_count_all_documents(spark):
+    """A first code with most of the documents weighs as much as it has documents."""
+    v = {r.vec_id: r.embedding for r in vectors(spark, 60).collect()}
+    rows = [(i, [0 if i < 40 else 1 + i % 7, i % 3], e) for i, e in v.items()]
+    df = spark.createDataFrame([*rows, (99, [50, 0], [1.0] * 8), (98, [0, 0], None)], "vec_id bigint, codes array<int>, embedding array<float>")
+
+    def cos(a, b):
+        return sum(x * y for x, y in zip(a, b)) / math.sqrt(sum(x * x for x in a) * sum(y * y for y in b))
+
+    for r in analysis.prefix_means(df, 2).collect():
+        groups = {}
+        for _, c, e in rows:
+            groups.setdefault(tuple(c[: r.k]), []).append(e)
+        groups = [g for g in groups.values() if len(g) > 1]
+        pairs = [[cos(a, b) for i, a in enumerate(g) for b in g[:i]] for g in groups]
+        size = sum(map(len, groups))
+        assert (r.pairs, r.groups, r.docs) == (sum(map(len, pairs)), len(groups), size)
+        assert abs(r.similarity - sum(len(g) * sum(p) / len(p) for g, p in zip(groups, pairs)) / size) < 1e-9
+    assert analysis.prefix_means(df.limit(0), 2).count() == 0
