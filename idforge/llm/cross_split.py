@@ -7,6 +7,12 @@ prefixes the probes; a pair must also fit by length, by the place of the shared
 trigram, and by a bound from parity sketches (bits that differ between two
 sketches never outnumber the trigrams that differ). What is left is verified
 on the whole sets.
+
+A trigram of more than ``LIST`` texts isn't a key by itself: if the rarest one
+that a pair shares is that common, so is the second, and the key is the two
+together. A text has so many keys whatever the lengths of the lists, so what is
+shuffled grows with the rows. The index of a list is sorted by length and
+searched by range.
 """
 
 from __future__ import annotations
@@ -17,11 +23,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from idforge.llm.fold import distinct_in_row, in_parts, mix, split_words, sum_by_row
-from idforge.llm.rarity import flat, rare_first, token_counts
+from idforge.llm.rarity import bits_for, code_of, flat, rare_first, token_codes
 from idforge.operators.lineage import cut
 
 WIDTH = 3
-SHARE = 8192  # postings of one list on either side that a task pairs
+LIST = 8192  # texts of one trigram up to which it is a key by itself
+SHORT = 160  # trigrams up to which a text has keys of two (at most some 800)
+HELD = 500_000  # postings of one list that a task holds besides its index
 
 
 def _grams(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, int]:
@@ -65,118 +73,136 @@ def _parity(tokens: np.ndarray, rows: np.ndarray, n: int) -> tuple[np.ndarray, n
     return words[:, 0], words[:, 1]
 
 
-def _postings(sets: DataFrame, counts: np.ndarray, t: float) -> DataFrame:
-    """Prefix tokens with their row, size, place and sketch; long lists are dealt over a grid of cells.
+def _keys(tokens, rows, place, often, n, t: float, short: int):
+    """Keys of sorted prefixes: (key, row, place). ``place`` counts for the last token of the key, less the others.
 
-    A list expected to hold more than SHARE postings gets g columns and g rows
-    of cells: an evaluation posting goes to all cells of its column, a training
-    posting to all cells of its row, so that each pair meets in one cell.
+    A text of at most ``short`` trigrams may be similar to one of more, so those
+    that may have such a partner use common trigrams by themselves, too.
     """
-    known = sets.sparkSession.sparkContext.broadcast(counts)
-    names = ["tok", "cell", "probe", "row", "n", "place", "p1", "p2"]
+    least = np.ceil(t * n - 1e-9).astype(np.int64)
+    first = n - least + 1  # the rarest shared token is among these, the second among one more
+    alone = (n > t * short) | (least < 2)
+    single = (place < first[rows]) & (~often | alone[rows])
+    at = np.flatnonzero((place <= first[rows]) & often & (n <= short)[rows])
+    keys, owners, places = [tokens[single]], [rows[single]], [place[single]]
+    left, right = at, at
+    while len(left):  # each with the next, then with the one after it
+        right = right + 1
+        fits = right < len(rows)
+        left, right = left[fits], right[fits]
+        fits = (rows[right] == rows[left]) & (place[right] <= first[rows[left]])
+        left, right = left[fits], right[fits]
+        keys.append(mix(tokens[left] * np.uint64(0x9E3779B97F4A7C15) ^ tokens[right]))
+        owners.append(rows[left])
+        places.append(place[right] - 1)
+    return np.concatenate(keys), np.concatenate(owners), np.concatenate(places)
+
+
+def _postings(sets: DataFrame, codes: np.ndarray, t: float) -> DataFrame:
+    """Keys of each class with its row, size, place and sketch."""
+    known, common, short = sets.sparkSession.sparkContext.broadcast(codes), int(code_of(LIST)), SHORT
+    names = ["tok", "probe", "row", "n", "place", "p1", "p2"]
 
     def work(batches):
         for batch in batches:
-            ids, probe, n = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(3))
-            tokens, rows = flat(batch.column(3))
-            p1, p2 = _parity(tokens, rows, len(ids))
-            tokens, rows, place, seen = rare_first(mix(tokens), rows, known.value)
-            kept = place < (n - np.ceil(t * n - 1e-9).astype(np.int64) + 1)[rows]
-            tokens, rows, place, seen = tokens[kept], rows[kept], place[kept], seen[kept].astype(np.int64)
-            grid = 1 + seen // SHARE
-            mine = (mix(ids.astype(np.int64).view(np.uint64))[rows] % grid.astype(np.uint64)).astype(np.int64)
-            at = np.repeat(np.arange(len(rows)), grid)
-            other = np.arange(len(at)) - np.repeat(np.cumsum(grid) - grid, grid)
-            trains = probe[rows][at]
-            cell = np.where(trains, mine[at] * grid[at] + other, other * grid[at] + mine[at])
-            r = rows[at]
-            cols = [tokens[at].view(np.int64), cell.astype(np.int32), trains, ids[r], n[r].astype(np.int32), place[at].astype(np.int32), p1[r].view(np.int64), p2[r].view(np.int64)]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names)
-
-    return sets.select("row_no", "probe", "n", "h").mapInArrow(work, "tok bigint, cell int, probe boolean, row bigint, n int, place int, p1 bigint, p2 bigint")
-
-
-def _match(index: list[np.ndarray], probes: list[np.ndarray], t: float, best: bool):
-    """Candidate (evaluation, training) pairs of one cell. ``best``: only the closest for each evaluation row."""
-    row, n, place, p1, p2 = index
-    for k in range(len(row)):
-        n2, place2 = probes[1], probes[2]
-        need = np.ceil(t / (1 + t) * (n[k] + n2) - 1e-9)
-        fits = np.flatnonzero((n2 >= t * n[k] - 1e-9) & (t * n2 <= n[k] + 1e-9) & (1 + np.minimum(n[k] - place[k], n2 - place2) - 1 >= need))
-        if not len(fits):
-            continue
-        differ = np.bitwise_count(probes[3][fits] ^ p1[k]).astype(np.int64) + np.bitwise_count(probes[4][fits] ^ p2[k])
-        near = differ <= n[k] + n2[fits] - 2 * need[fits]
-        fits, differ = fits[near], differ[near]
-        if best and len(fits):
-            fits = fits[[int(np.argmin(differ))]]
-        for f in fits:
-            yield row[k], probes[0][f]
-
-
-def _candidates(batches, t: float, best: bool):
-    """Walks cells in order; a cell's index part is held, its probes come in blocks."""
-    key, index, probes, found = None, [], [], []
-
-    def run():
-        if index and probes:
-            columns = [np.concatenate(c) for c in zip(*index, strict=True)], [np.concatenate(c) for c in zip(*probes, strict=True)]
-            found.extend(_match(*columns, t, best))
-        probes.clear()
-
-    def out():
-        a, b = zip(*found, strict=True) if found else ((), ())
-        found.clear()
-        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+            for a in range(0, batch.num_rows, 2000):
+                ids, probe, n = (batch.column(k).slice(a, 2000).to_numpy(zero_copy_only=False) for k in range(3))
+                n = n.astype(np.int64)
+                tokens, rows = flat(batch.column(3).slice(a, 2000))
+                p1, p2 = _parity(tokens, rows, len(ids))
+                tokens, rows, place, seen = rare_first(mix(tokens), rows, known.value)
+                with np.errstate(over="ignore"):
+                    key, r, place = _keys(tokens, rows, place, seen > common, n, t, short)
+                cols = [key.view(np.int64), probe[r], ids[r], n[r].astype(np.int32), place.astype(np.int32), p1[r].view(np.int64), p2[r].view(np.int64)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names)
+
+    return sets.select("row_no", "probe", "n", "h").mapInArrow(work, "tok bigint, probe boolean, row bigint, n int, place int, p1 bigint, p2 bigint")
+
+
+def _match(index: list[np.ndarray], probes: list[np.ndarray], t: float, best: bool, step: int = 2_000_000):
+    """Candidate (evaluation, training) rows. Both sides: (list, row, n, place, p1, p2), sorted by list and n. ``best``: only the closest of each posting."""
+    if not len(index[0]) or not len(probes[0]):
+        return
+    by = probes[0] << 32 | probes[2]
+    low = np.searchsorted(by, index[0] << 32 | np.ceil(t * index[2] - 1e-9).astype(np.int64), "left")
+    count = np.searchsorted(by, index[0] << 32 | np.floor(index[2] / t + 1e-9).astype(np.int64), "right") - low
+    ends = np.cumsum(count)
+    a = 0
+    while a < len(count):
+        b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + step, "right")))
+        some = count[a:b]
+        i = np.repeat(np.arange(a, b), some)
+        j = np.repeat(low[a:b] - (np.cumsum(some) - some), some) + np.arange(len(i))
+        n1, n2 = index[2][i], probes[2][j]
+        need = np.ceil(t / (1 + t) * (n1 + n2) - 1e-9)
+        fits = np.minimum(n1 - index[3][i], n2 - probes[3][j]) >= need
+        i, j, room = i[fits], j[fits], (n1 + n2 - 2 * need)[fits]
+        differ = np.bitwise_count(index[4][i] ^ probes[4][j]).astype(np.int64) + np.bitwise_count(index[5][i] ^ probes[5][j])
+        near = differ <= room
+        i, j, differ = i[near], j[near], differ[near]
+        if best and len(i):
+            order = np.lexsort((differ, i))
+            i, j = i[order], j[order]
+            first = np.concatenate([[True], i[1:] != i[:-1]])
+            i, j = i[first], j[first]
+        yield index[1][i], probes[1][j]
+        a = b
+
+
+def _candidates(batches, t: float, best: bool, most: int = HELD):
+    """Walks lists in order (index before probes); of a long list its index is held and its probes come in blocks."""
+    held: list[np.ndarray] | None = None
+
+    def run(cols):
+        tok, probe, *rest = cols
+        lists = np.cumsum(np.concatenate([[0], tok[1:] != tok[:-1]])) if len(tok) else tok
+        for a, b in _match(*([lists[side], *(c[side] for c in rest)] for side in (~probe, probe)), t, best):
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
     for batch in batches:
-        tok, cell, probe = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(3))
-        rest = [batch.column(k).to_numpy() for k in range(3, 6)] + [batch.column(k).to_numpy().view(np.uint64) for k in (6, 7)]
-        rest = [rest[0], rest[1].astype(np.int64), rest[2].astype(np.int64), *rest[3:]]
-        if not len(tok):
+        cols = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(7)]
+        cols = [cols[0], cols[1].astype(bool), cols[2], cols[3].astype(np.int64), cols[4].astype(np.int64), cols[5].view(np.uint64), cols[6].view(np.uint64)]
+        held = cols if held is None else [np.concatenate([x, y]) for x, y in zip(held, cols, strict=True)]
+        if not len(held[0]):
             continue
-        change = np.flatnonzero((tok[1:] != tok[:-1]) | (cell[1:] != cell[:-1]) | (probe[1:] != probe[:-1])) + 1
-        for a, b in zip([0, *change], [*change, len(tok)]):
-            if (tok[a], cell[a]) != key:
-                run()
-                index.clear()
-                key = (tok[a], cell[a])
-            if probe[a] and not index:
-                continue
-            (probes if probe[a] else index).append([c[a:b] for c in rest])
-        run() if len(probes) > 16 else None
-        if len(found) > 50_000:
-            yield out()
-    run()
-    yield out()
-
-
-def similar_to_train(sets: DataFrame, t: float, bits: int = 20) -> DataFrame:
+        last = int(np.searchsorted(held[0], held[0][-1]))  # the last list may go on
+        yield from run([c[:last] for c in held])
+        held = [c[last:] for c in held]
+        if held[1].sum() > most:
+            yield from run(held)
+            held = [c[~held[1]] for c in held]
+    if held is not None:
+        yield from run(held)
+
+
+def similar_to_train(sets: DataFrame, t: float) -> DataFrame:
     """Evaluation classes with a training class at t or more: ``row_no``.
 
-    ``sets`` has the columns of ``trigrams``. First only the closest candidate
-    of each list is verified, which settles nearly all rows that have a
-    partner, however many it has; all candidates of the rest follow.
+    ``sets`` has the columns of ``trigrams``. Rows with the same set are one
+    class; a class with rows of both sides needs no partner. Then only the
+    closest candidate of each list is verified, which settles nearly all rows
+    that have a partner, however many it has; all candidates of the rest follow.
     """
-    keys = ["probe", "s1", "s2", "n"]
-    classes = cut(sets.groupBy(*keys).agg(F.min("row_no").alias("row_no"), F.first("h").alias("h")), "classes")
+    keys = ["s1", "s2", "n"]
+    sides = sets.groupBy(*keys).agg(F.min("row_no").alias("row_no"), F.first("h").alias("h"), F.max("probe").alias("probe"), F.min("probe").alias("pure"))
+    classes = cut(sides, "classes")
     members = sets.where("not probe").select(F.col("row_no").alias("member"), *keys)
     # The order must be the same for tokens on either side, so the counts are of mixed tokens.
-    counts = token_counts(_mixed(classes), "h", bits)
-    posts = cut(_postings(classes, counts, t), "postings")
-    full = classes.select("row_no", "h")
+    codes = token_codes(_mixed(classes), "h", bits_for((classes.agg(F.sum("n")).first()[0] or 0) // 4))
+    posts = cut(_postings(classes, codes, t), "postings")
+    full, most = classes.select("row_no", "h"), HELD
 
     def verified(index: DataFrame, best: bool) -> DataFrame:
-        dealt = index.unionByName(posts.where("probe")).repartition("tok", "cell").sortWithinPartitions("tok", "cell", "probe")
-        pairs = dealt.mapInArrow(lambda x: _candidates(x, t, best), "a bigint, b bigint").distinct()
+        dealt = index.unionByName(posts.where("probe")).repartition("tok").sortWithinPartitions("tok", "probe", "n")
+        pairs = dealt.mapInArrow(lambda x: _candidates(x, t, best, most), "a bigint, b bigint").distinct()
         both = pairs.join(full.select(F.col("row_no").alias("a"), F.col("h").alias("x")), "a").join(full.select(F.col("row_no").alias("b"), F.col("h").alias("y")), "b")
         shared = F.size(F.array_intersect("x", "y"))
         return both.where(shared >= F.lit(t) * (F.size("x") + F.size("y") - shared) - 1e-9).select(F.col("a").alias("row_no")).distinct()
 
     first = cut(verified(posts.where("not probe"), True), "matched")
     rest = verified(posts.where("not probe").join(first.withColumnRenamed("row_no", "row"), "row", "left_anti").select(posts.columns), False)
-    hits = first.union(rest)
-    met = classes.where("not probe").select(*keys, "row_no").join(hits, "row_no").drop("row_no")
+    hits = first.union(rest).union(classes.where("probe and not pure").select("row_no"))
+    met = classes.select(*keys, "row_no").join(hits, "row_no").drop("row_no")
     return members.join(met, keys).select(F.col("member").alias("row_no"))
 
 

@@ -51,8 +51,10 @@ def test_words_agree():
     assert len(set(split_words(["a b a"]).hashes().tolist())) == 2
 
 
-@pytest.mark.parametrize("block", [20_000, 3])
-def test_near_duplicates_match_brute_force(spark, block):
+@pytest.mark.parametrize(("block", "common"), [(20_000, 1024), (3, 1024), (20_000, 3), (4, 5)])
+def test_near_duplicates_match_brute_force(spark, monkeypatch, block, common):
+    """``common`` of a few texts makes nearly all runs common ones, as in a table that is all boilerplate."""
+    monkeypatch.setattr(near_dup, "COMMON", common)
     rng = random.Random(5)
     rows, base = [], [sentence(rng, 60) for _ in range(12)]
     for b in base:
@@ -61,6 +63,10 @@ def test_near_duplicates_match_brute_force(spark, block):
             for _ in range(rng.randrange(14)):
                 w[rng.randrange(len(w))] = rng.choice(WORDS)
             rows.append(" ".join(w if rng.random() < 0.8 else w[20:] + w[:20]))
+    # A template with texts of its own around it, of all sizes, alone and within another.
+    frame = sentence(rng, 40)
+    rows += [f"{sentence(rng, k)} {frame} {sentence(rng, k // 2)}" for k in range(0, 60, 3) for _ in range(3)]
+    rows += [" ".join(w for w in frame.split() if rng.random() < 0.95) for _ in range(12)] + [frame + " " + base[k] for k in range(6)]
     rows += [rows[0]] * 5 + [rows[0].upper() + "!"] + ["short text", "", None, "  ", base[1] + " " + base[2]]
     df = spark.createDataFrame([(i * 3 - 47, t, "x") for i, t in enumerate(rows)], "row_no bigint, t string, h string")
     got = {(r.row_no, r.first_row_no) for r in near_dup.near_duplicate_groups(df, "row_no", F.col("t"), 3, 0.5, 20, shard_rows=block).collect()}
@@ -75,15 +81,23 @@ def test_near_duplicates_match_brute_force(spark, block):
     assert got == {(x, r) for x, r in root.items() if size[r] > 1}
 
 
-def test_hot_tokens_become_nodes(spark):
-    """Tokens above the limit link their rows through a node of their own."""
-    import numpy as np
-
-    df = spark.createDataFrame([(k, 4, [10, 11, 12, 13 + k]) for k in range(-2, 6)], "row_no bigint, n int, h array<bigint>")
-    posts = near_dup._postings(df, np.full(1 << 10, 50, np.uint32), 0.5, 20).collect()
-    assert posts and all(p.tok is None and p.other < 0 for p in posts)
-    edges = spark.createDataFrame([(p.row, p.other) for p in posts], "u bigint, v bigint")
-    assert len({r.component for r in connected_components(edges).collect()}) == 1
+def test_boilerplate_makes_no_pairs(spark):
+    """Texts that share more than half of their words, but not enough: work is in proportion to the rows."""
+    rng = random.Random(7)
+    frame = sentence(rng, 60)
+    taken = {}
+    for n in (2_000, 20_000):
+        rows = [(i, f"{frame} {' '.join(f'own{rng.randrange(10**9)}' for _ in range(50))}") for i in range(n)]
+        df = spark.createDataFrame(rows, "row_no bigint, t string").repartition(4)
+        texts = near_dup.shingled(df, F.col("row_no"), F.col("t"), 3, 20).cache()
+        codes = near_dup.token_codes(texts, "h", 20)
+        common = int(near_dup.code_of(near_dup.COMMON))
+        posts = near_dup._postings(texts, codes, common, 0.5).repartition("tok").sortWithinPartitions("tok", "at", "row")
+        pairs = posts.mapInArrow(lambda x: near_dup._pairs(x, 0.5), "a bigint, b bigint, x bigint, y bigint").count()
+        links, stars, kept = near_dup._common_links(near_dup._patterns(texts, codes, common, 0.5))
+        taken[n] = pairs + links.count() + stars.count() + kept.count()
+    assert taken[20_000] <= 12 * max(taken[2_000], 2_000)
+    assert near_dup.near_duplicate_groups(df, "row_no", F.col("t"), 3, 0.5, 20).count() == 0
 
 
 def test_near_duplicates_of_nothing(spark):
@@ -92,18 +106,27 @@ def test_near_duplicates_of_nothing(spark):
     assert near_dup.near_duplicate_groups(spark.createDataFrame([(None, "a b c d e f"), (1, None)], "row_no bigint, t string"), "row_no", F.col("t")).count() == 0
 
 
-def test_long_posting_lists_become_stars(spark, monkeypatch):
-    monkeypatch.setattr(near_dup, "RUN", 4)
+def test_lists_over_batches():
     import pyarrow as pa
 
-    tok = [1] * 3 + [2] * 9 + [3] * 2
-    row = list(range(3)) + list(range(10, 19)) + [30, 31]
-    at = [10 << 32] * len(tok)
-    cut = 7
-    batches = [pa.RecordBatch.from_pydict({"tok": tok[a:b], "row": row[a:b], "at": at[a:b]}) for a, b in ((0, cut), (cut, len(tok)))]
-    got = sorted((a, b, s) for x in near_dup._pairs(iter(batches), 0.5) for a, b, s in zip(*(x.column(k).to_pylist() for k in (0, 1, 4))))
-    want = [(0, 1, False), (0, 2, False), (1, 2, False)] + [(10, k, True) for k in range(11, 19)] + [(30, 31, False)]
-    assert got == sorted(want)
+    tok, row = [1] * 3 + [2] * 9 + [3] * 2, [*range(3), *range(10, 19), 30, 31]
+    at = [10 << near_dup.PLACES + 8] * len(tok)
+    want = sorted((a, b) for x in ((0, 3), (3, 12), (12, 14)) for i, a in enumerate(row[x[0] : x[1]]) for b in row[x[0] : x[1]][i + 1 :])
+    for cut in range(1, len(tok)):
+        batches = [pa.RecordBatch.from_pydict({"tok": tok[a:b], "row": row[a:b], "at": at[a:b]}) for a, b in ((0, cut), (cut, len(tok)))]
+        assert sorted((a, b) for x in near_dup._pairs(iter(batches), 0.5) for a, b in zip(*(x.column(k).to_pylist() for k in (0, 1)))) == want
+
+
+def test_counters_add_up_over_a_tree(spark, monkeypatch):
+    import numpy as np
+
+    from idforge.llm import rarity
+
+    monkeypatch.setattr(rarity, "FAN_IN", 2)
+    df = spark.range(300).selectExpr("array(id, id % 3) as h").repartition(7)
+    codes = rarity.token_codes(df, "h", 16)
+    want = Counter(x for k in range(300) for x in (k, k % 3))
+    assert [codes[k] for k in range(300)] == [rarity.code_of(want[k]) for k in range(300)] and int(np.count_nonzero(codes)) == 300
 
 
 def test_components(spark):
@@ -183,7 +206,13 @@ def trigrams(q):
     return {s[i : i + 3] for i in range(len(s) - 2)}
 
 
-def test_cross_split_matches_brute_force(spark):
+@pytest.mark.parametrize(("many", "short", "held"), [(8192, 160, 500_000), (4, 160, 5), (4, 20, 500_000), (0, 12, 1)])
+def test_cross_split_matches_brute_force(spark, monkeypatch, many, short, held):
+    """Also with next to all trigrams so common that keys are of two, and with texts too long for these."""
+    from idforge.llm import cross_split
+
+    for name, value in (("LIST", many), ("SHORT", short), ("HELD", held)):
+        monkeypatch.setattr(cross_split, name, value)
     rng = random.Random(9)
     rows = []
     for i in range(240):
@@ -211,6 +240,18 @@ def test_cross_split_matches_brute_force(spark):
     assert cross_split_overlaps(df.limit(0), keys.limit(0)).count() == 0
 
 
+def test_keys_grow_with_the_rows_of_a_template():
+    """Keys of a text don't depend on how many others share its trigrams."""
+    import numpy as np
+
+    from idforge.llm.cross_split import SHORT, _keys
+
+    for n in (3, 30, SHORT, 4000):
+        tokens, size = np.arange(n).astype(np.uint64) + np.uint64(7), np.array([n])
+        key, row, place = _keys(tokens, np.zeros(n, np.int64), np.arange(n), np.ones(n, bool), size, 0.75, SHORT)
+        assert len(key) <= 1000 + n // 2 and len(set(key.tolist())) == len(key) and (place < n).all()
+
+
 def test_leaks_match_brute_force(spark):
     rng = random.Random(4)
     items = [(k, sentence(rng, rng.choice([4, 9, 13, 30, 60]))) for k in range(25)] + [(90, None), (91, ""), (92, "...")]
