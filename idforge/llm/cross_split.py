@@ -120,7 +120,7 @@ def _postings(sets: DataFrame, codes: np.ndarray, t: float) -> DataFrame:
 
 
 def _match(index: list[np.ndarray], probes: list[np.ndarray], t: float, best: bool, step: int = 2_000_000):
-    """Candidate (evaluation, training) rows. Both sides: (list, row, n, place, p1, p2), sorted by list and n. ``best``: only the closest of each posting."""
+    """Candidate (evaluation, training) rows, and whether there are more. Both sides: (list, row, n, place, p1, p2), sorted by list and n. ``best``: only the closest of each posting."""
     if not len(index[0]) or not len(probes[0]):
         return
     by = probes[0] << 32 | probes[2]
@@ -140,12 +140,14 @@ def _match(index: list[np.ndarray], probes: list[np.ndarray], t: float, best: bo
         differ = np.bitwise_count(index[4][i] ^ probes[4][j]).astype(np.int64) + np.bitwise_count(index[5][i] ^ probes[5][j])
         near = differ <= room
         i, j, differ = i[near], j[near], differ[near]
+        more = np.zeros(len(i), bool)
         if best and len(i):
             order = np.lexsort((differ, i))
             i, j = i[order], j[order]
-            first = np.concatenate([[True], i[1:] != i[:-1]])
+            first = np.flatnonzero(np.concatenate([[True], i[1:] != i[:-1]]))
+            more = np.diff(np.concatenate([first, [len(i)]])) > 1
             i, j = i[first], j[first]
-        yield index[1][i], probes[1][j]
+        yield index[1][i], probes[1][j], more
         a = b
 
 
@@ -156,8 +158,8 @@ def _candidates(batches, t: float, best: bool, most: int = HELD):
     def run(cols):
         tok, probe, *rest = cols
         lists = np.cumsum(np.concatenate([[0], tok[1:] != tok[:-1]])) if len(tok) else tok
-        for a, b in _match(*([lists[side], *(c[side] for c in rest)] for side in (~probe, probe)), t, best):
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+        for a, b, more in _match(*([lists[side], *(c[side] for c in rest)] for side in (~probe, probe)), t, best):
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(more)], ["a", "b", "more"])
 
     for batch in batches:
         cols = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(7)]
@@ -169,7 +171,8 @@ def _candidates(batches, t: float, best: bool, most: int = HELD):
         yield from run([c[:last] for c in held])
         held = [c[last:] for c in held]
         if held[1].sum() > most:
-            yield from run(held)
+            # Blocks don't know of each other's candidates, so all are told to have more.
+            yield from (pa.RecordBatch.from_arrays([x.column(0), x.column(1), pa.array(np.ones(x.num_rows, bool))], ["a", "b", "more"]) for x in run(held))
             held = [c[~held[1]] for c in held]
     if held is not None:
         yield from run(held)
@@ -181,7 +184,8 @@ def similar_to_train(sets: DataFrame, t: float) -> DataFrame:
     ``sets`` has the columns of ``trigrams``. Rows with the same set are one
     class; a class with rows of both sides needs no partner. Then only the
     closest candidate of each list is verified, which settles nearly all rows
-    that have a partner, however many it has; all candidates of the rest follow.
+    that have a partner, however many it has. All candidates follow for the
+    rows that this leaves open: those of which a list had more.
     """
     keys = ["s1", "s2", "n"]
     sides = sets.groupBy(*keys).agg(F.min("row_no").alias("row_no"), F.first("h").alias("h"), F.max("probe").alias("probe"), F.min("probe").alias("pure"))
@@ -192,16 +196,23 @@ def similar_to_train(sets: DataFrame, t: float) -> DataFrame:
     posts = cut(_postings(classes, codes, t), "postings")
     full, most = classes.select("row_no", "h"), HELD
 
-    def verified(index: DataFrame, best: bool) -> DataFrame:
-        dealt = index.unionByName(posts.where("probe")).repartition("tok").sortWithinPartitions("tok", "probe", "n")
-        pairs = dealt.mapInArrow(lambda x: _candidates(x, t, best, most), "a bigint, b bigint").distinct()
+    def candidates(index: DataFrame, probes: DataFrame, best: bool) -> DataFrame:
+        dealt = index.unionByName(probes).repartition("tok").sortWithinPartitions("tok", "probe", "n")
+        return dealt.mapInArrow(lambda x: _candidates(x, t, best, most), "a bigint, b bigint, more boolean").groupBy("a", "b").agg(F.max("more").alias("more"))
+
+    def verified(pairs: DataFrame) -> DataFrame:
         both = pairs.join(full.select(F.col("row_no").alias("a"), F.col("h").alias("x")), "a").join(full.select(F.col("row_no").alias("b"), F.col("h").alias("y")), "b")
         shared = F.size(F.array_intersect("x", "y"))
         return both.where(shared >= F.lit(t) * (F.size("x") + F.size("y") - shared) - 1e-9).select(F.col("a").alias("row_no")).distinct()
 
-    first = cut(verified(posts.where("not probe"), True), "matched")
-    rest = verified(posts.where("not probe").join(first.withColumnRenamed("row_no", "row"), "row", "left_anti").select(posts.columns), False)
-    hits = first.union(rest).union(classes.where("probe and not pure").select("row_no"))
+    index, probes = posts.where("not probe"), posts.where("probe")
+    pairs = cut(candidates(index, probes, True), "pairs")
+    hits = cut(verified(pairs), "matched").union(classes.where("probe and not pure").select("row_no"))
+    open_ = cut(pairs.where("more").select(F.col("a").alias("row")).distinct().join(hits.withColumnRenamed("row_no", "row"), "row", "left_anti"), "open")
+    if not open_.isEmpty():
+        index = cut(index.join(open_, "row", "left_semi").select(posts.columns), "index")
+        probes = probes.join(index.select("tok").distinct(), "tok", "left_semi").select(posts.columns)
+        hits = hits.union(verified(candidates(index, probes, False)))
     met = classes.select(*keys, "row_no").join(hits, "row_no").drop("row_no")
     return members.join(met, keys).select(F.col("member").alias("row_no"))
 
