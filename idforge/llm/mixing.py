@@ -4,40 +4,52 @@ Every document of a source should be used ``f`` times, the source's target
 tokens over its tokens (at most the cap). The whole part of ``f`` is certain.
 The fractions are rounded in pairs: mass moves at random between two documents
 so that their expected tokens stay as they are, until one of them is in or
-out; the other meets the next. Each partition ends with one open document a
-source at most, and these are paired again over a tree of groups until one is
-left, which is drawn by its fraction. So each document is used ``f`` times in
-expectation and a source's tokens miss the target by at most one document.
+out; the other meets the next. Documents meet in buckets by a seeded hash of
+their ids, in the order of that hash, so the choice doesn't depend on how the
+table is laid out. Each bucket ends with one open document a source at most,
+and these are paired again over a tree of buckets until one is left, which is
+drawn by its fraction. So each document is used ``f`` times in expectation and
+a source's tokens miss the target by at most one document.
 """
 
 from __future__ import annotations
 
-import random
+import os
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark import SparkFiles
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from idforge.operators.lineage import cut
 
 FAN_IN = 64
+BUCKET = 50_000  # documents that a bucket holds on average
 #: Fixed value: the published split pattern of the byte-level vocabulary.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+#: Setting of the session that names the rank file of the tokenizer, and where it is looked for otherwise.
+SETTING, TOKENIZER = "spark.idforge.tokenizer", "/opt/tokenizers/byte_bpe_50k.tiktoken"
 _OPEN: dict[str, object] = {}
 
 
-def tokenizer(path: str):
-    """The byte-level tokenizer of a rank file, opened once per process."""
-    if path not in _OPEN:
+def shipped_tokenizer(spark: SparkSession, path: str | None = None) -> str:
+    """Name of the rank file, once it is sent to all executors; only the driver needs to have it."""
+    path = path or spark.conf.get(SETTING, TOKENIZER)
+    spark.sparkContext.addFile(path)
+    return os.path.basename(path)
+
+
+def tokenizer(name: str):
+    """The byte-level tokenizer of a rank file that was sent here, opened once per process."""
+    if name not in _OPEN:
         import base64
 
         import tiktoken
 
-        with open(path, "rb") as f:
+        with open(SparkFiles.get(name), "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        _OPEN[path] = tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
-    return _OPEN[path]
+        _OPEN[name] = tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return _OPEN[name]
 
 
 def clean_source(source: Column) -> Column:
@@ -46,11 +58,12 @@ def clean_source(source: Column) -> Column:
     return F.when(bare != "", bare)
 
 
-def with_tokens(docs: DataFrame, doc: str, text: str, source: str, path: str = TOKENIZER) -> DataFrame:
+def with_tokens(docs: DataFrame, doc: str, text: str, source: str, path: str | None = None) -> DataFrame:
     """``doc_id``, ``source`` (clean), ``tokens`` of every document with an id and a source; a null text has none."""
+    name = shipped_tokenizer(docs.sparkSession, path)
 
     def work(batches):
-        encode = tokenizer(path).encode_ordinary
+        encode = tokenizer(name).encode_ordinary
         for batch in batches:
             n = [len(encode(t)) if t else 0 for t in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64())], ["doc_id", "source", "tokens"])
@@ -69,43 +82,48 @@ def pivot(a: tuple[float, float], b: tuple[float, float], draw: float) -> tuple[
     return (0.0 if p < near else 1.0 if p > 1 - near else p), (0.0 if q < near else 1.0 if q > 1 - near else q)
 
 
-ROUNDED = "doc_id bigint, source string, tokens bigint, base int, p double"
+ROUNDED = "node bigint, source string, doc_id bigint, tokens bigint, base int, p double"
+_MASK = (1 << 64) - 1
+
+
+def draw(seed: int, a: int, b: int) -> float:
+    """A number in [0, 1) that depends on the three alone."""
+    x = (seed * 0x9E3779B97F4A7C15 ^ a * 0xBF58476D1CE4E5B9 ^ b * 0x94D049BB133111EB) & _MASK
+    for _ in range(2):
+        x = ((x ^ x >> 31) * 0xD6E8FEB86659FD93) & _MASK
+    return (x >> 11) / (1 << 53)
 
 
 def _round(batches, seed: int):
-    """Pairs the open documents of each source as they stream past; what stays open comes last."""
-    open_: dict[str, list] = {}
+    """Pairs the open documents of each (node, source) in their order; rows come sorted by these. What stays open is given as it is."""
+    key, held, done = None, None, []
 
-    def batch_of(rows):
-        cols = list(zip(*rows, strict=True)) if rows else [()] * 5
-        kinds = (pa.int64(), pa.string(), pa.int64(), pa.int32(), pa.float64())
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["doc_id", "source", "tokens", "base", "p"])
+    def out():
+        cols = list(zip(*done, strict=True)) if done else [()] * 6
+        kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.float64())
+        done.clear()
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["node", "source", "doc_id", "tokens", "base", "p"])
 
     for batch in batches:
-        done = []
-        for doc, source, tokens, base, p in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            row = [doc, source, tokens, base, p]
-            held = open_.pop(source, None)
-            if 0 < p < 1 and held is not None:
-                # A document without tokens can't carry mass; it is drawn by itself.
-                draw = random.Random(f"{seed}|{held[0]}|{doc}").random()
-                held[4], row[4] = pivot((held[4], held[2]), (p, tokens), draw)
-                for x in (held, row):
-                    if 0 < x[4] < 1:
-                        open_[source] = x
-                    else:
-                        done.append(x)
-            elif 0 < p < 1:
-                open_[source] = row
-            else:
-                done.append(row)
+        for row in map(list, zip(*(c.to_pylist() for c in batch.columns), strict=True)):
+            if (row[0], row[1]) != key:
                 if held is not None:
-                    open_[source] = held
-        yield batch_of(done)
-    yield batch_of(list(open_.values()))
-
-
-def mix_sources(docs: DataFrame, weights: DataFrame, total: int | None = None, doc: str = "doc_id", text: str = "text", source: str = "source", seed: int = 11, path: str = TOKENIZER) -> tuple[DataFrame, DataFrame]:
+                    done.append(held)
+                key, held = (row[0], row[1]), None
+            if held is None:
+                held = row
+                continue
+            held[5], row[5] = pivot((held[5], held[3]), (row[5], row[3]), draw(seed, held[2], row[2]))
+            open_ = [x for x in (held, row) if 0 < x[5] < 1]
+            done += [x for x in (held, row) if not 0 < x[5] < 1]
+            held = open_[0] if open_ else None
+        yield out()
+    if held is not None:
+        done.append(held)
+    yield out()
+
+
+def mix_sources(docs: DataFrame, weights: DataFrame, total: int | None = None, doc: str = "doc_id", text: str = "text", source: str = "source", seed: int = 11, path: str | None = None) -> tuple[DataFrame, DataFrame]:
     """The chosen documents and the shares reached.
 
     ``weights`` (``source``, ``target_share``, ``max_repeats``) is a small
@@ -118,7 +136,10 @@ def mix_sources(docs: DataFrame, weights: DataFrame, total: int | None = None, d
     as not met; one without documents has 0. Sources that aren't listed are
     left out, as are documents with a null id or source. A document without
     tokens is never drawn by chance. A repeated doc_id counts as several
-    documents; empty tables give empty results.
+    documents; empty tables give empty results. The same tables give the same
+    choice, however they are partitioned. ``path`` is the rank file of the
+    tokenizer on the driver, by default that of the setting
+    ``spark.idforge.tokenizer``.
     """
     listed = weights.select(clean_source(F.col("source")).alias("source"), F.col("target_share").cast("double").alias("share"), F.col("max_repeats").cast("int").alias("cap")).where("source is not null").limit(10_001).collect()
     if len(listed) > 10_000:
@@ -126,7 +147,8 @@ def mix_sources(docs: DataFrame, weights: DataFrame, total: int | None = None, d
     spark = docs.sparkSession
     names = spark.createDataFrame([(r["source"],) for r in listed], "source string")
     sized = cut(with_tokens(docs, doc, text, source, path).join(F.broadcast(names), "source").select("doc_id", "source", "tokens"), "sized")
-    have = {r["source"]: r["n"] for r in sized.groupBy("source").agg(F.sum("tokens").alias("n")).collect()}
+    counted = sized.groupBy("source").agg(F.sum("tokens").alias("n"), F.count_if(F.col("tokens") > 0).alias("docs")).collect()
+    have, docs_of = {r["source"]: r["n"] for r in counted}, {r["source"]: r["docs"] for r in counted}
     total = sum(have.values()) if total is None else total
     plan = []
     for r in listed:
@@ -136,17 +158,20 @@ def mix_sources(docs: DataFrame, weights: DataFrame, total: int | None = None, d
     plan = spark.createDataFrame(plan, "source string, target_share double, max_repeats int, available_tokens bigint, target_tokens double, f double")
     copies = F.floor(F.col("f") + 1e-12).cast("int")
     rows = sized.join(F.broadcast(plan.select("source", "f")), "source").select("doc_id", "source", "tokens", copies.alias("base"), F.when(F.col("tokens") > 0, F.greatest(F.col("f") - copies, F.lit(0.0))).otherwise(0.0).alias("p"))
-    level = cut(rows.mapInArrow(lambda x: _round(x, seed), ROUNDED).withColumn("part", F.spark_partition_id()), "rounded")
-    done = level.where("p = 0 or p = 1").drop("part")
-    left = level.where("p > 0 and p < 1")
-    groups = 1 + (left.agg(F.max("part")).first()[0] or 0)
-    while groups > 1:
-        groups = -(-groups // FAN_IN)
-        placed = left.withColumn("part", F.expr(f"part div {FAN_IN}"))
-        paired = placed.repartition("source", "part").sortWithinPartitions("source", "part", "doc_id").groupBy("source", "part").applyInArrow(lambda key, t: _group(key, t, seed), ROUNDED + ", part bigint")
-        level = cut(paired, "rounded")
-        done = done.union(level.where("p = 0 or p = 1").drop("part"))
+    rows = cut(rows, "fractions")
+    done, left = rows.where("p = 0 or p = 1"), rows.where("p > 0 and p < 1")
+    place = F.xxhash64(F.lit(seed), "doc_id")
+    nodes = max(1, -(-sum(docs_of.values()) // BUCKET))
+    left = left.withColumn("node", F.pmod(place, F.lit(nodes)))
+    while True:
+        ordered = left.select("node", "source", "doc_id", "tokens", "base", "p").repartition("node").sortWithinPartitions("node", "source", place, "doc_id", "tokens")
+        level = cut(ordered.mapInArrow(lambda x: _round(x, seed), ROUNDED), "rounded")
+        done = done.union(level.where("p = 0 or p = 1").select(done.columns))
         left = level.where("p > 0 and p < 1")
+        if nodes == 1:
+            break
+        nodes = -(-nodes // FAN_IN)
+        left = left.withColumn("node", F.expr(f"node div {FAN_IN}"))
     last = F.pmod(F.xxhash64(F.lit(seed), "doc_id", "source"), F.lit(1 << 30)) / F.lit(float(1 << 30))
     left = left.select("doc_id", "source", "tokens", "base", F.when(last < F.col("p"), 1.0).otherwise(0.0).alias("p"))
     chosen = cut(done.union(left).select("doc_id", "source", "tokens", (F.col("base") + F.col("p").cast("int")).alias("repeats")).where("repeats > 0"), "mix")
@@ -155,9 +180,3 @@ def mix_sources(docs: DataFrame, weights: DataFrame, total: int | None = None, d
     shares = plan.join(used, "source", "left").select("source", "target_share", "max_repeats", "available_tokens", "target_tokens", F.coalesce("tokens", F.lit(0)).alias("tokens"), (F.coalesce("tokens", F.lit(0)) / F.lit(float(max(got, 1)))).alias("actual_share"), ((F.col("available_tokens") * F.col("max_repeats") >= F.col("target_tokens")) & (F.col("available_tokens") > 0)).alias("met"))
     return chosen, shares
 
-
-def _group(key, table: pa.Table, seed: int) -> pa.Table:
-    """One node of the reduction tree: at most FAN_IN open documents of a source."""
-    rows = table.select(["doc_id", "source", "tokens", "base", "p"]).sort_by("doc_id")
-    out = pa.Table.from_batches(list(_round(rows.to_batches(), seed)))
-    return out.append_column("part", pa.array([key[1].as_py()] * len(out), pa.int64()))
