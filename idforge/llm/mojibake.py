@@ -19,13 +19,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from idforge.llm.single_byte import reread_single
 from idforge.operators.lineage import spread
 
 #: Encodings that UTF-8 bytes are often read with.
 MULTIBYTE = ("cp1252", "mac_roman", "cp437", "cp850", "cp1251", "koi8_r")
-#: (read with, written with) of single-byte text.
-SINGLE = (("cp437", "cp1252"), ("mac_roman", "cp1252"), ("cp850", "cp1252"), ("cp1251", "cp1252"), ("cp1252", "mac_roman"), ("cp1252", "cp437"))
-CYRILLIC = (("cp1251", "koi8_r"), ("koi8_r", "cp1251"), ("cp1252", "cp1251"), ("cp1252", "koi8_r"), ("cp866", "cp1251"), ("cp1251", "cp866"), ("mac_roman", "cp1251"), ("cp437", "cp1251"))
 _FORMED = re.compile(rb"(?:[\xC2-\xDF][\x80-\xBF]|\xE0[\xA0-\xBF][\x80-\xBF]|[\xE1-\xEC\xEE\xEF][\x80-\xBF]{2}|\xED[\x80-\x9F][\x80-\xBF]|\xF0[\x90-\xBF][\x80-\xBF]{2}|[\xF1-\xF3][\x80-\xBF]{3}|\xF4[\x80-\x8F][\x80-\xBF]{2})+")
 #: Punctuation that closes or joins words in right text, so that it may follow an accented letter.
 _CLOSING = set("”’»…–—“‘›„‚«‹")
@@ -35,24 +33,13 @@ _LATIN = "À-ÖØ-öø-ÿĀ-ſȘșȚțẞẠ-ỹ"
 _PLAIN = re.compile(f"[{_LATIN}\\xa0-\\xbf×÷‐-‧‰-⁞₠-₿ℂ-ⅎ←-⇿∀-⋿─-╿А-яЁёІіЇїЄєҐґ]")
 _CJK = re.compile("[㐀-鿿︰-﹯]+(?:[�\x00-\x7f])?")
 _LETTERS = f"A-Za-z{_LATIN}"
-#: What can't stand in a word of right text.
-_ODD = re.compile(
-    f"[A-Za-z][Ͱ-ϿЀ-ӿ⁰-₟](?![A-Za-z]?\\d)|[Ͱ-ϿЀ-ӿ][A-Za-z]"  # two scripts in one word
-    f"|[a-z][À-ÖØ-Þ](?=[a-zß-ÿ])"  # a capital within small letters
-    f"|[a-z{_LATIN}][─-▟¢£¥§©®±´µ¶¸°¿¡‡†ˆ-˝¯‰√∫≈∆◊∏∑π∂Ω∞≤≥≠⌐⌠⌡₧∙ⁿ²ƒ¬«»ºª‡ﬁﬂ€„‚](?=[a-z{_LATIN}])"  # a symbol within a word
-    f"|(?<![\\w])[─│-┋┍-┓┕-┛┝-╿¯˘˙˚˝˛ˇ°¸√∫≈∆◊∂∏∑¢£¥§µ¶±≤≥≠ΣΘΦΩα└┴┬╤╨╥][A-Za-z][a-z]|(?<![\\w])[øìîíôÚ][A-Z][a-z]"  # a symbol that opens a word
-)
-#: A word as it stands in right text.
-_RIGHT = re.compile(f"[“„«‘(¿¡]*[{_LETTERS}]+(?:[’'-][{_LETTERS}]+)*[”“»’).,;:!?…]*")
-_CASE = re.compile("[а-яё][А-ЯЁ]")
-#: Letters that make up most of Russian text.
-_COMMON = set("оеаинтсрвлкмдпу")
 _CONTROL = re.compile("[\x80-\x9f]")
 _CYRILLIC = re.compile("[Ѐ-ӿ]")
 #: One-letter Russian words under a Cyrillic reading that are no word of any Cyrillic text.
 _NO_WORD = re.compile("[РС][ЃѓєѕЏ]|[пя][╦╡╨╬┐▐]")
 #: Lead characters of Cyrillic whose second byte is gone.
 _HALF = re.compile("[ÐÑ](?=[а-яё])|(?<=[а-яё])[ÐÑ]")
+_ALONE = re.compile(r"(?<!\S)Ã[ \xa0](?=\S)")
 _WESTERN = re.compile(f"[{_LETTERS}]")
 
 
@@ -251,99 +238,66 @@ def _from_gbk(text: str) -> tuple[str, int]:
     return _CJK.sub(fix, text), n
 
 
-def _single(text: str) -> tuple[str, bool]:
-    """The reading of single-byte text that mends the most words, if any word can't be right as it stands."""
-    best, gain = text, 0
-    odd = [w for w in set(text.split()) if not w.isascii()]
-    bad = {w for w in odd if _ODD.search(w)}
-    if bad:
-        for read, written in SINGLE:
-            score, mended = 0, {}
-            for w in odd:
-                try:
-                    got = w.encode(read).decode(written)
-                except UnicodeError:
-                    score -= 1
-                    continue
-                if _CONTROL.search(got):
-                    score -= 1
-                    continue
-                score += 2 * ((w in bad) - bool(_ODD.search(got)))
-                # Right words lose letters under a wrong reading.
-                score -= w not in bad and sum(map(str.isalpha, got)) < sum(map(str.isalpha, w))
-                mended[w] = got
-            if score <= 0:  # only a part was misread: mend just the words that can't be right
-                mended = {w: g for w, g in mended.items() if w in bad and _RIGHT.fullmatch(g) and not _ODD.search(g)}
-                score = len(mended) / (1 + len(odd))
-            if score > gain:
-                best, gain = re.sub(r"\S+", lambda m, t=mended: t.get(m[0], m[0]), text), score
-    parts = re.split(r"(?<=[.!?\n])", best)
-    mended = [_other_cyrillic(p) for p in parts]
-    return "".join(mended), gain > 0 or mended != parts
-
-
-def _other_cyrillic(text: str) -> str:
-    """The reading of a sentence in which it has Russian's letters and small letters, if it has neither as it stands."""
-    words = re.findall("[Ѐ-ӿ]+|[À-ÿ]+|[─-╿▀-▟]+", text)
-    if sum(map(len, words)) < 10 or sum(len(w) >= 4 for w in words) < 2 or not (_CASE.search(text) or not re.search("[а-яё]", text)):
-        return text
-    best, held = text, common(text)
-    for read, written in CYRILLIC:
-        got = re.sub(r"[^\x00-\x7f]+", lambda m, r=read, w=written: _reread(m[0], r, w), text)
-        if got != text and common(got) > held + 0.15 and len(re.findall("[а-яё]", got)) > 2 * len(re.findall("[А-ЯЁ]", got)):
-            best, held = got, common(got)
-    return best
-
-
-def common(text: str) -> float:
-    """Share of frequent letters among the Cyrillic ones; 0 for fewer than ten of these."""
-    own = re.findall("[Ѐ-ӿ]", text)
-    return sum(c.lower() in _COMMON for c in own) / len(own) if len(own) >= 10 else 0.0
-
-
-def _reread(part: str, read: str, written: str) -> str:
-    try:
-        return part.encode(read).decode(written)
-    except UnicodeError:
-        return part
+@functools.cache
+def _pair(codec: str) -> re.Pattern:
+    """A lead and a continuation byte as ``codec`` shows them; without such a pair a text has no span."""
+    at = {ord(b): chr(c) for c, b in reversed(_to_bytes(codec).items())}  # controls come last there
+    lead, more = (re.escape("".join(at[b] for b in r if b in at)) for r in (range(0xC2, 0xF5), range(0x80, 0xC0)))
+    controls = "\x80-\x9f" if codec in ("cp1252", "cp1251") else ""
+    return re.compile(f"[{lead}][{more}{controls}]")
 
 
-def restore(text: str | None) -> tuple[str | None, bool, bool]:
-    """(restored text, whether any of it was wrongly decoded, whether the original couldn't be had in full)."""
+def repair(text: str | None) -> tuple[str | None, str | None, bool]:
+    """(restored text, how it was found, whether the original couldn't be had in full).
+
+    Found by ``bytes`` (the automaton), ``single`` (no multibyte structure, see
+    ``single_byte``) or ``lost`` (only U+FFFD or controls are left); None for a
+    right text.
+    """
     if text is None or text.isascii():
-        return text, False, False
-    found, now = False, text
-    for _ in range(8):  # wrong readings can be on top of each other
+        return text, None, False
+    by, now = None, text
+    # Wrong readings can be on top of each other. Each pass leaves fewer misread characters, so it ends.
+    while True:
         # The reading that explains the most characters goes first.
-        tried = [_spans(now, codec) for codec in MULTIBYTE] + [_from_gbk(now), _lowered(now)]
+        tried = [_spans(now, codec) for codec in MULTIBYTE if _pair(codec).search(now)] + [_from_gbk(now), _lowered(now)]
         best, n = max(tried, key=lambda x: x[1])
-        if not n:
+        if not n or best == now:
             break
-        now, found = best, True
-    if not found:
-        now, found = _single(now)
-    if found:
-        now = re.sub("Ã[  ](?=\\S)", "à ", now)
-    lost = "�" in now or bool(_CONTROL.search(now)) or found and bool(_HALF.search(now))
-    return now, found or lost, lost
+        now, by = best, "bytes"
+    if by:
+        # The pair C3 A0 ("à") whose second byte has become a plain space; the first one is no word by itself.
+        now = _ALONE.sub("à ", now)
+    else:
+        now, mended = reread_single(now)
+        by = "single" if mended else None
+    lost = "�" in now or bool(_CONTROL.search(now)) or by is not None and bool(_HALF.search(now))
+    return now, by or ("lost" if lost else None), lost
+
+
+def restore(text: str | None) -> tuple[str | None, bool, bool]:
+    """(restored text, whether any of it was wrongly decoded, whether the original couldn't be had in full)."""
+    now, by, lost = repair(text)
+    return now, by is not None, lost
 
 
 def garbled(df: DataFrame, row: str = "doc_id", text: str = "text") -> DataFrame:
-    """Texts with wrongly decoded parts: ``doc_id``, ``text``, ``restored``, ``lost``.
+    """Texts with wrongly decoded parts: ``doc_id``, ``text``, ``restored``, ``lost``, ``by``.
 
     ``restored`` is the text with all spans mended that can be; ``lost`` says
     that some original characters can't be had (they had become U+FFFD or
-    controls). Right texts are left out, as are nulls. Repeated rows give
-    repeated rows; an empty table gives an empty result.
+    controls); ``by`` is how the text was found (see ``repair``). Right texts
+    are left out, as are nulls. Repeated rows give repeated rows; an empty
+    table gives an empty result.
     """
 
     def work(batches):
         for batch in batches:
-            rows = [(i, t, *restore(t)) for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
-            rows = [(i, t, r, lost) for i, t, r, found, lost in rows if found]
-            cols = zip(*rows, strict=True) if rows else ((), (), (), ())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.string(), pa.string(), pa.bool_()), strict=True)], ["doc_id", "text", "restored", "lost"])
+            rows = [(i, t, *repair(t)) for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
+            rows = [(i, t, r, lost, by) for i, t, r, by, lost in rows if by]
+            cols = zip(*rows, strict=True) if rows else ((), (), (), (), ())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.string(), pa.string(), pa.bool_(), pa.string()), strict=True)], ["doc_id", "text", "restored", "lost", "by"])
 
     # Plain ASCII can't be garbled and never leaves the JVM.
     rows = df.select(F.col(row).cast("bigint").alias("doc_id"), F.col(text).alias("text")).where(F.octet_length("text") > F.length("text"))
-    return spread(rows).mapInArrow(work, "doc_id bigint, text string, restored string, lost boolean")
+    return spread(rows).mapInArrow(work, "doc_id bigint, text string, restored string, lost boolean, by string")

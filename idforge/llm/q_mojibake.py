@@ -1,6 +1,7 @@
 """Problem 8: garbled text from wrong character encoding."""
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from idforge.llm.mojibake import garbled
 
@@ -15,5 +16,10 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return p8_restored(spark, d).select("doc_id")
 
 
-QUERIES = {"p8_found": p8_found, "p8_restored": p8_restored}
+def p8_methods(spark: SparkSession, d: str) -> DataFrame:
+    """Affected documents by what found them: the byte automaton, single-byte rereading, or lost characters alone."""
+    return p8_restored(spark, d).groupBy("by").agg(F.count("*").alias("documents"), F.count_if("lost").alias("lost"))
+
+
+QUERIES = {"p8_found": p8_found, "p8_restored": p8_restored, "p8_methods": p8_methods}
 SQL: dict[str, str] = {}

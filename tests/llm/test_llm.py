@@ -16,7 +16,7 @@ from idforge.llm.fold import split_words
 from idforge.llm.format_dup import collapse_formats, format_copies, same_words
 from idforge.llm.leakage import leaked_items
 from idforge.llm.mixing import mix_sources, pivot
-from idforge.llm.mojibake import MULTIBYTE, garbled, restore
+from idforge.llm.mojibake import MULTIBYTE, garbled, repair, restore
 from idforge.llm.splits import entity_components, related_splits
 from idforge.llm.words import title_key_col, words
 
@@ -333,6 +333,27 @@ def test_mix_reaches_its_targets(spark):
     assert nothing.count() == 0 and {r.tokens for r in none.collect()} == {0}
 
 
+def test_mix_does_not_depend_on_partitions(spark, monkeypatch):
+    from idforge.llm import mixing
+
+    monkeypatch.setattr(mixing, "BUCKET", 20)
+    monkeypatch.setattr(mixing, "FAN_IN", 3)
+    rng = random.Random(16)
+    docs = spark.createDataFrame([(i % 700, rng.choice(["a", "a", "a", "b"]), sentence(rng, rng.randrange(0, 20))) for i in range(720)], "doc_id bigint, source string, text string")
+    weights = spark.createDataFrame([("a", 0.3, 1), ("b", 0.7, 3)], "source string, target_share double, max_repeats int")
+    got = [sorted(map(tuple, mix_sources(docs.repartition(n), weights)[0].collect())) for n in (1, 4, 200)]
+    assert got[0] == got[1] == got[2] and got[0]
+    other = sorted(map(tuple, mix_sources(docs, weights, seed=12)[0].collect()))
+    assert other != got[0]
+
+
+def test_draws_are_even():
+    from idforge.llm.mixing import draw
+
+    x = [draw(11, a, b) for a in range(-50, 50) for b in range(0, 3000, 30)]
+    assert 0 <= min(x) and max(x) < 1 and abs(sum(x) / len(x) - 0.5) < 0.01 and all(abs(sum(k / 10 <= v < (k + 1) / 10 for v in x) / len(x) - 0.1) < 0.015 for k in range(10))
+
+
 RIGHT = [
     "Später gründete man die Brücke „Sapoka“ bis 1861.", "L’été suivant, la forêt « Gerivø » près d’une île.", "«Â» es la inicial; MAÇÃ e SÃO — NAÇÃO.", "Почему холм? Здесь 1177 «СССР».",
     "docs/\n├── titles\n│   └── raw", "√2 ≈ 1.414, 25 °C, 3 × 4 = 12", "Phở, bánh mì, Łódź, Ærø, Åland, Žeta", "caf&eacute; 3 € and ½ loaf", "plain ascii", "", "vELORA qUÉNTANA tÉSO", "茅台 是 酒",
@@ -408,6 +429,22 @@ def test_other_characters_come_back():
     assert [t for t in right if restore(t) != (t, False, False)] == []
 
 
+def test_only_spans_are_decoded():
+    for t, want in (("cafÃ© da MAÇÃ e SÃO PAULO", "café da MAÇÃ e SÃO PAULO"), ("naÃ¯ve A MANHÃ é boa", "naïve A MANHÃ é boa"), ("cafÃ© Ã Paris, Ã\xa0 Rome", "café à Paris, à Rome")):
+        assert restore(t) == (want, True, False)
+
+
+def test_any_number_of_misreadings():
+    t = wrong = "La montaña «Guguba» está aquí"
+    for _ in range(14):
+        wrong = wrong.encode().decode("latin-1")
+        assert restore(wrong) == (t, True, False)
+
+
+def test_what_found_a_text():
+    assert repair("cafÃ©")[1] == "bytes" and repair("Está Lubakå señal niño".encode("cp1252").decode("cp437"))[1] == "single" and repair("a\ufffdb")[1] == "lost" and repair("café")[1] is None
+
+
 def test_garbled_rows(spark):
     df = spark.createDataFrame([(1, "cafÃ©", "a"), (2, "café", "b"), (3, None, "c"), (4, "", "d"), (1, "cafÃ©", "e")], "doc_id bigint, text string, restored string")
     assert sorted((r.doc_id, r.restored, r.lost) for r in garbled(df).collect()) == [(1, "café", False)] * 2
