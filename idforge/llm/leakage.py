@@ -1,11 +1,12 @@
 """Evaluation texts inside a corpus.
 
-Every window of a document that is as long as an item's window (``run`` words,
-or the whole item where it is shorter) gets a 64-bit SimHash of its words. The
-items' fingerprints are indexed by ``radius + 1`` blocks of bits: two
-fingerprints within ``radius`` agree in a block, so no pair within the radius
-is missed. What agrees is verified on the words themselves: exact equality of
-the run, or the similarity of weighted shingles.
+A passage may be in a document in part. So the windows compared are runs of
+``run`` words (the whole item where it is shorter), and every such window of a
+document gets a 64-bit SimHash of its words. The items' fingerprints are
+indexed by ``radius + 1`` blocks of bits: two fingerprints within ``radius``
+agree in a block, so no pair within the radius is missed. What agrees is
+verified on the words themselves: exact equality of the run, or the similarity
+of weighted shingles.
 
 An edited copy may differ in every such window. So windows as long as the whole
 item are compared, too, by shingles narrow enough for one replaced word in each
@@ -33,18 +34,37 @@ ITEM_WINDOWS = 500_000
 FOUND = "doc_id bigint, item_id bigint, similarity double, whole boolean"
 
 
-def simhashes(words: np.ndarray, first: np.ndarray, size: int) -> np.ndarray:
-    """SimHash of the ``size`` words from each position of ``first``; ties give a 0 bit."""
-    out = np.zeros(len(first), np.uint64)
-    for a in range(0, len(first), 50_000):
-        at = first[a : a + 50_000]
-        lo, hi = int(at[0]), int(at[-1]) + size
-        bits = np.unpackbits(np.ascontiguousarray(words[lo:hi]).view(np.uint8).reshape(-1, 8), axis=1)
-        sums = np.zeros((hi - lo + 1, 64), np.int32)
-        np.cumsum(bits, axis=0, dtype=np.int32, out=sums[1:])
-        ones = sums[at - lo + size] - sums[at - lo]
-        out[a : a + 50_000] = np.packbits(ones * 2 > size, axis=1).view(np.uint64)[:, 0]
-    return out
+def _at_least(planes: list[np.ndarray], least: int) -> np.ndarray:
+    """Bits whose count, given as binary digits in ``planes`` (lowest first), is ``least`` or more."""
+    above, equal = np.zeros_like(planes[0]), np.full_like(planes[0], ~np.uint64(0))
+    for k in reversed(range(len(planes))):
+        if least >> k & 1:
+            equal &= planes[k]
+        else:
+            above |= equal & planes[k]
+            equal &= ~planes[k]
+    return above | equal
+
+
+def simhashes(words: np.ndarray, sizes: list[int], step: int = 32_768):
+    """SimHashes of the windows of each size from every word: (first word, size, fingerprints); ties give a 0 bit.
+
+    The 64 counts of a window are held as binary digits, a 64-bit word for each
+    digit, so that adding a word to all windows takes a few operations on whole
+    words. A window grows by one word at a time and gives its fingerprint at
+    each size that is asked for.
+    """
+    wanted = set(sizes)
+    for a in range(0, len(words), step):
+        n, planes = min(step, len(words) - a), []
+        for size in range(1, min(max(wanted, default=0), len(words) - a) + 1):
+            n = min(n, len(words) - a - size + 1)
+            carry = words[a + size - 1 : a + size - 1 + n].copy()
+            planes = [x[:n] for x in planes] + [np.zeros(n, np.uint64)] * (size.bit_length() - len(planes))
+            for k, x in enumerate(planes):
+                planes[k], carry = x ^ carry, x & carry
+            if size in wanted:
+                yield a, size, _at_least(planes, size // 2 + 1)
 
 
 class ItemIndex:
@@ -64,12 +84,14 @@ class ItemIndex:
         edges = np.linspace(0, 64, radius + 2).astype(int)
         for size, rows in by.items():
             ids, at = np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], np.int64)
-            prints = simhashes(hashes, at, size)
+            prints = np.concatenate([p for _, _, p in simhashes(hashes, [size])])[at]
             blocks = []
             for lo, hi in zip(edges[:-1], edges[1:], strict=True):
                 key = self.block(prints, lo, hi)
                 order = np.argsort(key, kind="stable")
-                blocks.append((int(lo), int(hi), key[order], order))
+                # Narrow blocks are looked up in a table of where each value begins.
+                begins = np.searchsorted(key[order], np.arange((1 << int(hi - lo)) + 1, dtype=np.uint64)) if hi - lo <= 20 else None
+                blocks.append((int(lo), int(hi), key[order], order, begins))
             self.sizes[size] = (ids, at, prints, blocks)
         grams = Counter(g for _, (_, at, _, _) in self.sizes.items() for p in at for g in [self.gram(hashes, int(p))] if g is not None)
         total = sum(grams.values()) or 1
@@ -94,9 +116,12 @@ class ItemIndex:
         """(document window, item window) pairs within the radius."""
         _, _, own, blocks = self.sizes[size]
         a_all, b_all = [], []
-        for lo, hi, keys, order in blocks:
+        for lo, hi, keys, order, begins in blocks:
             key = self.block(prints, lo, hi)
-            left, right = np.searchsorted(keys, key, "left"), np.searchsorted(keys, key, "right")
+            if begins is None:
+                left, right = np.searchsorted(keys, key, "left"), np.searchsorted(keys, key, "right")
+            else:
+                left, right = begins[key], begins[key + np.uint64(1)]
             n = right - left
             a = np.repeat(np.arange(len(prints)), n)
             b = order[np.repeat(left, n) + np.arange(len(a)) - np.repeat(np.cumsum(n) - n, n)]
@@ -200,12 +225,12 @@ def _search(batches, index: ItemIndex, threshold: float, whole_items: WholeItems
         for lo, hi in in_parts(texts, 400_000):
             w = split_words(texts[lo:hi])
             words = w.hashes()
-            for size, (items, at, _, _) in index.sizes.items():
-                n = len(words) - size + 1
-                first = np.flatnonzero(w.row[:n] == w.row[size - 1 :]) if n > 0 else np.zeros(0, np.int64)
-                if not len(first):
-                    continue
-                a, b = index.near(simhashes(words, first, size), size)
+            for start, size, prints in simhashes(words, list(index.sizes)):
+                items, at, _, _ = index.sizes[size]
+                stop = start + len(prints)
+                first = np.flatnonzero(w.row[start:stop] == w.row[start + size - 1 : stop + size - 1])
+                a, b = index.near(prints[first], size)
+                first += start
                 for p, q, r in zip(first[a].tolist(), at[b].tolist(), items[b].tolist(), strict=True):
                     key = (int(ids[lo + w.row[p]]), r)
                     if best.get(key, (0.0, False))[1]:
