@@ -19,45 +19,57 @@ from idforge.operators.lineage import spread
 
 KINDS = ("sentence", "word", "char")
 PENALTY = (0.0, 1e3, 1e6)
-_SENTENCE_GAP = re.compile(r"(?<=[.!?])[ \t\r\n]+")
 _GAP = re.compile(r"[ \t\r\n]+")
 
 
-def cut_kind(text: str, limit: int) -> str:
-    """Weakest boundary needed: whether all stretches between sentence gaps, else between white space, fit the limit."""
-    for kind, gap in zip(KINDS, (_SENTENCE_GAP, _GAP)):
-        if max(map(len, gap.split(text))) <= limit:
-            return kind
-    return "char"
+class Boundaries:
+    """Where a text may be cut: after sentences, after other white space, anywhere."""
+
+    def __init__(self, text: str):
+        self.n = len(text)
+        spans = [(m.start(), m.end()) for m in _GAP.finditer(text)]
+        self.words = np.array(spans, np.int64).reshape(-1, 2)
+        self.sentences = self.words[[a > 0 and text[a - 1] in ".!?" for a, _ in spans]] if spans else self.words
+
+    def _stretches(self, gaps: np.ndarray) -> np.ndarray:
+        return np.concatenate([gaps[:, 0], [self.n]]) - np.concatenate([[0], gaps[:, 1]])
+
+    def kind(self, limit: int) -> str:
+        """Weakest boundary needed: whether all stretches between sentence gaps, else between white space, fit the limit."""
+        for kind, gaps in zip(KINDS, (self.sentences, self.words)):
+            if self._stretches(gaps).max() <= limit:
+                return kind
+        return "char"
+
+    def candidates(self, step: int) -> tuple[np.ndarray, np.ndarray]:
+        """Positions where a cut may lie, ascending, and the penalty of each.
+
+        White space counts as a candidate only where sentence ends are more than
+        ``step`` apart, single characters (all of them) only where white space
+        is: a cheaper chain never uses a dearer cut elsewhere.
+        """
+        found, last = [], np.array([0, self.n])
+        for penalty, ends in zip(PENALTY, (self.sentences[:, 1], self.words[:, 1], np.arange(1, self.n))):
+            wide = np.flatnonzero(np.diff(last) > step)
+            if penalty and not len(wide):
+                break
+            ends = ends[(ends > 0) & (ends < self.n)]
+            if penalty:
+                low, high = np.searchsorted(ends, last[wide], "right"), np.searchsorted(ends, last[wide + 1], "left")
+                ends = np.concatenate([ends[a:b] for a, b in zip(low, high)])
+            found.append((ends, np.full(len(ends), penalty)))
+            last = np.sort(np.concatenate([last, ends]))
+        at, cost = (np.concatenate(x) for x in zip(*found))
+        order = np.argsort(at, kind="stable")
+        return at[order], cost[order]
+
 
+def cut_kind(text: str, limit: int) -> str:
+    """Weakest boundary that a text needs (see ``Boundaries.kind``)."""
+    return Boundaries(text).kind(limit)
 
-def _candidates(text: str, step: int) -> tuple[np.ndarray, np.ndarray]:
-    """Positions where a cut may lie, ascending, and the penalty of each.
 
-    White space counts as a candidate only where sentence ends are more than
-    ``step`` apart, single characters only where white space is: a cheaper
-    chain never uses a dearer cut elsewhere.
-    """
-    ends = [m.end() for m in _SENTENCE_GAP.finditer(text) if m.end() < len(text)]
-    found = dict.fromkeys(ends, PENALTY[0])
-    gaps = None
-    at = [0, *ends, len(text)]
-    for a, b in zip(at, at[1:]):
-        if b - a > step:
-            if gaps is None:
-                gaps = [m.end() for m in _GAP.finditer(text) if m.end() < len(text)]
-            own = [g for g in gaps if a < g < b]
-            found |= {g: PENALTY[1] for g in own if g not in found}
-            inner = [a, *own, b]
-            for x, y in zip(inner, inner[1:]):
-                if y - x > step:
-                    grid = max(1, step // 16)
-                    found |= {g: PENALTY[2] for g in range(x + grid, y, grid)}
-    keys = sorted(found)
-    return np.array(keys, np.int64), np.array([found[k] for k in keys])
-
-
-def best_cuts(text: str, limit: int, overlap: int) -> list[tuple[int, int]]:
+def best_cuts(text: str, limit: int, overlap: int, bounds: Boundaries | None = None) -> list[tuple[int, int]]:
     """(start, end) of consecutive pieces that cover the text; each starts ``overlap`` before the last one's end."""
     n = len(text)
     if n <= limit:
@@ -65,21 +77,22 @@ def best_cuts(text: str, limit: int, overlap: int) -> list[tuple[int, int]]:
     step = limit - overlap
     pieces = -(-(n - overlap) // step)
     even = (n - overlap) / pieces + overlap
-    at, penalty = _candidates(text, step)
+    at, penalty = (bounds or Boundaries(text)).candidates(step)
     at, penalty = np.concatenate([[0], at, [n]]), np.concatenate([[0.0], penalty, [0.0]])
     best, back = np.full(len(at), np.inf), np.zeros(len(at), np.int64)
     best[0] = 0
     low = np.searchsorted(at, at - step, "left")
     low[at <= limit] = 0  # the first piece has no overlap
+    begin, own = np.maximum(at - overlap, 0), 1.0 / even
+    late = np.searchsorted(at, overlap, "right")  # but for the start, a piece must get past the one before
     for k in range(1, len(at)):
-        j = np.arange(low[k], k)
-        j = j[(at[j] > overlap) | (j == 0)]  # a piece must get past the one before
-        size = at[k] - np.maximum(at[j] - overlap, 0)
-        fits = size <= limit
-        cost = np.where(fits, best[j] + ((size - even) / even) ** 2 + 0.05, np.inf) + penalty[k]
-        if len(j):
-            m = int(np.argmin(cost))
-            best[k], back[k] = cost[m], j[m]
+        a = max(low[k], late)
+        cost = best[a:k] + ((at[k] - begin[a:k]) * own - 1.0) ** 2
+        m = int(np.argmin(cost)) if len(cost) else -1
+        least = cost[m] if len(cost) else np.inf
+        if low[k] == 0 and at[k] <= limit and (first := (at[k] * own - 1.0) ** 2) <= least:
+            m, least = -a, first  # the piece from the start, which has no overlap
+        best[k], back[k] = least + 0.05 + penalty[k], max(a + m, 0)
     out, k = [], len(at) - 1
     while k:
         j = back[k]
@@ -106,8 +119,9 @@ def cut_long_texts(df: DataFrame, row: str, fields: list[str], limit: int = 2000
         for batch in batches:
             cols = [[] for _ in range(7)]
             for r, field, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                kind = cut_kind(text, limit)
-                for k, (a, b) in enumerate(best_cuts(text, limit, overlap)):
+                bounds = Boundaries(text)
+                kind = bounds.kind(limit)
+                for k, (a, b) in enumerate(best_cuts(text, limit, overlap, bounds)):
                     for c, x in zip(cols, (r, field, k, a, b, text[a:b], kind), strict=True):
                         c.append(x)
             kinds = (pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.string())
