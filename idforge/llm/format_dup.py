@@ -4,12 +4,16 @@ No canonical string is built to find copies: each text streams through the
 skip-and-fold table into polynomial hashes of its words, and a sum over the
 words makes the key independent of their order. Records with the same key are
 then compared with their group's first record by a two-pointer walk that skips
-what the table skips. A record that fails the comparison (a hash collision)
-is placed by its exact key instead, so no result rests on a hash alone.
+what the table skips; where the order differs, the folded words are counted
+against each other. A record that fails the comparison (a hash collision) is
+placed by its exact key instead, so no result rests on a hash alone. The key
+that is given out is only made once for each class, from its first text.
 """
 
 from __future__ import annotations
 
+from collections import Counter
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -18,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from idforge.llm.fold import fold_table, mix, split_words, sum_by_row
-from idforge.llm.words import title_key_col, words
+from idforge.llm.words import title_key_col
 from idforge.operators.lineage import cut
 
 
@@ -37,7 +41,7 @@ def fold_keys(df: DataFrame, row: str, text: str) -> DataFrame:
 
 
 def same_words(a: str, b: str) -> bool:
-    """Whether two texts have the same words, by two pointers; falls back on sorted words where the order differs."""
+    """Whether two texts have the same words, by two pointers; by counting the folded words where the order differs."""
     if a == b:
         return True
     table = fold_table()
@@ -56,7 +60,14 @@ def same_words(a: str, b: str) -> bool:
         if x[i] != y[j] or (gap_i != gap_j and 0 < i and 0 < j and not _at_start(x, i, y, j)):
             break
         i, j = i + 1, j + 1
-    return sorted(words(a)) == sorted(words(b))
+    return _counted(a) == _counted(b)
+
+
+def _counted(text: str) -> Counter:
+    """How often each folded word occurs, the words as slices of the folded characters."""
+    w = split_words([text])
+    folded = w.codes.tobytes()
+    return Counter(folded[4 * a : 4 * (a + n)] for a, n in zip(w.start.tolist(), w.size.tolist()))
 
 
 def _at_start(x: list[int], i: int, y: list[int], j: int) -> bool:
@@ -75,30 +86,40 @@ def _same(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series(out, dtype=bool)
 
 
-def format_copies(df: DataFrame, row: str, text: str) -> DataFrame:
-    """Class of each record whose text has words: ``row_no``, ``first_row_no``, ``title_key``, ``copies``.
+def _classes(df: DataFrame, row: str, text: str) -> DataFrame:
+    """Class of each record whose text has words: ``row_no``, ``first_row_no``, ``first_text``, ``copies``."""
+    keyed = cut(fold_keys(df, row, text), "keyed")
+    key = ["h1", "h2", "n"]
+    firsts = keyed.groupBy(*key).agg(F.min(F.struct("row_no", "text")).alias("first"), F.count("*").alias("copies"))
+    firsts = firsts.select(*key, F.col("first.row_no").alias("first_row_no"), F.col("first.text").alias("first_text"), "copies")
+    ok = F.when(F.col("text") == F.col("first_text"), True).otherwise(_same("text", "first_text"))
+    checked = cut(keyed.join(firsts, key).withColumn("ok", ok).select("row_no", "first_row_no", "first_text", "copies", F.when(~F.col("ok"), F.col("text")).alias("other")), "classes")
+    kept = ["row_no", "first_row_no", "first_text", "copies"]
+    mixed = checked.where("other is not null").select("first_row_no").distinct()
+    if mixed.isEmpty():
+        return checked.select(kept)
+    # Hash collisions: these classes are taken apart by the exact key.
+    mixed = cut(mixed, "mixed")
+    apart = checked.join(mixed, "first_row_no", "left_semi").select("row_no", F.coalesce("other", "first_text").alias("text"))
+    apart = cut(apart.withColumn("title_key", title_key_col(F.col("text"))), "apart")
+    by = apart.groupBy("title_key").agg(F.min(F.struct("row_no", "text")).alias("first"), F.count("*").alias("copies"))
+    exact = apart.join(by, "title_key").select("row_no", F.col("first.row_no").alias("first_row_no"), F.col("first.text").alias("first_text"), "copies")
+    return checked.join(mixed, "first_row_no", "left_anti").select(kept).union(exact)
+
+
+def format_copies(df: DataFrame, row: str, text: str, least: int = 1) -> DataFrame:
+    """Class of each record with at least ``least`` copies: ``row_no``, ``first_row_no``, ``title_key``, ``copies``.
 
     Texts are the same if their sorted words are. Nulls and texts without a
     word are left out; an empty table gives an empty result. The classes'
     counts and first records are combined before the shuffle, and the join
     back is one that adaptive execution splits where a class is large.
     """
-    keyed = fold_keys(df, row, text)
-    key = ["h1", "h2", "n"]
-    firsts = keyed.groupBy(*key).agg(F.min(F.struct("row_no", "text")).alias("first"), F.count("*").alias("copies"))
-    firsts = firsts.select(*key, F.col("first.row_no").alias("first_row_no"), F.col("first.text").alias("first_text"), title_key_col(F.col("first.text")).alias("title_key"), "copies")
-    joined = keyed.join(firsts, key)
-    sure = F.col("text") == F.col("first_text")
-    checked = cut(joined.withColumn("ok", F.when(sure, True).otherwise(_same("text", "first_text"))).select("row_no", "first_row_no", "title_key", "copies", "ok", F.when(~F.col("ok"), title_key_col(F.col("text"))).alias("own_key")), "classes")
-    if checked.where("not ok").isEmpty():
-        return checked.select("row_no", "first_row_no", "title_key", "copies")
-    exact = checked.select("row_no", F.coalesce("own_key", "title_key").alias("title_key"))
-    by = exact.groupBy("title_key").agg(F.min("row_no").alias("first_row_no"), F.count("*").alias("copies"))
-    return exact.join(by, "title_key").select("row_no", "first_row_no", "title_key", "copies")
+    kept = _classes(df, row, text).where(F.col("copies") >= least)
+    return kept.select("row_no", "first_row_no", title_key_col(F.col("first_text")).alias("title_key"), "copies")
 
 
 def collapse_formats(df: DataFrame, row: str, text: str) -> DataFrame:
     """One record per distinct text: ``row_no``, ``text`` (of the first record), ``title_key``, ``copies``."""
-    keyed = fold_keys(df, row, text)
-    classes = format_copies(df, row, text).where("row_no = first_row_no").select("row_no", "title_key", "copies").distinct()
-    return keyed.select("row_no", "text").dropDuplicates(["row_no"]).join(classes, "row_no")
+    firsts = _classes(df, row, text).where("row_no = first_row_no").select("row_no", F.col("first_text").alias("text"), "copies").distinct()
+    return firsts.select("row_no", "text", title_key_col(F.col("text")).alias("title_key"), "copies")

@@ -11,7 +11,7 @@ def _rows(spark: SparkSession, d: str) -> DataFrame:
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     """Records whose title occurs on two or more."""
-    return format_copies(_rows(spark, d), "row_no", "title").where("copies > 1").select("title_key", "row_no")
+    return format_copies(_rows(spark, d), "row_no", "title", least=2).select("title_key", "row_no")
 
 
 def p3_collapsed(spark: SparkSession, d: str) -> DataFrame:
