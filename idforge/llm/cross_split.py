@@ -192,7 +192,7 @@ def similar_to_train(sets: DataFrame, t: float) -> DataFrame:
     classes = cut(sides, "classes")
     members = sets.where("not probe").select(F.col("row_no").alias("member"), *keys)
     # The order must be the same for tokens on either side, so the counts are of mixed tokens.
-    codes = token_codes(_mixed(classes), "h", bits_for((classes.agg(F.sum("n")).first()[0] or 0) // 4))
+    codes = token_codes(_mixed(classes), "h", bits_for(classes.agg(F.sum("n")).first()[0] or 0))
     posts = cut(_postings(classes, codes, t), "postings")
     full, most = classes.select("row_no", "h"), HELD
 

@@ -325,7 +325,7 @@ def _search(batches, t: float, apart: bool):
 
 def _members(texts: DataFrame, nodes: DataFrame) -> DataFrame:
     """Texts that may be among the nodes: a filter of bounded size, so that the join needn't shuffle all texts."""
-    bits = bits_for(8 * nodes.count())
+    bits = bits_for(64 * nodes.count())
     there = np.packbits(token_codes(nodes.select(F.array(F.xxhash64("node")).alias("h")), "h", bits) > 0, bitorder="little")
     known = texts.sparkSession.sparkContext.broadcast(there)
 

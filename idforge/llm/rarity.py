@@ -33,8 +33,8 @@ def flat(column: pa.ChunkedArray | pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def bits_for(tokens: int) -> int:
-    """Counters for so many tokens: about one for every two, within the bounds."""
-    return min(MOST_BITS, max(LEAST_BITS, math.ceil(math.log2(max(2, tokens))) - 1))
+    """Counters for so many tokens: one for every four to eight, within the bounds."""
+    return min(MOST_BITS, max(LEAST_BITS, math.ceil(math.log2(max(2, tokens))) - 3))
 
 
 def code_of(count: int | np.ndarray):
