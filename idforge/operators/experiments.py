@@ -13,16 +13,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from idforge.operators.lineage import cut
 from idforge.operators.ordering import dense_index
-
-
-def t_quantile(freedom: Column, z: float = 1.959963984540054) -> Column:
-    """Student's t quantile for the normal quantile ``z``, by the Cornish-Fisher series (three terms)."""
-    a = (z**3 + z) / 4
-    b = (5 * z**5 + 16 * z**3 + 3 * z) / 96
-    c = (3 * z**7 + 19 * z**5 + 17 * z**3 - 15 * z) / 384
-    n = freedom.cast("double")
-    return F.lit(z) + a / n + b / (n * n) + c / (n * n * n)
+from idforge.operators.student import normal_p_value, t_p_value, t_quantile
 
 
 def run_statistics(runs: DataFrame, keys: list[str], value: str) -> DataFrame:
@@ -33,21 +26,39 @@ def run_statistics(runs: DataFrame, keys: list[str], value: str) -> DataFrame:
 
 
 def paired_test(a: DataFrame, b: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """Paired t value and Wilcoxon's signed-rank sums of a - b: ``pairs``, ``difference``, ``t``, ``w_plus``, ``w_minus``."""
-    j = a.select(*keys, F.col(value).alias("x")).join(b.select(*keys, F.col(value).alias("y")), keys).select((F.col("x") - F.col("y")).alias("d"))
-    w = Window.orderBy(F.abs("d"))
-    r = j.where("d <> 0").withColumn("r", F.rank().over(w) + (F.count("*").over(Window.partitionBy(F.abs("d"))) - 1) / 2)
-    signs = r.agg(F.coalesce(F.sum(F.when(F.col("d") > 0, F.col("r"))), F.lit(0.0)).alias("w_plus"), F.coalesce(F.sum(F.when(F.col("d") < 0, F.col("r"))), F.lit(0.0)).alias("w_minus"))
-    t = j.agg(F.count("*").alias("pairs"), F.avg("d").alias("difference"), (F.avg("d") / (F.stddev_samp("d") / F.sqrt(F.count("*")))).alias("t"))
-    return t.crossJoin(F.broadcast(signs))
-
+    """Paired t test and Wilcoxon's signed-rank test of a - b, both two-sided.
 
-def kendall(df: DataFrame, keys: list[str], x: str, y: str, fewest: int = 4) -> DataFrame:
+    ``pairs``, ``difference``, ``t``, ``t_p``, ``w_plus``, ``w_minus``, ``z``,
+    ``w_p``. Wilcoxon leaves out differences of 0, gives ties their mean rank
+    and takes the normal approximation with the variance that ties leave.
+    p values are null where a test has nothing to go on. The differences are
+    numbered over range partitions, so a pair per query is no matter.
+    """
+    j = cut(a.select(*keys, F.col(value).alias("x")).join(b.select(*keys, F.col(value).alias("y")), keys).select((F.col("x") - F.col("y")).alias("d")), "differences")
+    placed = dense_index(j.where("d <> 0").select(F.abs("d").alias("a"), "d"), ["a"], "i", 1)
+    ties = placed.groupBy("a").agg(F.avg("i").alias("r"), F.count("*").alias("k"), F.count_if(F.col("d") > 0).alias("up"))
+    k, n = F.col("k"), F.sum("k")
+    ranks = ties.agg(
+        F.coalesce(F.sum(F.col("r") * F.col("up")), F.lit(0.0)).alias("w_plus"), F.coalesce(F.sum(F.col("r") * (k - F.col("up"))), F.lit(0.0)).alias("w_minus"),
+        (n * (n + 1) / 4).alias("middle"), ((n * (n + 1) * (2 * n + 1) - F.sum(k * k * k - k) / 2) / 24).alias("variance"),
+    ).first()
+    z = (min(ranks["w_plus"], ranks["w_minus"]) - ranks["middle"]) / ranks["variance"] ** 0.5 if ranks["variance"] else None
+    t = j.agg(F.count("*").alias("pairs"), F.avg("d").alias("difference"), F.stddev_samp("d").alias("std"))
+    t = t.select("pairs", "difference", F.when(F.col("std") > 0, F.col("difference") / (F.col("std") / F.sqrt("pairs"))).alias("t"))
+    z = F.lit(z).cast("double")
+    return t.select("*", t_p_value(F.col("t"), F.col("pairs") - 1).alias("t_p"), F.lit(ranks["w_plus"]).alias("w_plus"), F.lit(ranks["w_minus"]).alias("w_minus"), z.alias("z"), normal_p_value(z).alias("w_p"))
+
+
+def kendall(df: DataFrame, keys: list[str], x: str, y: str, fewest: int = 4, most: int = 5_000) -> DataFrame:
     """Kendall's tau-b and R squared within each group of at least ``fewest`` rows: keys, ``tau``, ``r2``, ``n``.
 
     ``keys`` may be empty for the pooled figures. Pairs are formed within a
-    group of configurations, whose number the experiment's grid bounds.
+    group of configurations; a group of more than ``most`` raises, as this is
+    no operator for rows that grow with the data.
     """
+    large = df.groupBy(*keys).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+    if large > most:
+        raise ValueError(f"{large} configurations in a group, more than {most}")
     base = df.withColumn("_i", F.xxhash64(*df.columns))
     k = keys or ["_all"]
     base = base if keys else base.withColumn("_all", F.lit(0))
@@ -127,6 +138,18 @@ def parameter_grid(spark, parts: list[list[dict]]) -> DataFrame:
     return spark.createDataFrame([{"number": k} | r for k, r in enumerate(rows)])
 
 
+def resume(grid: DataFrame, checkpoints: DataFrame, stages: DataFrame, keys: list[str]) -> DataFrame:
+    """Where each experiment of a grid goes on: keys, ``done`` (the last stage with a checkpoint), ``next``; null where there is none.
+
+    ``checkpoints`` has keys and ``stage``; ``stages`` (``stage``, ``step``) is
+    the short list of stages in order.
+    """
+    steps = stages.select("stage", "step")
+    last = checkpoints.join(F.broadcast(steps), "stage").groupBy(*keys).agg(F.max_by("stage", "step").alias("done"), F.max("step").alias("_at"))
+    each = grid.select(*keys).distinct().join(last, keys, "left").withColumn("_at", F.coalesce("_at", F.lit(0)) + 1)
+    return each.join(F.broadcast(steps.select(F.col("step").alias("_at"), F.col("stage").alias("next"))), "_at", "left").select(*keys, "done", "next")
+
+
 def _ranks(x: np.ndarray) -> np.ndarray:
     return pd.Series(x).rank().to_numpy()
 
@@ -135,18 +158,23 @@ def _residual(y: np.ndarray, z: np.ndarray) -> np.ndarray:
     return y - z @ np.linalg.lstsq(z, y, rcond=None)[0]
 
 
-def partial_spearman(df: DataFrame, group: str, x: str, y: str, controls: list[str], draws: int = 200, seed: int = 42) -> DataFrame:
-    """Spearman correlation with the controls' ranks taken out, and its bootstrap interval."""
+def partial_spearman(df: DataFrame, group: str, x: str, y: str, controls: list[str], dummies: list[str] = (), draws: int = 2000, seed: int = 42) -> DataFrame:
+    """Spearman correlation with the controls' ranks and the dummies' categories taken out, and its bootstrap interval.
+
+    A category gives an indicator column (the first one of each dummy is the
+    base). Without any spread left the correlation is NaN.
+    """
 
     def run(g: pd.DataFrame) -> pd.DataFrame:
-        z = np.column_stack([np.ones(len(g)), *(_ranks(g[c].to_numpy(float)) for c in controls)])
+        g = g.sort_values([x, y, *controls, *dummies]).reset_index(drop=True)
+        marks = [pd.get_dummies(g[c].astype(str), drop_first=True).to_numpy(float) for c in dummies]
+        z = np.column_stack([np.ones(len(g)), *(_ranks(g[c].to_numpy(float)) for c in controls), *marks])
 
         def r(rows: np.ndarray) -> float:
             a, b = (_residual(_ranks(g[c].to_numpy(float)[rows]), z[rows]) for c in (x, y))
             n = np.sqrt((a @ a) * (b @ b))
             return float(a @ b / n) if n > 1e-12 else float("nan")
 
-        g = g.sort_values([x, y, *controls]).reset_index(drop=True)
         rng = np.random.default_rng(seed)
         boot = [r(rng.integers(0, len(g), len(g))) for _ in range(draws)] if len(g) > 3 else [float("nan")]
         low, high = np.nanpercentile(boot, [2.5, 97.5]) if not np.isnan(boot).all() else (float("nan"),) * 2

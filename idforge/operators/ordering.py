@@ -30,8 +30,15 @@ def dense_index(df: DataFrame, order: list, name: str = "i", start: int = 0) ->
 
 
 def with_unique_suffix(df: DataFrame, docid: str, order: list, modulo: int | None = None) -> DataFrame:
-    """Every member of a group of equal ids gets ``-n`` (from 1; modulo ``modulo`` if given, where ids may collide again)."""
-    w = Window.partitionBy(docid)
-    n = F.row_number().over(w.orderBy(*order))
+    """Every member of a group of equal ids gets ``-n`` (from 1; modulo ``modulo`` if given, where ids may collide again).
+
+    A member's place is its number in the whole order less that of its group's
+    first, so that an id that a third of all rows have isn't one task's window.
+    Null ids stay null.
+    """
+    placed = cut(dense_index(df.where(F.col(docid).isNotNull()), [docid, *order], "_i"), "placed")
+    groups = placed.groupBy(docid).agg(F.min("_i").alias("_f"), F.count("*").alias("_n")).where("_n > 1")
+    n = F.col("_i") - F.col("_f") + 1
     k = n % modulo if modulo else n
-    return df.withColumn("_n", F.count("*").over(w)).withColumn("_k", k).withColumn(docid, F.when(F.col("_n") > 1, F.concat_ws("-", docid, "_k")).otherwise(F.col(docid))).drop("_n", "_k")
+    named = placed.join(groups, docid, "left").withColumn(docid, F.when(F.col("_n") > 1, F.concat_ws("-", docid, k)).otherwise(F.col(docid)))
+    return named.select(df.columns).union(df.where(F.col(docid).isNull()))

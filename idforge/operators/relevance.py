@@ -8,6 +8,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from idforge.operators.lineage import cut
+from idforge.operators.ordering import dense_index
+
 BUCKETS = ((1, 100), (101, 500), (501, 1000))
 
 
@@ -114,13 +117,15 @@ def sampling_status(run: DataFrame, qrels: DataFrame, queries: DataFrame, n: int
 def shuffled_alignment(docs: DataFrame, key: str, seed: int = 42) -> DataFrame:
     """Each document with another one as its negative: the next in a seeded circle of hashes.
 
-    The circle is cut into ranges by the hash's first two digits; a range's
-    last member takes its own first, so no global order is needed.
+    The circle's places are numbered over range partitions, so its number of
+    tasks follows the data. A document that is alone has no negative and gives
+    no row; nulls are no documents.
     """
-    d = docs.select(key).distinct().withColumn("h", hash_order(seed, key)).withColumn("part", F.substring("h", 1, 1))
-    w = Window.partitionBy("part")
-    nxt = F.lead(key).over(w.orderBy("h", key))
-    return d.withColumn("negative", F.coalesce(nxt, F.first(key).over(w.orderBy("h", key)))).select(key, "negative")
+    d = docs.select(key).where(F.col(key).isNotNull()).distinct().withColumn("h", hash_order(seed, key))
+    placed = cut(dense_index(d, ["h", key], "i"), "circle")
+    n = placed.count()
+    after = placed.select(((F.col("i") + (n - 1)) % max(n, 1)).alias("i"), F.col(key).alias("negative"))
+    return placed.join(after, "i").where(F.col(key) != F.col("negative")).select(key, "negative")
 
 
 def hard_negative_groups(rows: DataFrame, size: int) -> DataFrame:

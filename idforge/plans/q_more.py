@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from idforge.functions import text as x
 from idforge.functions.docids import unbracketed
-from idforge.functions.similarity import cosine
+from idforge.operators.analysis import shared_token_similarity
 from idforge.operators.nearest import nearest
 from idforge.operators.relevance import first_by
 from idforge.plans.codes_sql import codes_cte
@@ -24,15 +23,9 @@ def near(s, d):
 
 
 def shared_mean(s, d):
-    """Shared-prefix similarity with each of at most 32 documents a group weighing the same (``prefix_means`` has all)."""
-    from idforge.operators.analysis import prefix_groups
-
-    h = F.md5(F.concat_ws("|", F.lit(42), "vec_id"))
-    g = prefix_groups(docs(s, d, RQ), 3).withColumn("r", F.row_number().over(Window.partitionBy("k", "prefix").orderBy(h, "vec_id"))).where("r <= 32")
-    a, b = g.alias("a"), g.alias("b")
-    both = a.join(b, (F.col("a.k") == F.col("b.k")) & (F.col("a.prefix") == F.col("b.prefix")) & (F.col("a.r") < F.col("b.r")))
-    each = both.groupBy(F.col("a.k").alias("k"), F.col("a.vec_id").alias("v")).agg(F.avg(cosine(F.col("a.embedding"), F.col("b.embedding"))).alias("s"))
-    return each.groupBy("k").agg(F.round(F.avg("s"), 6).alias("similarity"), F.count("*").alias("docs"))
+    """Shared-prefix similarity with every document weighing the same: its mean over all others of its group."""
+    g = shared_token_similarity(docs(s, d, RQ), {"hierarchical": [[0], [0, 1], [0, 1, 2]]})
+    return g.select("k", F.round("by_document", 6).alias("similarity"), "docs")
 
 
 def dpo_rows(s, d):
@@ -67,7 +60,7 @@ QUERIES = {
 
 SQL = {
     "nearest_vectors": f"WITH p AS (SELECT a.vec_id, b.vec_id AS o, round({_COS.format('a', 'b')}, 9) AS c FROM embeddings a JOIN embeddings b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id) SELECT vec_id, arg_min(o, (-c, o)) AS nearest, round(max(c), 6) AS cosine, count(*) FILTER (c >= 0.3) AS near FROM p GROUP BY 1",
-    "shared_prefix_mean": codes_cte(*RQ) + _GRP + f", e AS (SELECT a.k, a.vec_id, avg({_COS.format('a', 'b')}) AS s FROM g a JOIN g b ON a.k = b.k AND a.p = b.p AND a.r < b.r AND b.r <= 32 GROUP BY 1, 2) SELECT k, round(avg(s), 6) AS similarity, count(*) AS docs FROM e GROUP BY 1",
+    "shared_prefix_mean": codes_cte(*RQ) + _GRP + f", e AS (SELECT a.k, a.vec_id, avg({_COS.format('a', 'b')}) AS s FROM g a JOIN g b ON a.k = b.k AND a.p = b.p AND a.vec_id <> b.vec_id GROUP BY 1, 2) SELECT k, round(avg(s), 6) AS similarity, count(*) AS docs FROM e GROUP BY 1",
     "dpo_rows": "SELECT query AS prompt, pos_docid AS chosen, neg_docid AS rejected FROM (" + RELEVANCE_SQL["triples_enriched"] + ")",
     "first_row_by_split": r"SELECT docid, row_no, split FROM (SELECT *, row_number() OVER (PARTITION BY docid ORDER BY CASE split WHEN 'train' THEN 0 WHEN 'dev' THEN 1 ELSE 2 END, row_no) AS k FROM (SELECT row_no, split, lower(regexp_replace(trim(id), '^[\[\] ]+|[\[\] ]+$', '', 'g')) AS docid FROM process_nq_dataset) WHERE docid <> '') WHERE k = 1",
     "ranker_texts": "SELECT row_no, query || ' [SEP] ' || coalesce(title, '') || ' ' || abstract AS text, false AS empty FROM process_nq_dataset WHERE query IS NOT NULL AND abstract IS NOT NULL",

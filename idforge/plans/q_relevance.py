@@ -112,7 +112,7 @@ SELECT * FROM o UNION ALL SELECT e.qid, p.docid, 0, e.slot, true FROM e JOIN p O
     "hard_negative_groups": BASE + "SELECT pos.qid, array_to_string((list_value(pos.docid) || n || n || n)[1:6], ',') AS docs FROM pos JOIN (SELECT qid, list_sort(list(docid)) AS n FROM neg GROUP BY 1) x ON x.qid = pos.qid",
     "judged_pairs_joined": BASE + "SELECT count(*) FILTER (q AND p) AS kept, count(*) FILTER (NOT (q AND p)) AS skipped FROM (SELECT qid IN (SELECT qid FROM qs WHERE query IS NOT NULL) AS q, docid IN (SELECT docid FROM pages) AS p FROM (SELECT DISTINCT qid, docid FROM qr))",
     "first_qrel_per_document": BASE + "SELECT docid, qid FROM (SELECT *, row_number() OVER (PARTITION BY docid ORDER BY judged_at NULLS FIRST, qid) AS r FROM qr) WHERE r = 1",
-    "shuffled_alignment": BASE + ", h AS (SELECT docid, md5('42|' || docid) AS h FROM pages) SELECT docid, coalesce(lead(docid) OVER w, first_value(docid) OVER w) AS negative FROM h WINDOW w AS (PARTITION BY h[1] ORDER BY h, docid)",
+    "shuffled_alignment": BASE + ", h AS (SELECT docid, md5('42|' || docid) AS h FROM pages), n AS (SELECT docid, coalesce(lead(docid) OVER (ORDER BY h, docid), first_value(docid) OVER (ORDER BY h, docid)) AS negative FROM h) SELECT * FROM n WHERE docid <> negative",
     "run_page_mismatches": BASE + "SELECT coalesce(a.docid, b.docid) AS docid, CASE WHEN a.docid IS NULL THEN 'right' ELSE 'left' END AS side FROM (SELECT DISTINCT docid FROM run) a FULL JOIN pages b ON a.docid = b.docid WHERE a.docid IS NULL OR b.docid IS NULL",
     "docs_with_query": BASE + "SELECT docid FROM pages WHERE docid IN (SELECT docid FROM qr) AND docid IN (SELECT docid FROM run)",
     "pages_left_run": BASE + "SELECT docid, hits FROM pages LEFT JOIN (SELECT docid, count(*) AS hits FROM run GROUP BY 1) USING (docid)",

@@ -91,9 +91,33 @@ def test_upsert_keeps_old_values(spark):
     assert got == {"a": (1.0, 5.0, "z"), "b": (3.0, None, None), "c": (1.0, 1.0, "n")}
 
 
-def test_t_quantile(spark):
-    got = spark.range(1).select(*(experiments.t_quantile(F.lit(n)).alias(str(n)) for n in (5, 10, 30))).first()
-    assert [round(x, 2) for x in got] == [2.57, 2.23, 2.04]
+def test_student(spark):
+    """Against tabulated values, two and three runs included."""
+    from idforge.operators import student
+    from idforge.plans.q_experiments import T_TABLE
+
+    assert all(abs(student.quantile(n + 1) - t) < 1e-8 for n, t in enumerate(T_TABLE))
+    assert abs(student.quantile(1000) - 1.9623390808) < 1e-8 and abs(student.two_sided(1.9599639845, 1e9) - 0.05) < 1e-6
+    assert student.two_sided(0.0, 3) == 1 and abs(student.two_sided(1.0, 1) - 0.5) < 1e-12
+    got = spark.sql("select 0 as n union all select 1 union all select 2").select("n", student.t_quantile(F.col("n")).alias("q"), student.t_p_value(F.lit(4.302652729696), F.col("n")).alias("p")).collect()
+    assert [(r.n, r.q and round(r.q, 6), r.p and round(r.p, 6)) for r in sorted(got)] == [(0, None, None), (1, 12.706205, round(1 - 2 / math.pi * math.atan(4.302652729696), 6)), (2, 4.302653, 0.05)]
+
+
+def test_runs_of_two_and_three(spark):
+    df = spark.createDataFrame([("a", 1.0), ("a", 3.0), ("b", 1.0), ("b", 2.0), ("b", 6.0), ("c", 5.0), ("d", None)], "m string, v double")
+    got = {r.m: r for r in experiments.run_statistics(df, ["m"], "v").collect()}
+    assert abs(got["a"].high - (2 + 12.7062047362)) < 1e-6 and abs(got["b"].low - (3 - 4.3026527297 * 7**0.5 / 3**0.5)) < 1e-6
+    assert got["c"].low is None and got["c"].runs == 1 and got["d"].mean is None and got["d"].runs == 0
+
+
+def test_paired_tests_with_nothing_to_test(spark):
+    df = spark.createDataFrame([(k, float(k)) for k in range(5)], "q int, v double")
+    same = experiments.paired_test(df, df, ["q"], "v").first()
+    assert (same.pairs, same.difference, same.t, same.t_p, same.w_plus, same.z, same.w_p) == (5, 0.0, None, None, 0.0, None, None)
+    none = experiments.paired_test(df.limit(0), df, ["q"], "v").first()
+    assert none.pairs == 0 and none.t_p is None
+    with pytest.raises(ValueError):
+        experiments.kendall(df, [], "q", "v", most=3)
 
 
 def test_passages_restart_with_the_title(spark):
@@ -156,7 +180,8 @@ def test_prefix_means_count_all_documents(spark):
     def cos(a, b):
         return sum(x * y for x, y in zip(a, b)) / math.sqrt(sum(x * x for x in a) * sum(y * y for y in b))
 
-    for r in analysis.prefix_means(df, 2).collect():
+    modes = analysis.position_modes(2)
+    for r in analysis.shared_token_similarity(df, modes).where("mode = 'hierarchical'").collect():
         groups = {}
         for _, c, e in rows:
             groups.setdefault(tuple(c[: r.k]), []).append(e)
@@ -164,5 +189,37 @@ def test_prefix_means_count_all_documents(spark):
         pairs = [[cos(a, b) for i, a in enumerate(g) for b in g[:i]] for g in groups]
         size = sum(map(len, groups))
         assert (r.pairs, r.groups, r.docs) == (sum(map(len, pairs)), len(groups), size)
-        assert abs(r.similarity - sum(len(g) * sum(p) / len(p) for g, p in zip(groups, pairs)) / size) < 1e-9
-    assert analysis.prefix_means(df.limit(0), 2).count() == 0
+        assert abs(r.by_document - sum(len(g) * sum(p) / len(p) for g, p in zip(groups, pairs)) / size) < 1e-9
+        assert abs(r.similarity - sum(map(sum, pairs)) / sum(map(len, pairs))) < 1e-9
+    assert analysis.shared_token_similarity(df.limit(0), modes).count() == 0 and analysis.shared_anywhere_similarity(df.limit(0), 2).count() == 0
+
+
+def test_samples_of_small_tables(spark):
+    df = spark.createDataFrame([(k, [k, 1], [float(k), 1.0]) for k in range(5)], "vec_id bigint, codes array<int>, embedding array<float>")
+    for width in (2, 3):
+        got = analysis.sampled_tuples(df, "vec_id", 400, width).collect()
+        members = [tuple(r[f"t{w}_vec_id"] for w in range(width)) for r in got]
+        assert len(got) == 400 and all(len(set(m)) == width for m in members) and len(set(members)) == (20 if width == 2 else 60)
+        assert analysis.sampled_tuples(df.limit(width - 1), "vec_id", 10, width).count() == 0
+
+
+def test_census_counts_nulls_and_repeats(spark):
+    df = spark.createDataFrame([(1, "a"), (1, None), (2, "a"), (3, "b")], "k int, t string")
+    assert analysis.duplicate_census(df, {"k": F.col("k"), "t": F.col("t")}).first().asDict() == {"rows": 4, "k": 3, "t": 2}
+    assert analysis.duplicate_census(df.limit(0), {"k": F.col("k")}).first().asDict() == {"rows": 0, "k": 0}
+    assert {(r.copies, r["values"]) for r in analysis.duplicate_histogram(df, F.col("t")).collect()} == {(2, 1), (1, 2)}
+
+
+def test_alignment_leaves_nobody_with_itself(spark):
+    docs = spark.createDataFrame([(f"d{k}",) for k in range(40)] + [("d1",), (None,)], "docid string")
+    got = {r.docid: r.negative for r in relevance.shuffled_alignment(docs, "docid").collect()}
+    assert len(got) == 40 and set(got.values()) == set(got) and all(a != b for a, b in got.items())
+    assert relevance.shuffled_alignment(docs.where("docid = 'd1'"), "docid").count() == 0
+    assert relevance.shuffled_alignment(docs.limit(0), "docid").count() == 0
+
+
+def test_suffixes_of_a_hot_id_and_of_nulls(spark):
+    df = spark.createDataFrame([(k, "the" if k % 3 else f"x{k}") for k in range(30)] + [(90, None), (91, None)], "k int, docid string")
+    got = {r.k: r.docid for r in ordering.with_unique_suffix(df, "docid", ["k"]).collect()}
+    hot = [k for k in range(30) if k % 3]
+    assert [got[k] for k in hot] == [f"the-{i + 1}" for i in range(20)] and got[3] == "x3" and got[90] is None and len(got) == 32
