@@ -197,9 +197,9 @@ def test_prefix_means_count_all_documents(spark):
 def test_samples_of_small_tables(spark):
     df = spark.createDataFrame([(k, [k, 1], [float(k), 1.0]) for k in range(5)], "vec_id bigint, codes array<int>, embedding array<float>")
     for width in (2, 3):
-        got = analysis.sampled_tuples(df, "vec_id", 400, width).collect()
+        got = analysis.sampled_tuples(df, "vec_id", 2000, width).collect()
         members = [tuple(r[f"t{w}_vec_id"] for w in range(width)) for r in got]
-        assert len(got) == 400 and all(len(set(m)) == width for m in members) and len(set(members)) == (20 if width == 2 else 60)
+        assert len(got) == 2000 and all(len(set(m)) == width for m in members) and len(set(members)) == (20 if width == 2 else 60)
         assert analysis.sampled_tuples(df.limit(width - 1), "vec_id", 10, width).count() == 0
 
 
