@@ -6,20 +6,38 @@ UDF of the same form.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from idforge.functions.text import tokens
 
 
 def hashed_embedding(text: Column, dim: int = 64) -> Column:
-    """Feature hashing of the words into a unit vector: the default text encoder."""
-    t = tokens(text)
-    slots = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.size(F.filter(t, lambda w: F.pmod(F.crc32(w), F.lit(dim)) == i)).cast("double"))
-    norm = F.sqrt(F.aggregate(slots, F.lit(0.0), lambda s, x: s + x * x))
-    return F.transform(slots, lambda x: F.when(norm == 0, 0.0).otherwise(x / norm))
+    """Feature hashing of the words into a unit vector: the default text encoder. A null or wordless text gives zeros.
+
+    A word counts at the place that the first eight digits of its MD5 give.
+    """
+
+    @F.pandas_udf(T.ArrayType(T.DoubleType()))
+    def run(words: pd.Series) -> pd.Series:
+        place: dict[str, int] = {}
+        out = []
+        for row in words:
+            x = np.zeros(dim)
+            for w in row:
+                if w not in place:
+                    place[w] = int(hashlib.md5(w.encode()).hexdigest()[:8], 16) % dim
+                x[place[w]] += 1
+            out.append((x / (np.sqrt(x @ x) or 1.0)).tolist())
+        return pd.Series(out)
+
+    return run(tokens(text))
 
 
 def perturb_text(text: Column, every: int = 10) -> Column:

@@ -53,6 +53,11 @@ def average_precision(t: Column, p: Column, k: int = 20) -> Column:
     return total / F.greatest(F.lit(1), F.size(t))
 
 
+def exact_match(p: Column, t: Column) -> Column:
+    """1 where the first prediction is the (first) target, 0 where it isn't or there is none."""
+    return F.coalesce((F.get(p, F.lit(0)) == F.get(t, F.lit(0))).cast("double"), F.lit(0.0))
+
+
 def all_metrics(t: Column, p: Column) -> dict[str, Column]:
     """The twenty metrics by name."""
     out = {"mrr": reciprocal_rank(t, p), "mrr_10": reciprocal_rank(t, p, 10), "mrr_100": reciprocal_rank(t, p, 100), "map_20": average_precision(t, p), "ndcg_10": ndcg(t, p, 10), "ndcg_20": ndcg(t, p, 20), "ndcg_100": ndcg(t, p, 100)}

@@ -87,8 +87,9 @@ def section_title(raw: Column) -> Column:
     return F.when(at > 0, F.substring(raw, F.lit(7), at - 7)).otherwise(F.substring(raw, F.lit(7), F.length(raw) - 7))
 
 
-def ranker_text(query: Column, title: Column, text: Column, sep: str = " [SEP] ") -> Column:
-    return F.concat(query, F.lit(sep), F.concat_ws(" ", title, text))
+def ranker_text(query: Column, title: Column | None, text: Column, sep: str = " [SEP] ", answer: Column | None = None) -> Column:
+    """Query and context for a ranker; the context is the text, with the title and the answer before it where given."""
+    return F.concat(query, F.lit(sep), F.concat_ws(" ", *(c for c in (answer, title, text) if c is not None)))
 
 
 def dotted_sentences(text: Column) -> Column:

@@ -140,3 +140,23 @@ def mismatches(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     """Keys on one side only: key, ``side``."""
     a, b = left.select(key).distinct().withColumn("l", F.lit(1)), right.select(key).distinct().withColumn("r", F.lit(1))
     return a.join(b, key, "full").where("l is null or r is null").select(key, F.when(F.col("l").isNull(), "right").otherwise("left").alias("side"))
+
+
+def score_buckets(run: DataFrame, buckets=BUCKETS) -> DataFrame:
+    """Hits by their place in the order of scores, best first (ties by id): ``qid``, ``docid``, ``place`` from 1, ``bucket``; hits behind the last bucket are left out."""
+    w = Window.partitionBy("qid").orderBy(F.desc("score"), "docid")
+    placed = run.withColumn("place", F.row_number().over(w))
+    return placed.withColumn("bucket", rank_bucket(F.col("place"), buckets)).where("bucket is not null").select("qid", "docid", "place", "bucket")
+
+
+def vector_triplets(docs: DataFrame, qrels: DataFrame, queries: DataFrame, seed: int = 42) -> DataFrame:
+    """Query, document and negative vectors: ``docid``, ``qid``, ``negative``, ``q``, ``d``, ``n``.
+
+    ``docs`` (``docid``, ``vector``) are paired with their first judged query
+    (by time, then id) and with the next document of the seeded circle over the
+    documents that have one; ``queries`` has ``qid``, ``vector``.
+    """
+    first = first_by(qrels, ["docid"], "judged_at", "qid").select("docid", "qid")
+    have = cut(docs.join(first, "docid").join(queries.select("qid", F.col("vector").alias("q")), "qid").select("docid", "qid", "q", F.col("vector").alias("d")), "triplets")
+    other = have.select(F.col("docid").alias("negative"), F.col("d").alias("n"))
+    return have.join(shuffled_alignment(have, "docid", seed), "docid").join(other, "negative").select("docid", "qid", "negative", "q", "d", "n")

@@ -40,8 +40,11 @@ def first_qid(s, d):
 
 
 def ranker_rows(s, d):
+    """The four forms of a ranker's input: with and without the title and the answer."""
     r = table(s, d, "process_nq_dataset").where("query is not null and abstract is not null")
-    return r.select("row_no", x.ranker_text(F.col("query"), F.coalesce("title", F.lit("")), F.col("abstract")).alias("text"), F.col("abstract").isNull().alias("empty"))
+    q, title, text, answer = F.col("query"), F.coalesce("title", F.lit("")), F.col("abstract"), F.coalesce("short_answer", F.lit(""))
+    forms = {"text": (title, None), "no_title": (None, None), "answered": (title, answer), "answered_no_title": (None, answer)}
+    return r.select("row_no", *(x.ranker_text(q, t, text, answer=a).alias(n) for n, (t, a) in forms.items()), (F.trim("abstract") == "").alias("empty"))
 
 
 def numbers(s, d):
@@ -63,7 +66,7 @@ SQL = {
     "shared_prefix_mean": codes_cte(*RQ) + _GRP + f", e AS (SELECT a.k, a.vec_id, avg({_COS.format('a', 'b')}) AS s FROM g a JOIN g b ON a.k = b.k AND a.p = b.p AND a.vec_id <> b.vec_id GROUP BY 1, 2) SELECT k, round(avg(s), 6) AS similarity, count(*) AS docs FROM e GROUP BY 1",
     "dpo_rows": "SELECT query AS prompt, pos_docid AS chosen, neg_docid AS rejected FROM (" + RELEVANCE_SQL["triples_enriched"] + ")",
     "first_row_by_split": r"SELECT docid, row_no, split FROM (SELECT *, row_number() OVER (PARTITION BY docid ORDER BY CASE split WHEN 'train' THEN 0 WHEN 'dev' THEN 1 ELSE 2 END, row_no) AS k FROM (SELECT row_no, split, lower(regexp_replace(trim(id), '^[\[\] ]+|[\[\] ]+$', '', 'g')) AS docid FROM process_nq_dataset) WHERE docid <> '') WHERE k = 1",
-    "ranker_texts": "SELECT row_no, query || ' [SEP] ' || coalesce(title, '') || ' ' || abstract AS text, false AS empty FROM process_nq_dataset WHERE query IS NOT NULL AND abstract IS NOT NULL",
+    "ranker_texts": "SELECT row_no, query || ' [SEP] ' || coalesce(title, '') || ' ' || abstract AS text, query || ' [SEP] ' || abstract AS no_title, query || ' [SEP] ' || coalesce(short_answer, '') || ' ' || coalesce(title, '') || ' ' || abstract AS answered, query || ' [SEP] ' || coalesce(short_answer, '') || ' ' || abstract AS answered_no_title, trim(abstract) = '' AS empty FROM process_nq_dataset WHERE query IS NOT NULL AND abstract IS NOT NULL",
     "padded_numbers": "SELECT DISTINCT qid, try_cast(trim(qid) AS DOUBLE) AS number FROM nq_queries",
     "query_document_pairs": "SELECT row_no, coalesce(id, '') AS id, coalesce(query, '') AS query, coalesce(doc_tac, '') AS doc_tac FROM process_nq_dataset",
 }

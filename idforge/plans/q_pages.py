@@ -34,11 +34,11 @@ def url_docids(s, d):
 
 def passages(s, d):
     r = rows(s, d).where("doc_tac is not null").select("row_no", F.coalesce("title", F.lit("")).alias("title"), "doc_tac")
-    return joined(t.passage_rows(spread(r), "row_no", F.col("title"), x.dotted_sentences(F.col("doc_tac")), 32, 10), "tokens")
+    return joined(t.passage_rows(spread(r), "row_no", F.col("title"), x.dotted_sentences(F.col("doc_tac")), 128, 10), "tokens")
 
 
 def terms(s, d):
-    return joined(t.salient_terms(spread(docs(s, d)), "doc_id", F.col("text"), 24), "tokens")
+    return joined(t.salient_terms(spread(docs(s, d)), "doc_id", F.col("text"), 128), "tokens")
 
 
 def term_ids(s, d):
@@ -136,11 +136,11 @@ QUERIES = {
     "prompts": lambda s, d: rows(s, d).where("abstract is not null").select("row_no", x.question_prompt(F.coalesce("language", F.lit("en")), F.coalesce("title", F.lit("")), F.col("abstract")).alias("prompt"), x.encoder_text(F.col("abstract"), 40).alias("encoder")),
     "prompt_strip": lambda s, d: docs(s, d).select("doc_id", x.without_prompt(F.col("text")).alias("text")),
     "wordpiece_titles": lambda s, d: rows(s, d).select("row_no", x.rough_wordpiece(F.col("title")).alias("title")),
-    "sentence_split": lambda s, d: docs(s, d).select("doc_id", F.size(x.sentences(F.col("text"))).alias("sentences"), F.size(x.dotted_sentences(F.col("text"))).alias("dotted")),
+    "sentence_split": lambda s, d: docs(s, d).select("doc_id", F.array_join(x.sentences(F.col("text")), "|").alias("sentences"), F.array_join(x.dotted_sentences(F.col("text")), "|").alias("dotted")),
     "paraphrase_hook": lambda s, d: docs(s, d).select("doc_id", perturb_text(F.col("text")).alias("text")),
-    "query_generation_hook": lambda s, d: docs(s, d).select("doc_id", F.posexplode(leading_queries(F.col("text"), 3)).alias("n", "query")),
+    "query_generation_hook": lambda s, d: docs(s, d).select("doc_id", F.posexplode(leading_queries(F.col("text"), 10)).alias("n", "query")),
     "cross_encoder_hook": lambda s, d: rows(s, d).where("query is not null and abstract is not null").select("row_no", F.round(overlap_score(F.col("query"), F.col("abstract")), 6).alias("score")),
-    "embedding_hook": lambda s, d: rows(s, d).where("title is not null").select("row_no", F.posexplode(hashed_embedding(F.col("title"), 8)).alias("i", "v")).select("row_no", "i", F.round("v", 6).alias("v")),
+    "embedding_hook": lambda s, d: rows(s, d).where("title is not null").select("row_no", F.posexplode(hashed_embedding(F.col("title"), 16)).alias("i", "v")).select("row_no", "i", F.round("v", 6).alias("v")),
     "docid_embedding_init": init_vectors,
     "dpo_loss": losses,
 }
@@ -173,28 +173,30 @@ SELECT row_no, CASE branch WHEN 'url' THEN trim(array_to_string(list_reverse(g[2
     "idf": "WITH t AS (SELECT DISTINCT doc_id, unnest(" + _TOK.format("text") + ") AS term FROM documents) SELECT term, count(*) AS df, round(ln((SELECT count(*) FROM documents) / (count(*) + 1)), 6) AS idf FROM t GROUP BY 1",
     "passage_chunks": r"""WITH RECURSIVE z AS (SELECT row_no, """ + _TOK.format("title") + r""" AS h, list_transform(list_filter(string_split(doc_tac, '.'), lambda x: trim(x) <> ''), lambda x: regexp_extract_all(lower(x), '[\p{L}\p{N}]+')) AS s FROM process_nq_dataset WHERE doc_tac IS NOT NULL),
 r AS (SELECT row_no, h, s, 0 AS k, h AS now, 0 AS part, NULL::VARCHAR[] AS out FROM z
-UNION ALL SELECT row_no, h, s, k + 1, CASE WHEN f THEN h ELSE n END, part + f::INT, CASE WHEN f THEN n[1:31] END FROM (SELECT *, len(n) >= 31 OR k = len(s) - 1 AS f FROM (SELECT *, now || s[k + 1] AS n FROM r WHERE k < len(s) AND part < 10)))
+UNION ALL SELECT row_no, h, s, k + 1, CASE WHEN f THEN h ELSE n END, part + f::INT, CASE WHEN f THEN n[1:127] END FROM (SELECT *, len(n) >= 127 OR k = len(s) - 1 AS f FROM (SELECT *, now || s[k + 1] AS n FROM r WHERE k < len(s) AND part < 10)))
 SELECT row_no, part - 1 AS part, array_to_string(out || ['</s>'], ' ') AS tokens FROM r WHERE out IS NOT NULL""",
     "sampled_terms": "WITH d AS (SELECT doc_id, " + _TOK.format("text") + """[1:1024] AS t, """ + _TOK.format("text") + """ AS a FROM documents),
 i AS (SELECT term, ln((SELECT count(*) FROM documents) / (count(*) + 1)) AS idf FROM (SELECT DISTINCT doc_id, unnest(a) AS term FROM d) GROUP BY 1),
 e AS (SELECT doc_id, len(t) AS n, unnest(t) AS term, unnest(range(len(t))) AS pos FROM d),
 s AS (SELECT doc_id, n, e.term, pos, round(count(*) OVER (PARTITION BY doc_id, e.term) / n * idf, 9) AS s FROM e JOIN i ON i.term = e.term),
 k AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY s DESC) AS r FROM s),
-m AS (SELECT doc_id, min(s) AS least FROM k WHERE r <= 23 GROUP BY 1),
+m AS (SELECT doc_id, min(s) AS least FROM k WHERE r <= 127 GROUP BY 1),
 o AS (SELECT doc_id, list(term ORDER BY pos) AS t, count(DISTINCT term) AS u FROM s JOIN m USING (doc_id) WHERE s >= least AND n >= 10 GROUP BY 1)
-SELECT doc_id, array_to_string(t[1:23] || ['</s>'], ' ') AS tokens FROM o WHERE u >= 2""",
+SELECT doc_id, array_to_string(t[1:127] || ['</s>'], ' ') AS tokens FROM o WHERE u >= 2""",
     "token_ids": "WITH v AS (SELECT term, 1 + row_number() OVER (ORDER BY term) AS id FROM (SELECT DISTINCT unnest(" + _TOK.format("text") + ") AS term FROM documents)), e AS (SELECT item_id, unnest(w) AS term, unnest(range(len(w))) AS pos FROM (SELECT item_id, " + _TOK.format("passage") + " || ['</s>'] AS w FROM eval_passages)), l AS (SELECT item_id, list(coalesce(id, CASE WHEN e.term = '</s>' THEN 1 ELSE -1 END) ORDER BY pos) AS l FROM e LEFT JOIN v ON v.term = e.term GROUP BY 1) SELECT item_id, array_to_string((l || list_transform(range(16), lambda i: 0))[1:16], ',') AS input_ids, array_to_string(list_transform(range(1, 17), lambda i: (i <= len(l))::INT), ',') AS attention_mask FROM l",
     "instance_losses": BASE + "SELECT CASE WHEN qid NOT IN (SELECT qid FROM qs WHERE query IS NOT NULL AND qid IS NOT NULL) THEN 'no_query' WHEN docid NOT IN (SELECT docid FROM pages) THEN 'no_code' ELSE 'kept' END AS reason, count(*) AS n FROM (SELECT DISTINCT qid, docid FROM qr) GROUP BY 1",
     "pretrain_union": BASE + "SELECT 'query' AS kind, count(*) AS rows FROM (SELECT DISTINCT qid, docid FROM qr) JOIN (SELECT DISTINCT qid, query FROM qs WHERE query IS NOT NULL) USING (qid) WHERE docid IN (SELECT docid FROM pages) UNION ALL SELECT 'fake_query', count(*) FROM (SELECT DISTINCT lower(regexp_replace(trim(docid), '^[\\[\\] ]+|[\\[\\] ]+$', '', 'g')) AS docid, query FROM pseudo_queries WHERE query IS NOT NULL) WHERE docid IN (SELECT docid FROM pages) UNION ALL SELECT 'enhanced_docid', count(*) FROM pages".replace("\\\\", "\\"),
     "prompts": "SELECT row_no, 'Generate a ' || coalesce(language, 'en') || ' question for this passage: ' || coalesce(title, '') || ' ' || abstract AS prompt, 'Passage: ' || substring(abstract, 1, 40) AS encoder FROM process_nq_dataset WHERE abstract IS NOT NULL",
     "prompt_strip": "SELECT doc_id, regexp_replace(regexp_replace(text, '^Passage: ', ''), '^Question: ', '') AS text FROM documents",
     "wordpiece_titles": "SELECT row_no, " + _WP.format("title") + " AS title FROM process_nq_dataset",
-    "sentence_split": "SELECT doc_id, len(list_filter(list_transform(regexp_extract_all(text, '[^.!?]+[.!?]*'), lambda s: trim(s)), lambda s: s <> '')) AS sentences, len(list_filter(string_split(text, '.'), lambda s: trim(s) <> '')) AS dotted FROM documents",
+    "sentence_split": "SELECT doc_id, array_to_string(list_filter(list_transform(regexp_extract_all(text, '[^.!?]+[.!?]*'), lambda s: trim(s)), lambda s: s <> ''), '|') AS sentences, array_to_string(list_transform(list_filter(list_transform(string_split(text, '.'), lambda x: trim(x)), lambda y: y <> ''), lambda z: z || '.'), '|') AS dotted FROM documents",
     "paraphrase_hook": "SELECT doc_id, array_to_string(list_filter(string_split(text, ' '), lambda w, i: i % 10 <> 0), ' ') AS text FROM documents",
     "cross_encoder_hook": "SELECT row_no, round(CASE WHEN len(q) = 0 THEN 0 ELSE len(list_intersect(q, p)) / len(q) END, 6) AS score FROM (SELECT row_no, list_distinct(" + _TOK.format("query") + ") AS q, list_distinct(" + _TOK.format("abstract") + ") AS p FROM process_nq_dataset WHERE query IS NOT NULL AND abstract IS NOT NULL)",
-    "query_generation_hook": "SELECT doc_id, n, array_to_string(w[n * 8 + 1:n * 8 + 8], ' ') AS query FROM (SELECT doc_id, " + _TOK.format("text") + " AS w FROM documents), range(3) t(n) WHERE n * 8 < len(w)",
+    "query_generation_hook": "SELECT doc_id, n, array_to_string(w[n * 8 + 1:n * 8 + 8], ' ') AS query FROM (SELECT doc_id, " + _TOK.format("text") + " AS w FROM documents), range(10) t(n) WHERE n * 8 < len(w)",
 }
 
+SQL["embedding_hook"] = "SELECT row_no, i::INT AS i, round(CASE WHEN list_dot_product(v, v) = 0 THEN 0 ELSE v[i + 1] / sqrt(list_dot_product(v, v)) END, 6) AS v FROM (SELECT row_no, [" + ", ".join(f"len(list_filter(w, lambda x: ('0x' || substring(md5(x), 1, 8))::BIGINT % 16 = {k}))::DOUBLE" for k in range(16)) + "] AS v FROM (SELECT row_no, " + _TOK.format("title") + " AS w FROM process_nq_dataset WHERE title IS NOT NULL)), range(16) t(i)"
+
 _SPAN = "CASE WHEN {0} >= 0 AND {1} > {0} THEN array_to_string(w[{0} + 1:{1}], ' ') ELSE '' END"
 _CLEAN = r"trim(regexp_replace(regexp_replace({0}, '<[^<]+?>', '', 'g'), '\n', '', 'g'))"
 _LAST = "CASE WHEN contains({0}, '</Ul>') THEN array_to_string(string_split({0}, '</Ul>')[1:len(string_split({0}, '</Ul>')) - 1], '</Ul>') ELSE {0} END"

@@ -63,8 +63,15 @@ def scalar(spark, d):
 
 
 def kmeans(spark, d):
-    """Codebook trained by k-means over all vectors."""
-    return q.trained_codebook(vectors(spark, d), 8, 2, 2, iterations=5).select("level", "subspace", "code", F.size("centroid").alias("dim"))
+    """The codebook that k-means fits to all vectors: its size, and whether it is nearer to them than the first vectors taken as centroids.
+
+    Centroids themselves depend on the engine's start, so they are held to this bound.
+    """
+    v = vectors(spark, d)
+    fitted, first = q.trained_codebook(v, 8, 2, 2), q.seeded_codebook(v, 8, 2, 2)
+    error = {k: q.reconstruction_error(v, q.decode(q.encode(v, b), b)).first()["mse"] for k, b in (("fitted", fitted), ("first", first))}
+    near = error["fitted"] is not None and error["fitted"] < error["first"]
+    return fitted.groupBy("level", "subspace").agg(F.count_distinct("code").alias("codes"), F.max(F.size("centroid")).alias("dim")).withColumn("nearer", F.lit(near))
 
 
 def dead(spark, d):
@@ -99,6 +106,7 @@ SQL = {
     "rq_code_usage": codes_cte(*RQ) + " SELECT i - 1 AS level, count(DISTINCT codes[i]) AS used, 16 - count(DISTINCT codes[i]) AS unused, round(count(DISTINCT codes[i]) / 16.0, 6) AS usage_rate FROM codes, range(1, 4) t(i) GROUP BY 1",
     "rq_residual_norm": codes_cte(*RQ) + " SELECT round(avg(sqrt(list_sum(list_transform(r, lambda x: x * x)))), 6) AS avg_norm FROM last",
     "scalar_codes": f"SELECT vec_id, array_to_string(list_transform(embedding::DOUBLE[], lambda x: trunc((x / {_NORM} + 1) / 2 * 15)::INT::VARCHAR), ',') AS codes FROM embeddings",
+    "kmeans_codebook": "SELECT l::INT AS level, s::INT AS subspace, 8 AS codes, 32 AS dim, true AS nearer FROM range(2) a(l), range(2) b(s)",
     "dead_code_resets": codes_cte(*RQ) + """, u AS (SELECT i - 1 AS level, c AS code, row_number() OVER (ORDER BY i, c) AS n FROM range(1, 4) t(i), range(32) x(c) WHERE NOT EXISTS (SELECT 1 FROM codes WHERE codes[i] = c)),
 h AS (SELECT vec_id AS reset_to, row_number() OVER (ORDER BY md5('42|' || vec_id), vec_id) AS n FROM embeddings)
 SELECT level::INT AS level, code::INT AS code, reset_to FROM u JOIN h USING (n)""",

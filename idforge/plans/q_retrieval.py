@@ -9,7 +9,8 @@ from idforge.functions.text import tokens
 from idforge.operators import retrieval as t
 from idforge.operators.bm25 import bm25
 from idforge.operators.instances import vocabulary
-from idforge.plans.q_pages import docs
+from idforge.operators.lineage import cut
+from idforge.plans.q_pages import _HASH, docs, hashed, page_codes
 from idforge.plans.q_quantize import RQ, codes
 from idforge.plans.q_relevance import BASE, pages, qrels, queries, run, table
 
@@ -40,24 +41,29 @@ def short_codes(s, d):
     return codes(s, d, RQ).select(F.col("vec_id").cast("string").alias("docid"), "codes")
 
 
+def page_keys(s, d):
+    return page_codes(s, d).where("docid is not null")
+
+
 def scores(s, d):
-    """A stand-in for a model: log-probabilities from hashes, for 20 queries."""
-    grid = s.range(20).select(F.col("id").cast("string").alias("qid")).crossJoin(s.range(STEPS).select(F.col("id").cast("int").alias("step"))).crossJoin(s.range(16).select(F.col("id").cast("int").alias("token")))
+    """A stand-in for a model: log-probabilities from hashes, for every query."""
+    q = queries(s, d).select("qid").where("qid is not null").distinct()
+    grid = q.withColumn("step", F.explode(F.array(*(F.lit(k) for k in range(STEPS))))).withColumn("token", F.explode(F.array(*(F.lit(k) for k in range(16)))))
     h = F.conv(F.substring(F.md5(F.concat_ws("|", "qid", "step", "token")), 1, 8), 16, 10).cast("bigint")
     return grid.withColumn("logp", -F.round(h / F.lit(float(1 << 32)), 6))
 
 
 def beams(s, d):
-    return t.beam_search(t.trie_edges(short_codes(s, d)), scores(s, d), STEPS, BEAM)
+    return t.beam_search(t.trie_edges(page_keys(s, d)), scores(s, d), STEPS, BEAM)
 
 
 def truth(s, d):
-    return s.range(20).select(F.col("id").cast("string").alias("qid"), (F.col("id") * 7 + 3).cast("string").alias("docid"))
+    return qrels(s, d).select("qid", "docid").distinct()
 
 
 def bounds(s, d):
     """Mean reciprocal rank with colliding documents in the worst, a random and the best order."""
-    b, c, q = beams(s, d), short_codes(s, d), truth(s, d)
+    b, c, q = cut(beams(s, d), "beams"), page_keys(s, d), truth(s, d)
     out = None
     for o in ("worst", "random", "best"):
         m = mean_metrics(evaluate(t.expand(b, c, q, o))).select(F.lit(o).alias("ordering"), F.round("mrr_10", 6).alias("mrr_10"), F.round("ndcg_10", 6).alias("ndcg_10"), "queries")
@@ -66,8 +72,10 @@ def bounds(s, d):
 
 
 def fallback(s, d):
-    keys = run(s, d).select("docid").distinct()
-    return t.lookup_with_fallback(keys, pages(s, d).where("title is not null"), "docid", "title", F.concat("docid", F.lit(",1")))
+    """Titles of the run's pages; every third key was written with a suffix that only the alternative is without."""
+    third = hashed("third", "docid", 3) == 0
+    keys = run(s, d).select("docid").distinct().select(F.when(third, F.concat("docid", F.lit(",1"))).otherwise(F.col("docid")).alias("docid"))
+    return t.lookup_with_fallback(keys, pages(s, d).where("title is not null"), "docid", "title", F.regexp_replace("docid", ",1$", ""))
 
 
 def rerank(s, d):
@@ -85,7 +93,7 @@ QUERIES = {
     "beam_search_fixed_scores": lambda s, d: beams(s, d).select("qid", F.array_join("codes", ",").alias("codes"), F.round("score", 6).alias("score"), "rank"),
     "metric_bounds": bounds,
     "inverse_codes": lambda s, d: t.inverse_codes(short_codes(s, d)).select("code", F.array_join("docids", ",").alias("docids")),
-    "lookup_report": lambda s, d: rounded(t.lookup_report(beams(s, d), short_codes(s, d).where("cast(docid as int) % 2 = 0"))),
+    "lookup_report": lambda s, d: rounded(t.lookup_report(beams(s, d), page_keys(s, d).where(hashed("half", "docid", 2) == 0))),
     "lookup_fallback": fallback,
     "trec_run": lambda s, d: t.trec_run(ranked(s, d)),
     "hits_dedup": lambda s, d: rounded(t.clean_hits(ranked(s, d), pages(s, d))),
@@ -124,7 +132,9 @@ from idforge.plans.codes_sql import codes_cte  # noqa: E402
 
 _C = codes_cte(*RQ)
 _EDGES = _C + ", e AS (SELECT DISTINCT codes[1:k] AS prefix, codes[k + 1] AS next FROM codes, range(3) t(k))"
-_BEAM = _EDGES + """, sc AS (SELECT q::VARCHAR AS qid, st, tk, -round(('0x' || substring(md5(q || '|' || st || '|' || tk), 1, 8))::BIGINT / 4294967296.0, 6) AS lp FROM range(20) a(q), range(3) b(st), range(16) c(tk)),
+_PAGES = BASE + ", codes AS (SELECT docid, [" + ", ".join(_HASH.format(k, "docid", 16) + "::INT" for k in range(3)) + "] AS codes FROM pages)"
+_BEAM = _PAGES + """, e AS (SELECT DISTINCT codes[1:k] AS prefix, codes[k + 1] AS next FROM codes, range(3) t(k)),
+sc AS (SELECT qid, st, tk, -round(('0x' || substring(md5(qid || '|' || st || '|' || tk), 1, 8))::BIGINT / 4294967296.0, 6) AS lp FROM (SELECT DISTINCT qid FROM qs WHERE qid IS NOT NULL), range(3) b(st), range(16) c(tk)),
 l0 AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, array_to_string(list_transform(prefix, lambda x: x::VARCHAR), ',')) AS rank FROM (SELECT qid, [next] AS prefix, round(lp, 9) AS score FROM e JOIN sc ON len(prefix) = 0 AND st = 0 AND tk = next)),
 l1 AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, array_to_string(list_transform(prefix, lambda x: x::VARCHAR), ',')) AS rank FROM (SELECT b.qid, b.prefix || [next] AS prefix, round(b.score + lp, 9) AS score FROM l0 b JOIN e ON e.prefix = b.prefix JOIN sc ON sc.qid = b.qid AND st = 1 AND tk = next WHERE rank <= 5)),
 l2 AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, array_to_string(list_transform(prefix, lambda x: x::VARCHAR), ',')) AS rank FROM (SELECT b.qid, b.prefix || [next] AS prefix, round(b.score + lp, 9) AS score FROM l1 b JOIN e ON e.prefix = b.prefix JOIN sc ON sc.qid = b.qid AND st = 2 AND tk = next WHERE rank <= 5)),
@@ -142,8 +152,8 @@ SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC
     "trie_next_tokens": _EDGES + " SELECT " + _J.format("prefix") + " AS prefix, array_to_string(list(next::VARCHAR ORDER BY next), ',') AS next FROM e WHERE len(prefix) = 2 GROUP BY prefix",
     "beam_search_fixed_scores": _BEAM + " SELECT qid, " + _J.format("codes") + " AS codes, round(score, 6) AS score, rank FROM bm",
     "inverse_codes": _C + " SELECT " + _J.format("codes") + " AS code, array_to_string(list_sort(list(vec_id::VARCHAR)), ',') AS docids FROM codes GROUP BY 1",
-    "lookup_report": _BEAM + ", k AS (SELECT DISTINCT codes FROM codes WHERE vec_id % 2 = 0), j AS (SELECT bm.codes, k.codes IS NOT NULL AS m FROM bm LEFT JOIN k ON k.codes = bm.codes) SELECT count(*) AS beams, count(*) FILTER (m) AS matched, round(count(*) FILTER (m) / count(*), 6) AS match_rate, count(DISTINCT CASE WHEN NOT m THEN codes END) AS missing_codes FROM j",
-    "lookup_fallback": BASE + "SELECT r.docid, p.title FROM (SELECT DISTINCT docid FROM run) r LEFT JOIN pages p ON p.docid = r.docid",
+    "lookup_report": _BEAM + ", k AS (SELECT DISTINCT codes FROM codes WHERE " + _HASH.format("half", "docid", 2) + " = 0), j AS (SELECT bm.codes, k.codes IS NOT NULL AS m FROM bm LEFT JOIN k ON k.codes = bm.codes) SELECT count(*) AS beams, count(*) FILTER (m) AS matched, round(count(*) FILTER (m) / count(*), 6) AS match_rate, count(DISTINCT CASE WHEN NOT m THEN codes END) AS missing_codes FROM j",
+    "lookup_fallback": BASE + "SELECT CASE WHEN " + _HASH.format("third", "r.docid", 3) + " = 0 THEN r.docid || ',1' ELSE r.docid END AS docid, p.title FROM (SELECT DISTINCT docid FROM run) r LEFT JOIN pages p ON p.docid = r.docid",
     "trec_run": _RANKED.format("p") + " SELECT qid || ' Q0 ' || p[i] || ' ' || i || ' ' || printf('%.6f', round(1.0 / i, 6)) || ' idforge' AS line FROM (SELECT qid, p, unnest(range(1, len(p) + 1)) AS i FROM z)",
     "hits_dedup": _RANKED.format("p") + ", e AS (SELECT qid, t, x, min(i) AS i FROM (SELECT qid, t, unnest(p) AS x, unnest(range(len(p))) AS i FROM z) WHERE x IN (SELECT docid FROM pages) GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY i) AS r FROM e), b AS (SELECT qid, min(r) AS r FROM r WHERE list_contains(t, x) GROUP BY 1) SELECT round(avg(coalesce((r <= 1)::INT, 0)), 6) AS hits_1, round(avg(coalesce((r <= 10)::INT, 0)), 6) AS hits_k, count(*) AS queries FROM z LEFT JOIN b USING (qid)",
     "reranked_queries": "SELECT docid, array_to_string(list(query ORDER BY len(" + _TOK.format("query") + ") DESC, query), '|') AS ranked FROM (SELECT DISTINCT docid, query FROM pseudo_queries WHERE query IS NOT NULL) GROUP BY 1",
@@ -153,7 +163,7 @@ SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC
 _ORDERS = {"worst": "good", "random": "md5('42|' || qid || '|' || doc)", "best": "-good"}
 SQL["metric_bounds"] = (
     _BEAM
-    + ", h AS (SELECT bm.qid, rank, vec_id::VARCHAR AS doc, (vec_id = bm.qid::INT * 7 + 3)::INT AS good FROM bm JOIN codes ON codes.codes = bm.codes), "
-    + ", ".join(f"{o} AS (SELECT qid, min(r) AS r FROM (SELECT qid, good, row_number() OVER (PARTITION BY qid ORDER BY rank, {by}, doc) AS r FROM h) WHERE good = 1 AND r <= 10 GROUP BY 1)" for o, by in _ORDERS.items())
-    + " UNION ALL ".join(f" SELECT '{o}' AS ordering, round(avg(coalesce(1.0 / r, 0)), 6) AS mrr_10, round(avg(coalesce(1 / log2(r + 1), 0)), 6) AS ndcg_10, count(*) AS queries FROM range(20) t(q) LEFT JOIN {o} ON qid = q::VARCHAR" for o in _ORDERS)
+    + ", h AS (SELECT bm.qid, rank, codes.docid AS doc, (qr.docid IS NOT NULL)::INT AS good FROM bm JOIN codes ON codes.codes = bm.codes LEFT JOIN (SELECT DISTINCT qid, docid FROM qr) qr ON qr.qid = bm.qid AND qr.docid = codes.docid), t AS (SELECT qid, count(DISTINCT docid) AS n FROM qr GROUP BY 1), "
+    + ", ".join(f"{o} AS (SELECT qid, min(r) AS r, sum(1 / log2(r + 1)) AS g FROM (SELECT qid, good, row_number() OVER (PARTITION BY qid ORDER BY rank, {by}, doc) AS r FROM h) WHERE good = 1 AND r <= 10 GROUP BY 1)" for o, by in _ORDERS.items())
+    + " UNION ALL ".join(f" SELECT '{o}' AS ordering, round(avg(coalesce(1.0 / r, 0)), 6) AS mrr_10, round(avg(coalesce(g, 0) / greatest(0.3, list_sum(list_transform(range(1, n + 1), lambda i: 1 / log2(i + 1))))), 6) AS ndcg_10, count(*) AS queries FROM t LEFT JOIN {o} ON {o}.qid = t.qid" for o in _ORDERS)
 )

@@ -110,7 +110,7 @@ def pseudo(s, d):
 def codebook_file(s, d):
     p = folder(s, "codebook")
     writers.parquet(book(s, d, RQ), p)
-    return readers.codebook(s, p).select("level", "subspace", "code", F.size("centroid").alias("dim"))
+    return readers.codebook(s, p).select("level", "subspace", "code", F.size("centroid").alias("dim"), F.round(F.aggregate("centroid", F.lit(0.0), lambda a, x: a + x), 5).alias("total"))
 
 
 def prompts(s, d):
@@ -150,7 +150,7 @@ SQL = {
     "source_triples": "SELECT qid, query, coalesce(pos_url, '') AS pos_url, pos_docid, coalesce(neg_url, '') AS neg_url, neg_docid FROM (" + RELEVANCE_SQL["triples_enriched"] + ")",
     "source_csv": BASE + "SELECT docid, url, title FROM pages",
     "source_pseudo_queries": r"SELECT '[' || lower(regexp_replace(trim(docid), '^[\[\] ]+|[\[\] ]+$', '', 'g')) || ']' AS docid, query FROM pseudo_queries WHERE query IS NOT NULL",
-    "source_codebook": "SELECT l AS level, 0 AS subspace, c AS code, 64 AS dim FROM range(3) a(l), range(16) b(c)",
+    "source_codebook": _C + " " + " UNION ALL ".join(f"SELECT {k} AS level, s AS subspace, code, len(c) AS dim, round(list_sum(c), 5) AS total FROM b{k}" for k in range(3)),
     "source_generation_prompts": BASE + "SELECT docid, l AS lang, 'Generate a ' || l || ' question for this passage: ' || title || ' ' || coalesce(url, '') AS prompt FROM pages, (VALUES ('en'), ('de')) v(l) WHERE title IS NOT NULL",
     "position_metrics": _C + _H.format(3) + _BAL + ", u AS (SELECT level, max(n) AS most, count(*) AS used FROM h GROUP BY 1) SELECT b.level, most, used, round(entropy, 6) AS entropy, round(gini, 6) AS gini FROM b JOIN u ON u.level = b.level",
     "first_token_samples_json": _C + ", s AS (SELECT codes[1] AS token, row_number() OVER (PARTITION BY codes[1] ORDER BY md5('42|' || vec_id), vec_id) AS rank, vec_id FROM codes) SELECT '{\"token\":' || token || ',\"docs\":[' || array_to_string(list(vec_id::VARCHAR ORDER BY rank), ',') || ']}' AS value FROM s WHERE rank <= 5 GROUP BY token",

@@ -24,6 +24,16 @@ def lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
     return spark.read.text(path)
 
 
+def ordered_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """``value`` and ``line``, by which lines sort as they stand in their files, the files by name.
+
+    A split of a file is read from its start to its end, so a line's running
+    number orders it within the split, whichever task gets the split.
+    """
+    at = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("n"))
+    return lines(spark, path).select("value", at.alias("line"))
+
+
 def _fields(df: DataFrame, pattern: str, most: int = -1) -> DataFrame:
     return df.select(F.split("value", pattern, most).alias("f"))
 
@@ -74,9 +84,8 @@ def qrels(spark: SparkSession, path, least: int | None = 1, exact: int | None =
 
 
 def last_qrels(spark: SparkSession, path) -> DataFrame:
-    """The last line of each query: ``qid, docid``. Line order is the file's, so the file is read as one ordered table."""
-    w = lines(spark, path).withColumn("line", F.monotonically_increasing_id())
-    f = w.select("line", F.split(F.trim("value"), "\\s+").alias("f")).where(F.size("f") >= 4)
+    """The last line of each query: ``qid, docid``; files follow each other by name."""
+    f = ordered_lines(spark, path).select("line", F.split(F.trim("value"), "\\s+").alias("f")).where(F.size("f") >= 4)
     return f.groupBy(F.col("f")[0].alias("qid")).agg(F.max_by(F.col("f")[2], "line").alias("docid"))
 
 
@@ -96,8 +105,7 @@ def vectors(spark: SparkSession, path) -> DataFrame:
 
 def encoded_docids(spark: SparkSession, path, drop: tuple[int, ...] = ()) -> DataFrame:
     """``docid, codes`` from ``[id]<tab>c,c,...``; the last line of an id holds; ``drop`` removes padding or end codes."""
-    w = lines(spark, path).withColumn("line", F.monotonically_increasing_id())
-    f = w.select("line", F.split("value", "\t").alias("f")).where(F.size("f") == 2)
+    f = ordered_lines(spark, path).select("line", F.split("value", "\t").alias("f")).where(F.size("f") == 2)
     last = f.groupBy(bracketed(F.col("f")[0]).alias("docid")).agg(F.max_by(F.col("f")[1], "line").alias("c"))
     codes = F.transform(F.split("c", ","), lambda v: F.trim(v).cast("int"))
     return last.select("docid", (F.filter(codes, lambda v: ~v.isin(*drop)) if drop else codes).alias("codes"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,8 +22,28 @@ def tsv_gz(df: DataFrame, path: str, fields: list[str]) -> None:
 
 
 def json_array(df: DataFrame, path: str) -> None:
-    """One JSON array per file. JSON lines are the better form for large tables."""
-    df.select(F.to_json(F.struct(*df.columns)).alias("j")).groupBy(F.spark_partition_id()).agg(F.concat(F.lit("["), F.array_join(F.collect_list("j"), ","), F.lit("]")).alias("value")).select("value").write.text(path)
+    """One JSON array per file, an element a line. Rows stream past; none is held but the last one."""
+
+    def work(batches):
+        held, opened, out = None, False, []
+
+        def put(end: str) -> None:
+            nonlocal opened
+            out.append(("" if opened else "[") + held + end)
+            opened = True
+
+        for batch in batches:
+            for x in batch.column(0).to_pylist():
+                if held is not None:
+                    put(",")
+                held = x
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], ["value"])
+            out.clear()
+        if held is not None:
+            put("]")
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], ["value"])
+
+    df.select(F.to_json(F.struct(*df.columns)).alias("j")).mapInArrow(work, "value string").write.text(path)
 
 
 def keyed_lines(df: DataFrame, key: str, value: Column, path: str) -> None:
@@ -81,3 +102,16 @@ def samples_json(samples: DataFrame, key: str = "vec_id") -> DataFrame:
     """One JSON object of first code to its sampled documents per row: ``value``."""
     g = samples.groupBy("token").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", key))), lambda x: x[key]).alias("docs"))
     return g.select(F.to_json(F.struct("token", "docs")).alias("value"))
+
+
+def metric_report(metrics: DataFrame, path: str) -> None:
+    """A row of metrics as JSON (under ``json``) and as ``name: value`` lines (under ``text``)."""
+    metrics.write.json(f"{path}/json")
+    named = F.array(*(F.struct(F.lit(c).alias("name"), F.col(c).cast("double").alias("v")) for c in metrics.columns))
+    metrics.select(F.explode(named).alias("x")).select(F.format_string("%s: %.6f", "x.name", "x.v").alias("value")).write.text(f"{path}/text")
+
+
+def level_summaries(histogram: DataFrame) -> DataFrame:
+    """One JSON object per code level: ``value``."""
+    by = histogram.groupBy("level").agg(F.count("*").alias("tokens"), F.sum("n").alias("docs"), F.min("n").alias("least"), F.max("n").alias("most"))
+    return by.select(F.to_json(F.struct("level", "tokens", "docs", "least", "most")).alias("value"))
