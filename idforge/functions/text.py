@@ -99,7 +99,7 @@ def dotted_sentences(text: Column) -> Column:
 
 def sentences(text: Column) -> Column:
     """Sentences with their closing marks."""
-    return F.filter(F.transform(F.regexp_extract_all(text, F.lit("[^.!?]+[.!?]*"), F.lit(0)), F.trim), lambda s: s != "")
+    return F.filter(F.transform(F.regexp_extract_all(text, F.lit("[^.!?]+[.!?]*"), F.lit(0)), lambda s: F.trim(s)), lambda s: s != "")
 
 
 def encoder_text(passage: Column, most: int) -> Column:

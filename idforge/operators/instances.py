@@ -24,6 +24,8 @@ def inverse_frequency(docs: DataFrame, text: Column) -> DataFrame:
 
 def _lists(column: pa.Array) -> tuple[pa.Array, np.ndarray]:
     """Flat values of a list column without nulls, and where each list begins and ends in them."""
+    if not len(column):
+        return pa.array([], column.type.value_type), np.zeros(1, np.int64)
     return column.flatten(), np.concatenate([[0], np.cumsum(np.diff(column.offsets.to_numpy()))])
 
 

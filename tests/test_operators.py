@@ -223,3 +223,58 @@ def test_suffixes_of_a_hot_id_and_of_nulls(spark):
     got = {r.k: r.docid for r in ordering.with_unique_suffix(df, "docid", ["k"]).collect()}
     hot = [k for k in range(30) if k % 3]
     assert [got[k] for k in hot] == [f"the-{i + 1}" for i in range(20)] and got[3] == "x3" and got[90] is None and len(got) == 32
+
+
+def test_terms_and_passages_of_odd_texts(spark):
+    """Nulls, nothing, repeats, ties and very long texts."""
+    long = "word " * 3000 + "other"
+    df = spark.createDataFrame([(1, None), (2, ""), (3, "a b a c a d e f g h i j"), (4, long), (5, "x"), (3, "again again")], "k int, t string")
+    rows = {(r.k, r.n, r.term): (r.c, r.at) for r in instances.term_places(df, "k", F.regexp_extract_all("t", F.lit("\\w+"), F.lit(0))).collect()}
+    assert rows[3, 12, "a"] == (3, [0, 2, 4]) and rows[4, 3001, "other"] == (1, [3000]) and rows[4, 3001, "word"][0] == 3000 and rows[3, 2, "again"] == (2, [0, 1])
+    assert not any(k in (1, 2) for k, *_ in rows) and instances.salient_terms(df.limit(0), "k", F.col("t")).count() == 0
+    sents = df.select("k", F.lit(None).cast("string").alias("title"), F.when(F.col("k") != 1, F.array("t", F.lit(None))).alias("s"))
+    parts = [(r.k, r.part, len(r.tokens)) for r in instances.passage_rows(sents, "k", F.col("title"), F.col("s"), 100, 3).collect()]
+    assert (4, 0, 100) in parts and (4, 1, 1) in parts and not any(k == 1 for k, *_ in parts) and (5, 0, 2) in parts
+    assert instances.passage_rows(sents.limit(0), "k", F.col("title"), F.col("s")).count() == 0
+
+
+def test_json_arrays_are_valid(spark, tmp_path):
+    import json
+
+    for n in (0, 1, 5, 23_000):
+        writers.json_array(spark.range(n).selectExpr("id", "'a\"b' as t").repartition(3), str(tmp_path / f"a{n}"))
+        files = [f for f in (tmp_path / f"a{n}").glob("part-*") if f.stat().st_size]
+        assert sorted(x["id"] for f in files for x in json.loads(f.read_text())) == list(range(n))
+
+
+def test_last_lines_follow_their_files(spark, tmp_path):
+    """A large file comes first in Spark's packing, whatever its name."""
+    (tmp_path / "a.txt").write_text("".join(f"q{k % 7} 0 early{k} 1\n" for k in range(5000)))
+    (tmp_path / "b.txt").write_text("q1 0 late 1\nq2 0 first 1\nq2 0 last 1\n")
+    got = {r.qid: r.docid for r in readers.last_qrels(spark, str(tmp_path)).collect()}
+    assert got["q1"] == "late" and got["q2"] == "last" and got["q3"] == f"early{max(k for k in range(5000) if k % 7 == 3)}"
+
+
+def test_edit_ratio_against_its_definition(spark):
+    from idforge.functions.similarity import similarity
+
+    def matched(a, b):
+        best = max(((k, -i, -j) for i in range(len(a)) for j in range(len(b)) for k in [next((n for n in range(min(len(a) - i, len(b) - j) + 1) if n == min(len(a) - i, len(b) - j) or a[i + n] != b[j + n]))]), default=(0, 0, 0))
+        k, i, j = best[0], -best[1], -best[2]
+        return k + matched(a[:i], b[:j]) + matched(a[i + k :], b[j + k :]) if k else 0
+
+    pairs = [("1 - 9 - 4", "1 - 9 - 5"), ("", ""), ("abc", ""), ("10 - 2", "2 - 10"), ("abxcd", "abcd"), (None, "a")]
+    got = spark.createDataFrame(pairs, "a string, b string").select("a", "b", similarity("edit_ratio")(F.col("a"), F.col("b")).alias("s")).collect()
+    for r in got:
+        want = None if r.a is None else 2 * matched(r.a, r.b) / (len(r.a) + len(r.b)) if r.a + r.b else 1.0
+        assert (r.s is None) == (want is None) and (want is None or abs(r.s - want) < 1e-12)
+
+
+def test_proportional_steps(spark):
+    rows = spark.createDataFrame([("a", f"a{k}") for k in range(30)] + [("b", f"b{k}") for k in range(7)], "dataset string, key string")
+    got = pages.proportional_steps(rows, 20, 2, 3).collect()
+    for name, n, steps in (("a", 30, 16), ("b", 7, 4)):
+        mine = [r for r in got if r.dataset == name]
+        assert len(mine) == steps * 6 and {(r.rank, r.step) for r in mine} == {(a, b) for a in range(3) for b in range(steps)}
+        assert len({(r.epoch, r.key) for r in mine}) == len(mine) and max(r.epoch for r in mine) == -(-steps * 6 // n) - 1
+    assert pages.proportional_steps(rows.limit(0), 20, 2, 3).count() == 0
