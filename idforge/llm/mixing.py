@@ -21,7 +21,7 @@ from pyspark import SparkFiles
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from idforge.operators.lineage import cut
+from idforge.operators.lineage import cut, release
 
 FAN_IN = 64
 BUCKET = 50_000  # documents that a bucket holds on average
@@ -161,11 +161,13 @@ def mix_sources(docs: DataFrame, weights: DataFrame, total: int | None = None, d
     rows = cut(rows, "fractions")
     done, left = rows.where("p = 0 or p = 1"), rows.where("p > 0 and p < 1")
     place = F.xxhash64(F.lit(seed), "doc_id")
+    levels: list[DataFrame] = []
     nodes = max(1, -(-sum(docs_of.values()) // BUCKET))
     left = left.withColumn("node", F.pmod(place, F.lit(nodes)))
     while True:
         ordered = left.select("node", "source", "doc_id", "tokens", "base", "p").repartition("node").sortWithinPartitions("node", "source", place, "doc_id", "tokens")
         level = cut(ordered.mapInArrow(lambda x: _round(x, seed), ROUNDED), "rounded")
+        levels.append(level)
         done = done.union(level.where("p = 0 or p = 1").select(done.columns))
         left = level.where("p > 0 and p < 1")
         if nodes == 1:
@@ -175,6 +177,8 @@ def mix_sources(docs: DataFrame, weights: DataFrame, total: int | None = None, d
     last = F.pmod(F.xxhash64(F.lit(seed), "doc_id", "source"), F.lit(1 << 30)) / F.lit(float(1 << 30))
     left = left.select("doc_id", "source", "tokens", "base", F.when(last < F.col("p"), 1.0).otherwise(0.0).alias("p"))
     chosen = cut(done.union(left).select("doc_id", "source", "tokens", (F.col("base") + F.col("p").cast("int")).alias("repeats")).where("repeats > 0"), "mix")
+    for table in (sized, rows, *levels):
+        release(table)
     used = chosen.groupBy("source").agg(F.sum(F.col("tokens") * F.col("repeats")).alias("tokens"))
     got = used.agg(F.sum("tokens")).first()[0] or 0
     shares = plan.join(used, "source", "left").select("source", "target_share", "max_repeats", "available_tokens", "target_tokens", F.coalesce("tokens", F.lit(0)).alias("tokens"), (F.coalesce("tokens", F.lit(0)) / F.lit(float(max(got, 1)))).alias("actual_share"), ((F.col("available_tokens") * F.col("max_repeats") >= F.col("target_tokens")) & (F.col("available_tokens") > 0)).alias("met"))

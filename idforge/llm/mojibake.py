@@ -177,7 +177,7 @@ def _spans(text: str, codec: str) -> tuple[str, int]:
 
 
 #: Lower-casing after the wrong reading changes the lead characters; (character, byte).
-_LOWER = re.compile("â[€‚ƒ„…†‡ˆ‰š‹œž\x80-\x9f][\x80-\xbfŒ-ƒˆ-™]|(?:[ãâ][¡-¬®-¿‡†‰€¤¥ƒˆš\x80-\x9f\xadÿ])|(?:[ðñ][€-™\x80-\xbfŒ-ƒˆ-™ÿ])+")
+_LOWER = re.compile("(?<![\\w])ã[‘“”•–—](?=[a-z])|â[€‚ƒ„…†‡ˆ‰š‹œž\x80-\x9f][\x80-\xbfŒ-ƒˆ-™]|(?:[ãâ][¡-¬®-¿‡†‰€¤¥ƒˆš\x80-\x9f\xadÿ])|(?:[ðñ][€-™\x80-\xbfŒ-ƒˆ-™ÿ])+")
 
 
 def _lowered(text: str) -> tuple[str, int]:
@@ -190,7 +190,9 @@ def _lowered(text: str) -> tuple[str, int]:
     def fix(m: re.Match) -> str:
         nonlocal n
         was = m[0]
-        if was[0] in "ãâ" and len(was) == 2 and was[1] in _CLOSING:
+        # A word that begins with such a pair (ñ, ó, õ, ...) can't be right, a word that ends with it can.
+        opens = text[m.end() : m.end() + 1].isalpha() and not text[max(0, m.start() - 1) : m.start()].isalpha()
+        if was[0] in "ãâ" and len(was) == 2 and was[1] in _CLOSING and not opens:
             return was
         if was[0] in "ðñ" and len(was) < 4 and not (russian and not re.match("[A-Za-z]", text[max(0, m.start() - 1) : m.start()]) and not re.match("[A-Za-z]", text[m.end() : m.end() + 1])):
             return was

@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 from idforge.llm.components import connected_components
 from idforge.llm.fold import distinct_in_row, in_parts, mix, runs_of, split_words, sum_by_row
 from idforge.llm.rarity import bits_for, code_of, codes_at, flat, rare_first, token_codes
-from idforge.operators.lineage import cut, spread
+from idforge.operators.lineage import cut, release, spread
 
 SHARED = 4  # tokens that a pair must share within its prefixes, which are longer by SHARED - 1 for it
 COMMON = 1024  # a run of more texts is a common one; where counters are shared, of more than 8 times their mean
@@ -392,6 +392,8 @@ def near_duplicate_groups(df: DataFrame, row: str | Column, text: Column, width:
     open_ = open_ if proven is None else open_.union(proven)
     if not open_.isEmpty():
         roots = cut(roots.union(connected_components(open_).where("node <> component")), "roots")
+    for done in (texts, shards, nodes, patterns):
+        release(done)
     roots = roots.union(roots.select(F.col("root").alias("node"), "root")).distinct()
     members = copies.union(roots.select(F.col("node").alias("row_no"), F.col("node").alias("own"))).distinct()
     return members.join(roots, "node", "left").select("row_no", F.coalesce("root", "node").alias("first_row_no"))

@@ -21,7 +21,8 @@ CYRILLIC = (("cp1251", "koi8_r"), ("koi8_r", "cp1251"), ("cp1252", "cp1251"), ("
 _ODD = re.compile(
     f"[A-Za-z][Ͱ-ϿЀ-ӿ⁰-₟](?![A-Za-z]?\\d)|[Ͱ-ϿЀ-ӿ][A-Za-z]"  # two scripts in one word
     f"|[a-z][À-ÖØ-Þ](?=[a-zß-ÿ])"  # a capital within small letters
-    f"|[a-z{_LATIN}][─-▟¢£¥§©®±´µ¶¸°¿¡‡†ˆ-˝¯‰√∫≈∆◊∏∑π∂Ω∞≤≥≠⌐⌠⌡₧∙ⁿ²ƒ¬«»ºª‡ﬁﬂ€„‚](?=[a-z{_LATIN}])"  # a symbol within a word
+    f"|[A-Za-z{_LATIN}][÷─-▟¢£¥§©®±´µ¶¸°¿¡‡†ˆ-˝¯‰√∫≈∆◊∏∑π∂Ω∞≤≥≠⌐⌠⌡₧∙ⁿ²ƒ¬«»ºª‡ﬁﬂ€„‚](?=[a-z{_LATIN}])"  # a symbol within a word
+    f"|[a-z{_LATIN}][ˆ˜˙˚˛˝ˇ¨¯¸´](?![\\w])"  # an accent by itself that closes a word
     f"|(?<![\\w])[─│-┋┍-┓┕-┛┝-╿¯˘˙˚˝˛ˇ°¸√∫≈∆◊∂∏∑¢£¥§µ¶±≤≥≠ΣΘΦΩα└┴┬╤╨╥][A-Za-z][a-z]|(?<![\\w])[øìîíôÚ][A-Z][a-z]"  # a symbol that opens a word
 )
 #: A word as it stands in right text.

@@ -458,6 +458,11 @@ def test_only_spans_are_decoded():
         assert restore(t) == (want, True, False)
 
 
+def test_single_letters_and_accents_at_word_ends():
+    assert restore("the harbor of Tefaz\u02c6, a town")[1] and restore("in ã‘asami and sodulü, sã³lo â«asã\xadâ»")[0].startswith("in Ñasami and sodulü, sólo «así")
+    assert not restore("l’île — à Rome, « forêt »; voilà ‘a’ à ‘b’")[1]
+
+
 def test_any_number_of_misreadings():
     t = wrong = "La montaña «Guguba» está aquí"
     for _ in range(14):
