@@ -7,6 +7,7 @@ column pruning (unlike an RDD checkpoint) and is computed exactly once.
 from __future__ import annotations
 
 import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -29,6 +30,7 @@ def shared_dir(spark: SparkSession) -> str:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         _OWN[app] = tempfile.mkdtemp(prefix="idforge-")
+        atexit.register(shutil.rmtree, _OWN[app], ignore_errors=True)
     return _OWN[app]
 
 
@@ -41,15 +43,21 @@ def _drop(spark: SparkSession, path: str) -> None:
         pass  # the session is gone; the folder's owner clears it
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder, for files that go when the application ends."""
+    path = f"{shared_dir(spark)}/idforge/{name}-{uuid.uuid4().hex}"
+    atexit.register(_drop, spark, path)
+    return path
+
+
 def cut(df: DataFrame, name: str) -> DataFrame:
     """``df`` written once to the shared folder and read back.
 
     The files go when the application ends; ``release`` drops them earlier.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/idforge/{name}-{uuid.uuid4().hex}"
+    path = scratch(spark, name)
     df.write.option("compression", "zstd").parquet(path)
-    atexit.register(_drop, spark, path)
     out = spark.read.schema(df.schema).parquet(path)
     out._idforge_path = path
     return out

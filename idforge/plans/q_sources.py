@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from idforge.functions.docids import unbracketed
 from idforge.operators.analysis import first_token_samples, level_balance, level_histogram
-from idforge.operators.lineage import shared_dir
+from idforge.operators.lineage import scratch
 from idforge.operators.quantize import code_usage
 from idforge.operators.retrieval import trec_run
 from idforge.plans.q_quantize import RQ, book, codes, vectors
@@ -21,7 +19,7 @@ from idforge.sources import readers, writers
 
 
 def folder(s, name):
-    return f"{shared_dir(s)}/idforge/formats/{name}-{uuid.uuid4().hex}"
+    return scratch(s, name)
 
 
 def docs_tsv(s, d):

@@ -2,18 +2,16 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from idforge.functions.docids import unbracketed
-from idforge.operators.lineage import shared_dir
+from idforge.operators.lineage import scratch
 from idforge.plans.q_relevance import table
 from idforge.streaming.runs import drained, first_judgements, read_stream
 
 
 def _drained(s, stream):
-    at = f"{shared_dir(s)}/idforge/streams/{uuid.uuid4().hex}"
+    at = scratch(s, "stream")
     return drained(stream, f"{at}/out", f"{at}/checkpoint")
 
 

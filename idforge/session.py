@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import functools
 import shutil
 import tempfile
@@ -19,6 +20,7 @@ def ship(spark: SparkSession) -> None:
     if app not in _SHIPPED:
         root = Path(__file__).resolve().parent
         folder = tempfile.mkdtemp(prefix="idforge-code-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
         shutil.copytree(root, f"{folder}/tree/{root.name}", ignore=shutil.ignore_patterns("__pycache__", "*.pyc"))
         spark.sparkContext.addPyFile(shutil.make_archive(f"{folder}/{root.name}", "zip", f"{folder}/tree"))
         _SHIPPED.add(app)
