@@ -110,11 +110,12 @@ def salient_terms(docs: DataFrame, key: str, text: Column, max_len: int = 128, l
     tf = term_places(docs.where(F.col(key).isNotNull()), key, F.slice(tokens(text), 1, longest)).where(F.col("n") >= fewest)
     scored = tf.join(idf, "term").select(key, "n", F.struct((-F.round(F.col("c") / F.col("n") * F.col("idf"), 9)).alias("s"), "c", "term", "at").alias("x"))
     by = scored.groupBy(key, "n").agg(F.array_sort(F.collect_list("x")).alias("x"))
-    # Counts add up from the highest value on; the threshold is where they reach the room.
+    # Counts add up from the highest value on; the threshold is where they reach the room. It is known
+    # only where the fold ends: a column that a lambda uses once would be computed for every element.
     start = F.struct(F.lit(0).alias("c"), F.lit(None).cast("double").alias("least"))
     upto = F.least(F.lit(room), F.col("n"))
-    least = F.aggregate("x", start, lambda a, t: F.struct((a["c"] + t["c"]).alias("c"), F.when(a["c"] < upto, t["s"]).otherwise(a["least"]).alias("least")), lambda a: a["least"])
-    kept = by.withColumn("least", least).select(key, F.filter("x", lambda t: t["s"] <= F.col("least")).alias("x")).where(F.size("x") >= 2)
+    fold = lambda a, t: F.struct((a["c"] + t["c"]).alias("c"), F.when(a["c"] < upto, t["s"]).otherwise(a["least"]).alias("least"))
+    kept = by.select(key, F.aggregate("x", start, fold, lambda a: F.filter("x", lambda t: t["s"] <= a["least"])).alias("x")).where(F.size("x") >= 2)
     places = F.flatten(F.transform("x", lambda t: F.transform(t["at"], lambda p: F.struct(p.alias("p"), t["term"].alias("w")))))
     return kept.select(key, F.concat(F.transform(F.slice(F.array_sort(places), 1, room), lambda x: x["w"]), F.array(F.lit(END))).alias("tokens"))
 
