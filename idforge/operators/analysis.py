@@ -27,6 +27,13 @@ def uniqueness(codes: DataFrame) -> DataFrame:
     return u.select("docs", "distinct_codes", F.when(F.col("docs") == 0, 0.0).otherwise(F.col("distinct_codes") / F.col("docs")).alias("uniqueness"))
 
 
+def batch_uniqueness(codes: DataFrame, batch: Column) -> DataFrame:
+    """Share of distinct codes within each batch: ``batch``, ``docs``, ``distinct_codes``, ``uniqueness``."""
+    by = codes.groupBy(batch.alias("batch"), "codes").agg(F.count("*").alias("n"))
+    u = by.groupBy("batch").agg(F.sum("n").alias("docs"), F.count("*").alias("distinct_codes"))
+    return u.withColumn("uniqueness", F.col("distinct_codes") / F.col("docs"))
+
+
 def level_histogram(codes: DataFrame) -> DataFrame:
     """``level``, ``token``, ``n``."""
     return codes.select(F.posexplode("codes").alias("level", "token")).groupBy("level", "token").agg(F.count("*").alias("n"))
@@ -166,10 +173,11 @@ def shared_token_similarity(docs: DataFrame, modes: dict[str, list[list[int]]])
     )
 
 
-def masked_matches(codes: DataFrame, positions: list[int], key: str = "vec_id") -> DataFrame:
-    """Groups of documents with the same codes at the given positions: ``tokens``, ``n``, ``first``."""
-    tokens = F.array(*(F.get("codes", F.lit(p)) for p in positions))
-    return codes.groupBy(tokens.alias("tokens")).agg(F.count("*").alias("n"), F.min(key).alias("first")).where("n > 1")
+def masked_matches(codes: DataFrame, masks: list[list[int]], key: str = "vec_id") -> DataFrame:
+    """Groups of documents with the same codes at the positions of a mask: ``mask``, ``tokens``, ``n``, ``first``."""
+    named = {",".join(map(str, m)): [m] for m in masks}
+    by = token_groups(codes, named).groupBy(F.col("mode").alias("mask"), F.col("prefix").alias("tokens"))
+    return by.agg(F.count("*").alias("n"), F.min(key).alias("first")).where("n > 1")
 
 
 def first_token_samples(codes: DataFrame, n: int, seed: int = 42, key: str = "vec_id") -> DataFrame:

@@ -62,6 +62,28 @@ def encode(vectors: DataFrame, codebook: DataFrame, key: str = "vec_id", column:
     return vectors.select(key, column).where(F.col(column).isNotNull()).mapInArrow(work, f"{key} {kind}, codes array<int>, residual_norm double")
 
 
+def encode_layers(vectors: DataFrame, layers: list[tuple[list, list]], key: str = "vec_id", column: str = "embedding") -> DataFrame:
+    """Vectors behind a small network: ``key``, ``column``. ``layers`` are (weights by output, biases), with a rectifier between them.
+
+    What comes out is quantised as vectors are; the weights are parameters, so they are broadcast. Null vectors are left out.
+    """
+    known = vectors.sparkSession.sparkContext.broadcast([(np.array(w, float), np.array(b, float)) for w, b in layers])
+    kind = vectors.schema[key].dataType.simpleString()
+
+    def work(batches):
+        for b in batches:
+            if not b.num_rows:
+                continue
+            x = b.column(1).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(b.num_rows, -1)
+            for k, (weights, bias) in enumerate(known.value):
+                x = x @ weights.T + bias
+                x = np.maximum(x, 0.0) if k + 1 < len(known.value) else x
+            ends = np.arange(0, x.size + 1, x.shape[1], dtype=np.int32)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(x.ravel()))], [key, column])
+
+    return vectors.select(key, column).where(F.col(column).isNotNull()).mapInArrow(work, f"{key} {kind}, {column} array<double>")
+
+
 def decode(codes: DataFrame, codebook: DataFrame, key: str = "vec_id") -> DataFrame:
     """``key``, ``decoded``: centroids summed over levels, subspaces side by side."""
     book = load_codebook(codebook)

@@ -68,6 +68,7 @@ def text_census(s, d):
 
 QUERIES = {
     "docid_uniqueness": lambda s, d: rounded(a.uniqueness(codes(s, d, PQ)), "uniqueness"),
+    "batch_uniqueness": lambda s, d: rounded(a.batch_uniqueness(codes(s, d, PQ), F.expr("vec_id div 64")), "uniqueness"),
     "level_histogram": lambda s, d: a.level_histogram(codes(s, d, RQ)),
     "level_entropy_gini": lambda s, d: rounded(a.level_balance(a.level_histogram(codes(s, d, PQ))), "entropy", "gini"),
     "mean_entropy_gini": lambda s, d: rounded(a.mean_balance(a.level_balance(a.level_histogram(codes(s, d, PQ)))), "entropy", "gini"),
@@ -81,7 +82,7 @@ QUERIES = {
     "shared_token_similarity": lambda s, d: rounded(a.shared_anywhere_similarity(docs(s, d), 4), "similarity"),
     "prefix_profile": lambda s, d: rounded(a.prefix_profile(docs(s, d, RQ), 3), "mean", "std", "low", "high"),
     "prefix_means": lambda s, d: rounded(a.shared_token_similarity(docs(s, d, RQ), {"hierarchical": [[0], [0, 1], [0, 1, 2]]}).select("k", F.col("by_document").alias("similarity"), "pairs", "groups", "docs"), "similarity"),
-    "masked_matches": lambda s, d: a.masked_matches(codes(s, d, PQ), [0, 2]).select(codes_text(F.col("tokens"), ",").alias("tokens"), "n", "first"),
+    "masked_matches": lambda s, d: a.masked_matches(codes(s, d, PQ), [[0, 2], [1], [0, 1, 3]]).select("mask", codes_text(F.col("tokens"), ",").alias("tokens"), "n", "first"),
     "first_token_samples": lambda s, d: a.first_token_samples(codes(s, d, RQ), 5),
     "robustness": lambda s, d: rounded(a.robustness(codes(s, d, PQRQ), shaken(s, d), "full"), "similarity"),
     "robustness_ranking": lambda s, d: rounded(a.robustness_ranking(codes(s, d, PQRQ), shaken(s, d), "full"), "preserved"),
@@ -183,7 +184,8 @@ SELECT k, round(mean, 6) AS mean, round(std, 6) AS std, pairs, groups, round(mea
     "prefix_means": R + _GRP + f""", s AS (SELECT a.k, a.p, avg({_COS.format('a', 'b')}) AS s, count(*) AS pairs FROM g a JOIN g b ON a.k = b.k AND a.p = b.p AND a.r < b.r GROUP BY ALL),
 n AS (SELECT k, p, count(*) AS n FROM g GROUP BY ALL)
 SELECT k, round(sum(s * n) / sum(n), 6) AS similarity, sum(pairs)::BIGINT AS pairs, count(*) AS groups, sum(n)::BIGINT AS docs FROM s JOIN n USING (k, p) GROUP BY 1""",
-    "masked_matches": P + " SELECT codes[1] || ',' || codes[3] AS tokens, count(*) AS n, min(vec_id) AS first FROM codes GROUP BY 1 HAVING count(*) > 1",
+    "masked_matches": P + " SELECT mask, tokens, count(*) AS n, min(vec_id) AS first FROM (SELECT vec_id, unnest(['0,2', '1', '0,1,3']) AS mask, unnest([codes[1] || ',' || codes[3], codes[2]::VARCHAR, codes[1] || ',' || codes[2] || ',' || codes[4]]) AS tokens FROM codes) GROUP BY 1, 2 HAVING count(*) > 1",
+    "batch_uniqueness": P + " SELECT vec_id // 64 AS batch, count(*) AS docs, count(DISTINCT codes) AS distinct_codes, round(count(DISTINCT codes) / count(*), 6) AS uniqueness FROM codes GROUP BY 1",
     "first_token_samples": R + " SELECT * FROM (SELECT codes[1] AS token, row_number() OVER (PARTITION BY codes[1] ORDER BY md5('42|' || vec_id), vec_id) AS rank, vec_id FROM codes) WHERE rank <= 5",
     "robustness": Q + _shaken() + f" SELECT round(avg({_FULL.format('a', 'b')}), 6) AS similarity, count(*) FILTER (a.codes = b.codes) AS exact, count(*) AS docs FROM codes a JOIN after b USING (vec_id)",
     "robustness_ranking": Q + _shaken() + ", bo AS (SELECT codes.vec_id, codes.codes, after.codes AS f FROM codes JOIN after ON after.vec_id = codes.vec_id)" + _draws(2, "bo") + f""",

@@ -28,6 +28,21 @@ def _text(df: DataFrame) -> DataFrame:
     return df.select("vec_id", codes_text(F.col("codes"), ",").alias("codes"))
 
 
+def weights(rows: int, columns: int) -> tuple[list, list]:
+    """A layer by rule, in place of a trained one."""
+    return [[((7 * i + 13 * j) % 11 - 5) / 10 for i in range(columns)] for j in range(rows)], [(j % 3) / 10 for j in range(rows)]
+
+
+def behind_layers(shape):
+    """Codes of the vectors behind a network of two layers."""
+
+    def run(spark, d):
+        v = q.encode_layers(vectors(spark, d), [weights(32, 64), weights(16, 32)])
+        return _text(q.encode(v, q.seeded_codebook(v, *shape)))
+
+    return run
+
+
 def decoded(spark, d):
     out = q.decode(codes(spark, d, RQ), book(spark, d, RQ))
     return out.select("vec_id", F.posexplode("decoded").alias("i", "x")).select("vec_id", "i", F.round("x", 6).alias("x"))
@@ -90,15 +105,28 @@ def ir_losses(spark, d):
 QUERIES = {
     "pq_codes": lambda s, d: _text(codes(s, d, PQ)), "rq_codes": lambda s, d: _text(codes(s, d, RQ)), "pqrq_codes": lambda s, d: _text(codes(s, d, PQRQ)),
     "rq_decoded": decoded, "pqrq_reconstruction_mse": mse, "pqrq_tokens": tokens, "pq_code_strings": code_strings, "rq_code_usage": usage,
+    "mlp_rq_codes": behind_layers(RQ), "mlp_pqrq_codes": behind_layers(PQRQ),
     "rq_residual_norm": residual_norm, "scalar_codes": scalar, "kmeans_codebook": kmeans, "dead_code_resets": dead, "ir_losses": ir_losses,
 }
 
+def _layer(e: str, rows: int, columns: int) -> str:
+    return f"list_transform(range({rows}), lambda j: list_sum(list_transform(range({columns}), lambda i: {e}[i + 1] * (((7 * i + 13 * j) % 11 - 5) / 10.0))) + (j % 3) / 10.0)"
+
+
+_HIDDEN = "hidden AS (SELECT vec_id, list_transform(" + _layer("e", 32, 64) + ", lambda x: greatest(x, 0.0)) AS h FROM (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings)), behind AS (SELECT vec_id, " + _layer("h", 16, 32) + " AS embedding FROM hidden)"
+
+
+def _behind(shape) -> str:
+    return codes_cte(*shape, dim=16).replace("FROM embeddings,", "FROM behind,").replace("WITH ", f"WITH {_HIDDEN}, ", 1)
+
+
 _LIST = "list_transform(codes, lambda x: x::VARCHAR)"
 _NORM = "sqrt(list_sum(list_transform(embedding::DOUBLE[], lambda x: x * x)))"
 _DOT = "list_sum(list_transform(range(1, 65), lambda i: a.embedding[i]::DOUBLE * {}.embedding[i]::DOUBLE))"
 _SQ = "list_sum(list_transform(range(1, 65), lambda i: (a.embedding[i]::DOUBLE - {0}.embedding[i]::DOUBLE) * (a.embedding[i]::DOUBLE - {0}.embedding[i]::DOUBLE)))"
 SQL = {
     **{k: codes_cte(*shape) + f" SELECT vec_id, array_to_string({_LIST}, ',') AS codes FROM codes" for k, shape in (("pq_codes", PQ), ("rq_codes", RQ), ("pqrq_codes", PQRQ))},
+    **{k: _behind(shape) + f" SELECT vec_id, array_to_string({_LIST}, ',') AS codes FROM codes" for k, shape in (("mlp_rq_codes", RQ), ("mlp_pqrq_codes", PQRQ))},
     "rq_decoded": codes_cte(*RQ) + " SELECT e.vec_id, i - 1 AS i, round(e.embedding[i]::DOUBLE - l.r[i], 6) AS x FROM embeddings e JOIN last l ON e.vec_id = l.vec_id, range(1, 65) t(i)",
     "pqrq_reconstruction_mse": codes_cte(*PQRQ) + " SELECT round(avg(q), 8) AS mse, count(*) AS vectors FROM (SELECT vec_id, sum(list_sum(list_transform(r, lambda x: x * x))) / 64 AS q FROM last GROUP BY 1)",
     "pqrq_tokens": codes_cte(*PQRQ) + " SELECT vec_id, array_to_string(list_transform(range(1, 5), lambda i: (codes[i] + (i - 1) * 16 + 32128)::VARCHAR), ',') AS tokens, true AS same FROM codes",

@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from idforge.functions import text as x
-from idforge.functions.docids import codes_to_tokens, unbracketed
+from idforge.functions.docids import codes_to_tokens, end_tokens, unbracketed
 from idforge.functions.hooks import hashed_embedding
 from idforge.functions.metrics import exact_match, evaluate, mean_metrics
 from idforge.functions.similarity import cosine
+from idforge.functions.tokenizers import piece_ids, piece_round_trip
 from idforge.operators import instances as t
 from idforge.operators import pages as p
 from idforge.operators import relevance as r
@@ -223,6 +224,31 @@ def nested(s, d):
     return back.select("example_id", "question_text", F.array_join(F.transform("document_tokens", lambda w: w["token"]), " ").alias("tokens"), F.array_join(starts, "|").alias("annotations"))
 
 
+def marked_numbers(s, d):
+    """Order prices written as 1.234,56 and read back."""
+    f = folder(s, "numbers")
+    o = table(s, d, "orders").select("o_orderkey", F.translate(F.format_number("o_totalprice", 2), ",.", ".,").alias("price"))
+    o.write.option("sep", ";").csv(f)
+    return readers.csv(s, f, "o_orderkey bigint, price double", thousands=".", decimal=",", sep=";")
+
+
+def all_docs(s, d):
+    """The pages of train and dev, with repeats, in the corpus form."""
+    of = lambda k: rows(s, d).where(F.col("split") == k).select("id", "document_url", "title", F.col("doc_tac").alias("contents"))
+    both = of("train").unionByName(of("dev"))
+    return both.groupBy("id").agg(F.count("*").alias("copies"), F.count("contents").alias("with_contents"), F.min("title").alias("first_title"))
+
+
+def summary_pieces(s, d):
+    """Identifiers from the pieces of a page's title: at most four ids and the end."""
+    return pages(s, d).where("title is not null").select("docid", F.array_join(end_tokens(piece_ids(F.col("title")), 4), ",").alias("ids"))
+
+
+def round_trips(s, d):
+    """Titles as they come back from a lower-casing tokenizer."""
+    return rows(s, d).select("row_no", piece_round_trip(F.col("title")).alias("title"))
+
+
 def bad_json(s, d):
     """Malformed lines of a file in which every eleventh one is cut off."""
     f = folder(s, "bad")
@@ -239,7 +265,7 @@ QUERIES = {
     "source_queries_strict": strict_queries, "source_qrels_exact": qrels_as(exact=2), "source_qrels_all": qrels_as(least=None), "source_last_line": last_line,
     "source_nq_tsv": nq_table, "source_renamed_table": renamed, "source_json_field": json_field, "source_instances": instance_file, "source_indexing": index_file,
     "source_dpr": dpr_file, "source_page_outputs": page_outputs, "source_json_array": array_file, "results_appended": appended, "source_nested_values": nested,
-    "source_json_rejected": bad_json,
+    "source_json_rejected": bad_json, "source_csv_marks": marked_numbers, "all_documents": all_docs, "summary_piece_docids": summary_pieces, "piece_round_trips": round_trips,
 }
 
 _ID = r"lower(regexp_replace(trim({0}), '^[\[\] ]+|[\[\] ]+$', '', 'g'))"
@@ -292,6 +318,8 @@ SELECT dataset, key, epoch, (p // (steps * 4))::INT AS rank, (p % (steps * 4) //
     "source_json_array": "SELECT qid, docid, rel FROM nq_qrels",
     "results_appended": BASE + "SELECT rel, count(*) AS n, NULL AS note FROM qr GROUP BY 1 UNION ALL SELECT DISTINCT rel, NULL, 'again' FROM qr",
     "source_nested_values": "SELECT example_id, question_text, array_to_string(list_transform(document_tokens, lambda w: w.token), ' ') AS tokens, array_to_string(list_transform(annotations, lambda a: concat_ws(':', a.long_answer.start_token::VARCHAR, a.long_answer.end_token::VARCHAR, len(a.short_answers)::VARCHAR, a.yes_no_answer)), '|') AS annotations FROM nq_raw_dev",
+    "source_csv_marks": "SELECT o_orderkey, round(o_totalprice, 2) AS price FROM orders",
+    "all_documents": "SELECT id, count(*) AS copies, count(doc_tac) AS with_contents, min(title) AS first_title FROM process_nq_dataset WHERE split IN ('train', 'dev') GROUP BY 1",
     "source_json_rejected": """SELECT substring('{"item_id":' || item_id, 1, 9) AS line FROM eval_passages WHERE item_id % 11 = 0""",
 }
 

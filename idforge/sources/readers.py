@@ -129,9 +129,22 @@ def table(spark: SparkSession, path, renamed: dict[str, str] | None = None, requ
     return d
 
 
-def csv(spark: SparkSession, path, schema: str, **options) -> DataFrame:
-    """CSV under a schema with Spark's reader options. Thousands marks, decimal commas and footers aren't supported."""
-    return spark.read.options(**options).csv(path, schema=schema)
+def csv(spark: SparkSession, path, schema: str, thousands: str = "", decimal: str = ".", **options) -> DataFrame:
+    """CSV under a schema with Spark's reader options. Footers aren't supported.
+
+    ``thousands`` is a mark to drop from numbers, ``decimal`` their decimal
+    mark; what is no number then is null.
+    """
+    if not thousands and decimal == ".":
+        return spark.read.options(**options).csv(path, schema=schema)
+    kinds = dict(c.split(None, 1) for c in schema.split(", "))
+    rows = spark.read.options(**options).csv(path, schema=", ".join(f"{c} string" for c in kinds))
+
+    def number(c: str) -> Column:
+        bare = F.replace(F.trim(c), F.lit(thousands), F.lit("")) if thousands else F.trim(c)
+        return F.replace(bare, F.lit(decimal), F.lit(".")).try_cast(kinds[c])
+
+    return rows.select(*(F.col(c) if kinds[c] == "string" else number(c).alias(c) for c in kinds))
 
 
 def json_field(spark: SparkSession, path, field: str, schema: str) -> DataFrame:

@@ -1,6 +1,7 @@
 """Hand-computed cases of the scalar and array operators."""
 
 import math
+import os
 
 import pytest
 from hypothesis import given, settings
@@ -8,6 +9,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from idforge.functions import docids, metrics, similarity, text
+from idforge.sources import readers
 
 
 def one(spark, **columns):
@@ -108,3 +110,21 @@ def test_text(spark):
     assert r.strip == "a bc" and r.last == "x</Ul>y" and r.span == "b c" and r.none == ""
     assert r.pad == [5, 6, 0, 0] and r.mask == [1, 1, 0, 0] and r.prompt == "x"
     assert r.sents == ["A b.", "C."] and r.title == "Name"
+
+
+def test_pieces(spark):
+    pytest.importorskip("tokenizers")
+    from idforge.functions.tokenizers import PIECES, piece_ids, piece_round_trip
+
+    if not os.path.exists(PIECES):
+        pytest.skip("no vocabulary file")
+    df = spark.createDataFrame([("Hello, World!",), ("ÉTÉ — 漢字",), ("",), (None,), ("A" * 5000,)], "t string")
+    got = {r.t: (r.ids, r.back) for r in df.select("t", piece_ids(F.col("t")).alias("ids"), piece_round_trip(F.col("t")).alias("back")).collect()}
+    assert got["Hello, World!"][1] == "hello , world !" and got["ÉTÉ — 漢字"][1] == "été — 漢字" and got[""] == ([], "") and got[None] == (None, None)
+    assert got["A" * 5000][1].replace(" ", "") == "a" * 5000 and len(got["Hello, World!"][0]) == 4
+
+
+def test_numbers_with_marks(spark, tmp_path):
+    (tmp_path / "n.csv").write_text("1;1.234,50;x\n2;-7,25;y\n3;oops;\n4;;z\n")
+    got = readers.csv(spark, str(tmp_path / "n.csv"), "k int, v double, t string", thousands=".", decimal=",", sep=";").collect()
+    assert [(r.k, r.v, r.t) for r in got] == [(1, 1234.5, "x"), (2, -7.25, "y"), (3, None, None), (4, None, "z")]
