@@ -75,9 +75,14 @@ def grid_pivot(df: DataFrame, row: str, column: str, values: list, metric: str)
     return df.groupBy(row).pivot(column, values).agg(F.avg(metric))
 
 
-def full_grid(df: DataFrame, row: str, column: str, metric: str) -> DataFrame:
-    """Every combination of the two keys with its mean metric, null where there is none. The keys come from a parameter grid."""
-    return df.select(row).distinct().crossJoin(F.broadcast(df.select(column).distinct())).join(df.groupBy(row, column).agg(F.avg(metric).alias(metric)), [row, column], "left")
+def full_grid(df: DataFrame, row: str, column: str, metric: str, most: int = 10_000) -> DataFrame:
+    """Every combination of the two keys with its mean metric, null where there is none. More than ``most`` values of ``column`` raise."""
+    values = [r[0] for r in df.select(column).distinct().limit(most + 1).collect()]
+    if len(values) > most:
+        raise ValueError(f"more than {most} values of {column}")
+    kind = df.schema[column].dataType
+    cells = df.select(row).distinct().withColumn(column, F.explode(F.array(*(F.lit(v).cast(kind) for v in values)) if values else F.array().cast(f"array<{kind.simpleString()}>")))
+    return cells.join(df.groupBy(row, column).agg(F.avg(metric).alias(metric)), [row, column], "left")
 
 
 def winners(df: DataFrame, keys: list[str], name: str, metric: str) -> DataFrame:

@@ -172,7 +172,7 @@ def code_usage(codes: DataFrame, size: int) -> DataFrame:
 def dead_codes(codes: DataFrame, codebook_size: int, positions: int, residuals: DataFrame, key: str = "vec_id", seed: int = 42) -> DataFrame:
     """Unused codes and the vector each is reset to: ``level``, ``code``, ``reset_to``; vectors in hash order, each used once."""
     spark = codes.sparkSession
-    every = spark.range(positions).select(F.col("id").cast("int").alias("level")).crossJoin(spark.range(codebook_size).select(F.col("id").cast("int").alias("code")))
+    every = spark.range(positions * codebook_size).select(F.expr(f"int(id div {codebook_size})").alias("level"), (F.col("id") % codebook_size).cast("int").alias("code"))
     used = codes.select(F.posexplode("codes").alias("level", "code")).distinct()
     dead = every.join(used, ["level", "code"], "left_anti").withColumn("n", F.expr("row_number() over (order by level, code)"))
     draw = residuals.select(F.col(key).alias("reset_to")).orderBy(F.md5(F.concat_ws("|", F.lit(seed), "reset_to")), "reset_to").limit(positions * codebook_size)
