@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 
 from idforge.functions import text as x
 from idforge.functions.docids import unbracketed
+from idforge.functions.hooks import hashed_embedding
 from idforge.operators.analysis import shared_token_similarity
-from idforge.operators.nearest import nearest
+from idforge.operators.nearest import near_duplicate_vectors, nearest
 from idforge.operators.relevance import first_by
 from idforge.plans.codes_sql import codes_cte
 from idforge.plans.q_analysis import _COS, _GRP, docs
@@ -28,6 +29,20 @@ def shared_mean(s, d):
     return g.select("k", F.round("by_document", 6).alias("similarity"), "docs")
 
 
+def text_vectors(s, d):
+    return table(s, d, "documents").where("text is not null").select(F.col("doc_id").alias("vec_id"), hashed_embedding(F.col("text"), 64).alias("embedding"))
+
+
+def near_duplicates(s, d):
+    """Texts, near-duplicates among them by the cosine of their vectors, and what is left of them."""
+    c = near_duplicate_vectors(text_vectors(s, d), 0.9)
+    return c.agg(F.count("*").alias("texts"), F.count_if(F.col("vec_id") != F.col("first")).alias("duplicates"), F.count_if(F.col("vec_id") == F.col("first")).alias("unique_texts"))
+
+
+def near_duplicate_classes(s, d):
+    return near_duplicate_vectors(text_vectors(s, d), 0.9)
+
+
 def dpo_rows(s, d):
     return RELEVANCE["triples_enriched"](s, d).select(F.col("query").alias("prompt"), F.col("pos_docid").alias("chosen"), F.col("neg_docid").alias("rejected"))
 
@@ -57,7 +72,7 @@ def query_pairs(s, d):
 
 
 QUERIES = {
-    "nearest_vectors": near, "shared_prefix_mean": shared_mean, "dpo_rows": dpo_rows, "first_row_by_split": first_qid, "ranker_texts": ranker_rows,
+    "nearest_vectors": near, "near_duplicates": near_duplicates, "near_duplicate_classes": near_duplicate_classes, "shared_prefix_mean": shared_mean, "dpo_rows": dpo_rows, "first_row_by_split": first_qid, "ranker_texts": ranker_rows,
     "padded_numbers": numbers, "query_document_pairs": query_pairs,
 }
 
@@ -70,3 +85,12 @@ SQL = {
     "padded_numbers": "SELECT DISTINCT qid, try_cast(trim(qid) AS DOUBLE) AS number FROM nq_queries",
     "query_document_pairs": "SELECT row_no, coalesce(id, '') AS id, coalesce(query, '') AS query, coalesce(doc_tac, '') AS doc_tac FROM process_nq_dataset",
 }
+
+_DUP = r"""WITH RECURSIVE w AS (SELECT doc_id AS id, list_transform(regexp_extract_all(lower(text), '[\p{L}\p{N}]+'), lambda t: ('0x' || substring(md5(t), 1, 8))::BIGINT % 64) AS p FROM documents WHERE text IS NOT NULL),
+v AS (SELECT id, list_transform(range(64), lambda k: len(list_filter(p, lambda x: x = k))::DOUBLE) AS v FROM w WHERE len(p) > 0),
+u AS (SELECT id, list_transform(v, lambda x: x / sqrt(list_dot_product(v, v))) AS u FROM v),
+l AS (SELECT a.id AS a, b.id AS b FROM u a JOIN u b ON a.id <> b.id AND round(list_dot_product(a.u, b.u), 9) >= 0.9),
+r(node, seen) AS (SELECT id, id FROM u UNION SELECT l.b, r.seen FROM r JOIN l ON l.a = r.node),
+c AS (SELECT node AS vec_id, min(seen) AS first FROM r GROUP BY 1) """
+SQL["near_duplicate_classes"] = _DUP + "SELECT vec_id, first FROM c"
+SQL["near_duplicates"] = _DUP + "SELECT count(*) AS texts, count(*) FILTER (vec_id <> first) AS duplicates, count(*) FILTER (vec_id = first) AS unique_texts FROM c"

@@ -278,3 +278,50 @@ def test_proportional_steps(spark):
         assert len(mine) == steps * 6 and {(r.rank, r.step) for r in mine} == {(a, b) for a in range(3) for b in range(steps)}
         assert len({(r.epoch, r.key) for r in mine}) == len(mine) and max(r.epoch for r in mine) == -(-steps * 6 // n) - 1
     assert pages.proportional_steps(rows.limit(0), 20, 2, 3).count() == 0
+
+
+@pytest.mark.parametrize("bucket", [8192, 3])
+def test_near_duplicate_vectors(spark, monkeypatch, bucket):
+    """Classes against brute force: copies, chains of near ones, nulls, zeros; buckets in blocks, too."""
+    import numpy as np
+
+    from idforge.operators import nearest
+
+    monkeypatch.setattr(nearest, "BUCKET", bucket)
+    rng = np.random.default_rng(5)
+    base = rng.standard_normal((40, 16))
+    x = np.concatenate([base, base[:20] + 0.15 * rng.standard_normal((20, 16)), base[:5] * 2, np.repeat(base[:1], 30, axis=0) + 0.05 * rng.standard_normal((30, 16))])
+    rows = [(int(k) * 3 - 40, v.tolist()) for k, v in enumerate(x)] + [(900, None), (901, [0.0] * 16), (902, base[7].tolist()), (902, base[7].tolist())]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>")
+    ids = np.array([r[0] for r in rows if r[1] and any(r[1])])
+    u = np.array([np.float32(r[1]) for r in rows if r[1] and any(r[1])], float)
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    links = np.argwhere(np.round(u @ u.T, 9) >= 0.9)
+    top = {int(i): int(i) for i in ids}
+    for _ in range(len(ids)):
+        for a, b in links:
+            least = min(top[int(ids[a])], top[int(ids[b])])
+            top[int(ids[a])] = top[int(ids[b])] = least
+    got = nearest.near_duplicate_vectors(df).collect()
+    assert {r.vec_id: r["first"] for r in got} == top and len(got) == len(ids)
+    assert nearest.near_duplicate_vectors(df.limit(0)).count() == 0 and nearest.near_duplicate_vectors(df.where("vec_id >= 900 and vec_id < 902")).count() == 0
+
+
+def test_near_duplicates_are_met(spark):
+    """Recall of pairs at the threshold itself, the worst case, against brute force."""
+    import numpy as np
+
+    from idforge.operators.nearest import hashed_tables, near_duplicate_vectors
+
+    rng = np.random.default_rng(6)
+    a = rng.standard_normal((1500, 24))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    side = rng.standard_normal((1500, 24))
+    side -= (side * a).sum(1, keepdims=True) * a
+    side /= np.linalg.norm(side, axis=1, keepdims=True)
+    b = 0.9001 * a + (1 - 0.9001**2) ** 0.5 * side
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(np.concatenate([a, b]))], "vec_id bigint, embedding array<float>")
+    got = {r.vec_id: r["first"] for r in near_duplicate_vectors(df, recall=0.95).collect()}
+    assert sum(got[k] == got[k + 1500] for k in range(1500)) >= 0.92 * 1500
+    bits, tables = hashed_tables(10**10, 0.9, 0.9)
+    assert bits == 20 and tables < 60
