@@ -325,3 +325,22 @@ def test_near_duplicates_are_met(spark):
     assert sum(got[k] == got[k + 1500] for k in range(1500)) >= 0.92 * 1500
     bits, tables = hashed_tables(10**10, 0.9, 0.9)
     assert bits == 20 and tables < 60
+
+
+def test_components(spark):
+    """Chains, stars, random edges, repeats and loops against a union of sets."""
+    import random
+
+    from idforge.operators.components import connected_components
+
+    rng = random.Random(11)
+    edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(200)] + [(1000 + k, 1001 + k) for k in range(50)] + [(5000, 5000 - k) for k in range(1, 60)] + [(7, 7), (1000, 1001)]
+    up = {x: x for e in edges if e[0] != e[1] for x in e}
+    for _ in range(len(up)):
+        for a, b in edges:
+            if a != b:
+                up[a] = up[b] = min(up[a], up[b])
+    df = spark.createDataFrame([*edges, (None, 1)], "u bigint, v bigint")
+    rows = connected_components(df).collect()
+    assert {r.node: r.component for r in rows} == up and len(rows) == len(up)
+    assert connected_components(df.limit(0)).count() == 0
