@@ -145,13 +145,20 @@ def position_modes(length: int, subspaces: int = 1) -> dict[str, list[list[int]]
     return {"hierarchical": [list(range(k)) for k in range(1, length + 1)], "mix": [order[:k] for k in range(1, length + 1)]}
 
 
-def _unit_sums(docs: DataFrame, modes: dict[str, list[list[int]]]) -> tuple[DataFrame, DataFrame]:
-    """Unit vectors (``vec`` columns of ``docs`` and ``u``), and per group and dimension the sum ``x`` and the documents ``n``."""
+def _unit_sums(docs: DataFrame, modes: dict[str, list[list[int]]]) -> DataFrame:
+    """``mode``, ``k``, ``prefix``, ``q`` (the squared length of the sum of the unit vectors) and ``n`` of every group of two or more.
+
+    Documents alone in their group, most of them for long prefixes, are left
+    out before any vector is taken apart.
+    """
     v = F.transform("embedding", lambda x: x.cast("double"))
     norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda t, x: t + x * x))
-    units = docs.withColumn("v", v).withColumn("norm", norm).where("norm > 0").withColumn("u", F.transform("v", lambda x: x / F.col("norm"))).drop("v", "norm", "embedding")
-    parts = token_groups(units, modes).select("mode", "k", "prefix", F.posexplode("u").alias("i", "x"))
-    return units, parts.groupBy("mode", "k", "prefix", "i").agg(F.sum("x").alias("x"), F.count("*").alias("n"))
+    units = docs.withColumn("v", v).withColumn("norm", norm).where("norm > 0").select("codes", F.transform("v", lambda x: x / F.col("norm")).alias("u"))
+    by = ["mode", "k", "prefix"]
+    sizes = token_groups(units.select("codes"), modes).groupBy(*by).agg(F.count("*").alias("n")).where("n > 1")
+    parts = token_groups(units, modes).join(sizes, by).select(*by, "n", F.posexplode("u").alias("i", "x"))
+    sums = parts.groupBy(*by, "i").agg(F.sum("x").alias("x"), F.first("n").alias("n"))
+    return sums.groupBy(*by).agg(F.sum(F.col("x") * F.col("x")).alias("q"), F.first("n").alias("n"))
 
 
 def shared_token_similarity(docs: DataFrame, modes: dict[str, list[list[int]]]) -> DataFrame:
@@ -164,8 +171,7 @@ def shared_token_similarity(docs: DataFrame, modes: dict[str, list[list[int]]])
     left out, and a group as large as N / V costs what its documents do.
     Groups of one and null or zero vectors count nowhere.
     """
-    _, sums = _unit_sums(docs, modes)
-    groups = sums.groupBy("mode", "k", "prefix").agg(F.sum(F.col("x") * F.col("x")).alias("q"), F.max("n").alias("n")).where("n > 1")
+    groups = _unit_sums(docs, modes)
     n, both = F.col("n"), F.col("n") * (F.col("n") - 1)
     return groups.groupBy("mode", "k").agg(
         (F.sum(F.col("q") - n) / F.sum(both)).alias("similarity"), (F.sum((F.col("q") - n) / (n - 1)) / F.sum(n)).alias("by_document"),
@@ -213,8 +219,7 @@ def shared_anywhere_similarity(docs: DataFrame, length: int) -> DataFrame:
     if length > 10:
         raise ValueError("more than ten positions")
     masks = [list(m) for k in range(1, length + 1) for m in combinations(range(length), k)]
-    _, sums = _unit_sums(docs, {"".join(map(str, m)): [m] for m in masks})
-    groups = sums.groupBy("mode", "k", "prefix").agg(F.sum(F.col("x") * F.col("x")).alias("q"), F.max("n").alias("n"))
+    groups = _unit_sums(docs, {"".join(map(str, m)): [m] for m in masks})
     by = groups.groupBy(F.col("k").alias("j")).agg((F.sum(F.col("q") - F.col("n")) / 2).alias("s"), F.sum(F.col("n") * (F.col("n") - 1) / 2).alias("c"))
     weights = docs.sparkSession.createDataFrame([(k, j, float((-1) ** (j - k) * math.comb(j - 1, k - 1))) for k in range(1, length + 1) for j in range(k, length + 1)], "k int, j int, w double")
     out = by.join(F.broadcast(weights), "j").groupBy("k").agg(F.sum(F.col("s") * F.col("w")).alias("s"), F.round(F.sum(F.col("c") * F.col("w"))).cast("bigint").alias("pairs"))
