@@ -118,7 +118,7 @@ def sum_by_row(rows: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
-def in_parts(texts: list[str | None], most: int = 1_000_000) -> Iterator[tuple[int, int]]:
+def in_parts(texts: list[str | None], most: int = 200_000) -> Iterator[tuple[int, int]]:
     """Slices of a list of texts with about ``most`` characters each, so that arrays stay small."""
     begin = held = 0
     for k, t in enumerate(texts):
