@@ -1,6 +1,7 @@
 """Small cases of the operators, odd inputs among them."""
 
 import math
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -344,3 +345,55 @@ def test_components(spark):
     rows = connected_components(df).collect()
     assert {r.node: r.component for r in rows} == up and len(rows) == len(up)
     assert connected_components(df.limit(0)).count() == 0
+
+
+def _shuffled(spark, run) -> int:
+    """Rows written to shuffles while ``run`` runs."""
+
+    def total():
+        sc = spark.sparkContext._jsc.sc()
+        sc.listenerBus().waitUntilEmpty(30_000)
+        none = spark.sparkContext._jvm.java.util.ArrayList()
+        stages = sc.statusStore().stageList(none, False, False, spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.double, 0), none)
+        return {(s.stageId(), s.attemptId()): s.shuffleWriteRecords() for s in (stages.apply(k) for k in range(stages.size()))}
+
+    before = total()
+    run()
+    return sum(n for k, n in total().items() if k not in before)
+
+
+@pytest.mark.parametrize("block", [2_000_000, 40])
+def test_bm25_makes_no_pairs(spark, monkeypatch, block):
+    """Scores and ranks against brute force, ties and repeated ids included; a word of all queries and documents makes no row for each pair of them."""
+    import math
+    import random
+    from collections import Counter
+
+    from idforge.operators import bm25
+
+    monkeypatch.setattr(bm25, "POSTINGS", block, raising=False)
+    rng = random.Random(8)
+    words = [f"w{k}" for k in range(60)]
+    docs = [(k, " ".join(["the", *rng.choices(words, weights=[1 / (i + 1) for i in range(60)], k=rng.randrange(1, 30))])) for k in range(700)]
+    docs += [(1000 + k, docs[k][1]) for k in range(50)] + [(5, "the w3 w59"), (2000, ""), (2001, None), (2002, "...")]
+    queries = [(f"q{k}", " ".join(["The", *rng.choices(words, k=rng.randrange(5))])) for k in range(120)] + [("empty", ""), ("none", None), ("odd", "unheard of")]
+    split = [(k, re.findall(r"\w+", (t or "").lower())) for k, t in docs]
+    split = [(k, t) for k, t in split if t]
+    mean = sum(len(t) for _, t in split) / len(split)
+    df = Counter(w for _, t in split for w in set(t))
+    want = {}
+    for q, text in queries:
+        scores = Counter()
+        for k, t in split:
+            for w in set(re.findall(r"\w+", (text or "").lower())):
+                if tf := t.count(w):
+                    scores[k] += math.log(1 + (len(split) - df[w] + 0.5) / (df[w] + 0.5)) * tf * 1.82 / (tf + 0.82 * (1 - 0.68 + 0.68 * len(t) / mean))
+        want |= {(q, r + 1): (k, s) for r, (s, k) in enumerate(sorted(((round(s, 6), k) for k, s in scores.items()), key=lambda x: (-x[0], x[1]))[:10])}
+    d = spark.createDataFrame(docs, "doc_id bigint, text string").repartition(3)
+    q = spark.createDataFrame(queries, "qid string, query string")
+    got = []
+    moved = _shuffled(spark, lambda: got.extend(bm25.bm25(d, q, 10).collect()))
+    assert {(r.qid, r["rank"]): (r.doc_id, r.score) for r in got} == want and len(got) == len(want)
+    if block > 40:
+        assert moved < 120 * len(split) / 2
+    assert bm25.bm25(d.limit(0), q, 10).count() == 0 and bm25.bm25(d, q.limit(0), 10).count() == 0
