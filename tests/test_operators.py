@@ -397,3 +397,12 @@ def test_bm25_makes_no_pairs(spark, monkeypatch, block):
     if block > 40:
         assert moved < 120 * len(split) / 2
     assert bm25.bm25(d.limit(0), q, 10).count() == 0 and bm25.bm25(d, q.limit(0), 10).count() == 0
+
+
+def test_salient_terms_broadcast_nothing(spark):
+    """The terms of all documents aren't broadcast where the file of texts is small enough for that."""
+    df = spark.createDataFrame([(k, f"a b c d e f g h i j k{k} l{k % 3}") for k in range(40)], "k int, t string")
+    out = instances.salient_terms(df, "k", F.col("t"), 8)
+    assert out.count() == 40
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan and "SortMergeJoin" in plan
