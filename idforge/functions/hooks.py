@@ -10,7 +10,8 @@ import hashlib
 from collections.abc import Callable
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -24,18 +25,14 @@ def hashed_embedding(text: Column, dim: int = 64) -> Column:
     A word counts at the place that the first eight digits of its MD5 give.
     """
 
-    @F.pandas_udf(T.ArrayType(T.DoubleType()))
-    def run(words: pd.Series) -> pd.Series:
-        place: dict[str, int] = {}
-        out = []
-        for row in words:
-            x = np.zeros(dim)
-            for w in row:
-                if w not in place:
-                    place[w] = int(hashlib.md5(w.encode()).hexdigest()[:8], 16) % dim
-                x[place[w]] += 1
-            out.append((x / (np.sqrt(x @ x) or 1.0)).tolist())
-        return pd.Series(out)
+    @F.arrow_udf(T.ArrayType(T.DoubleType()))
+    def run(words: pa.Array) -> pa.Array:
+        n, each = len(words), words.flatten().dictionary_encode()
+        place = np.array([int(hashlib.md5(w.encode()).hexdigest()[:8], 16) % dim for w in each.dictionary.to_pylist()], np.int64)
+        row = np.repeat(np.arange(n), pc.fill_null(pc.list_value_length(words), 0).to_numpy(zero_copy_only=False))
+        x = np.bincount(row * dim + place[each.indices.to_numpy(zero_copy_only=False)], minlength=n * dim).astype(float).reshape(n, dim)
+        norm = np.sqrt((x * x).sum(1, keepdims=True))
+        return pa.ListArray.from_arrays(np.arange(n + 1, dtype=np.int32) * dim, (x / np.where(norm > 0, norm, 1.0)).ravel())
 
     return run(tokens(text))
 

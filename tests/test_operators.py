@@ -427,3 +427,24 @@ def test_near_duplicates_are_exact(spark, monkeypatch):
     df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(u)], "vec_id bigint, embedding array<double>")
     got = {r.vec_id: r["first"] for r in nearest.near_duplicate_vectors(df, 0.95, recall=0.5).collect()}
     assert got == dict(enumerate(top.tolist())) and 10 < len(set(top.tolist())) < len(x)
+
+
+def test_near_duplicates_link_labels_only(spark, monkeypatch):
+    """What many pivots are near to isn't compared again: links are few however many vectors a class has; classes as by brute force, with several centres and blocks."""
+    import numpy as np
+
+    from idforge.operators import nearest
+
+    monkeypatch.setattr(nearest, "BUCKET", 1000)
+    rng = np.random.default_rng(12)
+    x = np.concatenate([m * np.abs(rng.standard_normal(20)) + s * rng.standard_normal((n, 20)) for m, s, n in ((3, 0.6, 1300), (2, 0.7, 400), (0, 1, 200))])
+    u = x / np.sqrt((x * x).sum(1, keepdims=True))
+    top, near = np.arange(len(x)), np.round(u @ u.T, 9) >= 0.9
+    while (top != (least := np.where(near, top[None, :], len(x)).min(1))).any():
+        top = least
+    edges, components = [], nearest.connected_components
+    monkeypatch.setattr(nearest, "connected_components", lambda e: edges.append(e.count()) or components(e))
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(u)], "vec_id bigint, embedding array<double>")
+    got = {r.vec_id: r["first"] for r in nearest.near_duplicate_vectors(df, 0.9).collect()}
+    assert got == dict(enumerate(top.tolist())) and np.bincount(top).max() > 1000 and len(set(top.tolist())) > 100
+    assert edges[0] < len(x) / 5
